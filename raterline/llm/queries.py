@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from raterline.llm import packing
-from raterline.llm.common import table
+from raterline.llm import language_id, packing, secret_scan
+from raterline.llm.common import fold_of, table
 
 ORACLE_SQL: dict[str, str] = {}
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,3 +29,17 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 def op8_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), with_tokens=False)
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "bucket")
+
+
+@query
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secret_scan.scan_secrets(docs, repository=F.col("doc_id"), owner=F.col("source"))
+
+
+@query
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = fold_of(F.col("doc_id"), 3) == 1
+    model = language_id.fit(docs, docs.where(~held).select("doc_id", "lang"))
+    return language_id.predict(docs.select("doc_id", held.alias("held_out"), "text"), model)
