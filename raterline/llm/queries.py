@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from raterline.llm import language_id, packing, secret_scan
+from raterline.llm import language_id, packing, quality, secret_scan, toxicity
 from raterline.llm.common import fold_of, table
 
 ORACLE_SQL: dict[str, str] = {}
@@ -43,3 +43,26 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = fold_of(F.col("doc_id"), 3) == 1
     model = language_id.fit(docs, docs.where(~held).select("doc_id", "lang"))
     return language_id.predict(docs.select("doc_id", held.alias("held_out"), "text"), model)
+
+
+@query
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = fold_of(F.col("doc_id"), 5) == 0
+    labels = table(spark, sf_dir, "labels").where(~held).select("doc_id", F.col("quality").alias("label"))
+    return quality.score(docs.select("doc_id", held.alias("held_out"), "text"), quality.fit(docs, labels))
+
+
+def toxicity_model(spark: SparkSession, sf_dir: str, docs: DataFrame) -> toxicity.WordModel | None:
+    """Learned from the toxic rows of the training folds and unlabelled texts of the same folds."""
+    held = fold_of(F.col("doc_id"), 5) == 0
+    labels = table(spark, sf_dir, "labels").where(~held & F.col("toxic").isNotNull())
+    rate = labels.agg(F.avg(F.col("toxic").cast("double"))).head()[0]
+    return toxicity.fit(docs, labels.where("toxic = 1"), min(max(rate or 0.0, 0.001), 0.9), exclude=held)
+
+
+@query
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = fold_of(F.col("doc_id"), 5) == 0
+    return toxicity.score(docs.select("doc_id", held.alias("held_out"), "text"), toxicity_model(spark, sf_dir, docs)).drop("text")
