@@ -5,9 +5,10 @@ text toxic is corrected by the class prior: with positives P, unlabelled texts U
 pi, the loss is  pi * R_P(+) + max(0, R_U(-) - pi * R_P(-)),  the clipped part keeping a
 flexible classifier from driving the estimate below zero.
 
-Texts are sets of hashed words.  A first linear classifier on the words that the positives
-favour is fitted by gradient steps with soft thresholding, so that all but a few words end
-with weight zero and a long clean text gathers no score from its length.
+Texts are sets of hashed words.  A linear classifier on the words that the positives
+clearly favour (at least `least_z` standard deviations more often than unlabelled texts) is
+fitted by gradient steps with soft thresholding, so that all but a few words have weight zero
+and a long clean text gathers no score from its length.
 
 The fit uses bounded samples (`positives`, `unlabelled` rows); every text is scored whole,
 in one pass without a shuffle.
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from raterline.llm.common import schema
 from raterline.llm.sampling import by_class, hashed_share
-from raterline.llm.textvec import byte_values, prefix_hash, range_hash, slab, slices, words
+from raterline.llm.textvec import byte_values, mix, prefix_hash, range_hash, slab, slices, words
 
 BITS = 20
 
@@ -103,18 +104,47 @@ def fit(docs: DataFrame, positive: DataFrame, prior: float, *, exclude: Column |
     return fit_sets(sets, y, prior, words_kept=words_kept)
 
 
-def fit_sets(sets: list[np.ndarray], y: np.ndarray, prior: float, *, words_kept: int = 1024, rounds: int = 400, rate: float = 0.05, shrink: float = 2e-4) -> WordModel:
+def copy_weights(sets: list[np.ndarray], bands: int = 30, rows: int = 8) -> np.ndarray:
+    """1 / (number of near copies of each set): minhash bands find the copies, groups close under them."""
+    n = len(sets)
+    if not n:
+        return np.zeros(0)
+    size = np.array([len(s) for s in sets])
+    flat = np.concatenate([*sets, np.zeros(0, np.int64)]).astype(np.uint64)
+    begin = np.cumsum(size) - size
+    filled = np.flatnonzero(size)
+    group = np.arange(n)
+    for band in range(bands):
+        key = np.zeros(len(filled), np.uint64)
+        for r in range(rows):
+            key = mix(key + np.minimum.reduceat(mix(flat + np.uint64((band * rows + r + 1) << BITS)), begin[filled]))
+        _, same = np.unique(key, return_inverse=True)
+        for _ in range(2):
+            least = np.full(same.max() + 1, n)
+            np.minimum.at(least, same, group[filled])
+            group[filled] = np.minimum(group[filled], least[same])
+            group = group[group]
+    _, same, count = np.unique(group, return_inverse=True, return_counts=True)
+    return 1 / count[same]
+
+
+def fit_sets(sets: list[np.ndarray], y: np.ndarray, prior: float, *, words_kept: int = 1024, rounds: int = 400, rate: float = 0.05, shrink: float = 5e-4, least_z: float = 5.0) -> WordModel:
     """The same from word sets in memory: y is 1 for a positive, 0 for an unlabelled set."""
     size = np.array([len(s) for s in sets])
     flat, of = np.concatenate([*sets, np.zeros(0, np.int64)]), np.repeat(np.arange(len(sets)), size)
-    p, u = float((y == 1).sum()), float((y == 0).sum())
-    in_p = np.bincount(flat[y[of] == 1], minlength=1 << BITS)
-    in_u = np.bincount(flat[y[of] == 0], minlength=1 << BITS)
+    # A text copied many times speaks once: else its rare words would look like signs of its label.
+    each = np.ones(len(sets))
+    for side in (0, 1):
+        each[y == side] = copy_weights([s for s, k in zip(sets, y) if k == side])
+    p, u = float(each[y == 1].sum()), float(each[y == 0].sum())
+    in_p = np.bincount(flat, np.where(y[of] == 1, each[of], 0), minlength=1 << BITS)
+    in_u = np.bincount(flat, np.where(y[of] == 0, each[of], 0), minlength=1 << BITS)
     share = (in_p + 0.5) / (p + 1)
     lift = np.log(share / ((in_u + 0.5) / (u + 1)))
-    lift[in_p < max(3, 0.01 * p)] = -np.inf
-    kept = np.argsort(-lift * np.sqrt(share), kind="stable")[:words_kept]
-    kept = kept[lift[kept] > 0.3]
+    expected = p * (in_u + 0.5) / (u + 1)
+    clear = (in_p >= 3) & (lift >= np.log(2)) & ((in_p - expected) / np.sqrt(expected) >= least_z)
+    kept = np.flatnonzero(clear)
+    kept = kept[np.argsort(-lift[kept] * np.sqrt(share[kept]), kind="stable")[:words_kept]]
     column = np.full(1 << BITS, -1)
     column[kept] = np.arange(len(kept))
     has = column[flat] >= 0
@@ -127,18 +157,19 @@ def fit_sets(sets: list[np.ndarray], y: np.ndarray, prior: float, *, words_kept:
         z = 1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30)))
         # Logistic loss: d/dz of loss(+) is s - 1, of loss(-) is s.
         loss_minus = -np.log1p(-np.minimum(z, 1 - 1e-7))
-        negative_risk = loss_minus[~positive].mean() - prior * loss_minus[positive].mean()
+        negative_risk = (each * loss_minus)[~positive].sum() / u - prior * (each * loss_minus)[positive].sum() / p
         g = np.where(positive, prior * (z - 1) / p, 0.0)
         if negative_risk >= 0:
             g = g + np.where(positive, -prior * z / p, z / u)
+        g = g * each
         grad = np.append(x.T @ g, g.sum())
         moment = 0.9 * moment + 0.1 * grad
         second = 0.999 * second + 0.001 * grad * grad
         move = rate * (moment / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
         w, b = w - move[:-1], b - move[-1]
-        w = np.sign(w) * np.maximum(np.abs(w) - rate * shrink * 100 / (1 + 20 * np.abs(w)), 0)
+        w = np.sign(w) * np.maximum(np.abs(w) - rate * shrink, 0)
     weights = np.zeros(1 << BITS, np.float32)
-    weights[kept] = np.where(np.abs(w) < 0.5, 0, w)
+    weights[kept] = w
     return WordModel(weights, b)
 
 
