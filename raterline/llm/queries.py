@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from raterline.llm import language_id, packing, quality, secret_scan, toxicity
+from raterline.llm import fingerprints, language_id, packing, quality, secret_scan, toxicity
 from raterline.llm.common import fold_of, table
 
 ORACLE_SQL: dict[str, str] = {}
@@ -66,3 +66,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = fold_of(F.col("doc_id"), 5) == 0
     return toxicity.score(docs.select("doc_id", held.alias("held_out"), "text"), toxicity_model(spark, sf_dir, docs)).drop("text")
+
+
+@query
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_neighbours(table(spark, sf_dir, "documents"))
