@@ -34,10 +34,12 @@ from pyspark.sql import DataFrame
 
 from raterline.llm.common import keyed, schema
 from raterline.llm.slabs import ASKED, Dealt, answer, ask, asked, by_bucket, column, deal, repeated, with_replies
-from raterline.llm.textvec import byte_values, prefix_hash, range_hash, slab, sliding_min, spans_from_mask
+from raterline.llm.textvec import byte_values, mix, prefix_hash, range_hash, slab, sliding_min, spans_from_mask
 
 GRAM = 32
-BLOCK = 2 << 20
+BLOCK = 1 << 20
+#: The second round carries bytes in place of hashes, so its buckets are finer by this factor.
+FINER = 8
 #: Parts the segments of a bucket's text; never part of UTF-8.
 SEPARATOR = 0xFF
 _LOW = np.uint64((1 << 28) - 1)
@@ -80,7 +82,8 @@ def segments(rows: pa.Table, length: int) -> tuple[np.ndarray, np.ndarray, np.nd
     stop = np.append(cut[1:], len(at))
     real = inside[cut]
     start, stop = cut[real], stop[real] + length - 1
-    anchor, content = h[at[start]], range_hash(prefix, start, stop)
+    # The least of many hashes are small numbers; mixed again, they spread over all buckets.
+    anchor, content = mix(h[at[start]]), range_hash(prefix, start, stop)
     order = np.lexsort((content, anchor))
     a, c = anchor[order], content[order]
     first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (c[1:] != c[:-1])])) if len(a) else empty
@@ -135,7 +138,7 @@ def _codes(seg: Segments, by: dict[int, bytes], buckets: int) -> np.ndarray:
 
 
 def _send_wanted(dealt: Dealt, replies: DataFrame, length: int) -> DataFrame:
-    buckets = dealt.buckets
+    buckets, fine = dealt.buckets, dealt.buckets * FINER
 
     def send(number: int, rows: pa.Table, by: dict[int, bytes]) -> pa.Table:
         buf, _, _, seg = segments(rows, length)
@@ -143,7 +146,7 @@ def _send_wanted(dealt: Dealt, replies: DataFrame, length: int) -> DataFrame:
         wanted = np.flatnonzero(code & WANTED)
         one = seg.first[wanted]
         bodies = []
-        for bucket, i in by_bucket(seg.anchor[one], buckets):
+        for bucket, i in by_bucket(seg.anchor[one], fine):
             k = one[i]
             size = seg.stop[k] - seg.start[k]
             begin = np.cumsum(size) - size
@@ -152,7 +155,7 @@ def _send_wanted(dealt: Dealt, replies: DataFrame, length: int) -> DataFrame:
                 bucket, np.array([len(k)], np.int64).tobytes() + seg.anchor[k].tobytes() + size.astype(np.uint32).tobytes() + (seg.anchor_at[k] - seg.start[k]).astype(np.uint32).tobytes()
                 + (code[wanted[i]] & RECURS).tobytes() + text.tobytes(),
             ))
-        bodies.append((-1 - number % buckets, code.tobytes()))
+        bodies.append((-1 - number % fine, code.tobytes()))
         return pa.Table.from_batches([asked(number, iter(bodies))])
 
     return with_replies(dealt, replies, send, ASKED)
@@ -344,18 +347,18 @@ def _compare(length: int):
 
 
 def _remove(dealt: Dealt, replies: DataFrame, length: int) -> DataFrame:
-    buckets = dealt.buckets
+    fine = dealt.buckets * FINER
 
     def finish(number: int, rows: pa.Table, by: dict[int, bytes]) -> pa.Table:
         buf, begin, end, seg = segments(rows, length)
-        code = np.frombuffer(by.get(-1 - number % buckets, b""), np.uint8)
+        code = np.frombuffer(by.get(-1 - number % fine, b""), np.uint8)
         mark = np.zeros(len(buf) + 1, np.int64)
         whole = np.repeat(code & RECURS, seg.count) > 0
         np.add.at(mark, seg.start[whole], 1)
         np.add.at(mark, seg.stop[whole], -1)
         wanted = np.flatnonzero(code & WANTED)
         one = seg.first[wanted]
-        for bucket, i in by_bucket(seg.anchor[one], buckets):
+        for bucket, i in by_bucket(seg.anchor[one], fine):
             k = one[i][code[wanted[i]] & RECURS == 0]
             strings = seg.stop[k] - seg.start[k] - length + 1
             total = int(strings.sum())
@@ -379,7 +382,7 @@ def _remove(dealt: Dealt, replies: DataFrame, length: int) -> DataFrame:
 
 def remove_recurring(docs: DataFrame, *, length: int = 200) -> DataFrame:
     """Per document: bytes, bytes removed, removed runs, and the hash of what is kept.  length: over GRAM."""
-    dealt = deal(keyed(docs), asked_share=0.5)
+    dealt = deal(keyed(docs), asked_share=0.25)
     judged = answer(_ask_segments(dealt, length), dealt, _judge)
     compared = answer(_send_wanted(dealt, judged, length), dealt, _compare(length))
     return _remove(dealt, compared, length)
