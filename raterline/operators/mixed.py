@@ -1,8 +1,9 @@
-"""The linear mixed model with random intercepts and slopes, by REML.
+"""The linear mixed model with random coefficients of a polynomial in x, by REML.
 
-y = (1, x)(beta + b_rater) + noise, b ~ N(0, D).  Six sums per rater hold all the data; each
-EM step is two aggregates over those rows, whose per-rater 2 x 2 algebra runs vectorised in
-the tasks.  Only sums (fewer than twenty numbers a partition) reach the driver.
+y = (1, x, ...)(beta + b_rater) + noise, b ~ N(0, D); degree 1 gives random intercepts and
+slopes, degree 2 random quadratics.  Power sums per rater hold all the data; each EM step is
+two aggregates over those rows, whose small per-rater algebra runs vectorised in the tasks.
+Only sums (some twenty numbers a partition) reach the driver.
 """
 
 from __future__ import annotations
@@ -15,8 +16,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from raterline.operators.regression import SUMS
-
 
 @dataclass
 class MixedModel:
@@ -27,10 +26,22 @@ class MixedModel:
     iterations: int
 
 
-def _moments(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    n, sx, sy, sxx, sxy, syy = (batch.column(batch.schema.get_field_index(s)).to_numpy(zero_copy_only=False).astype(float) for s in SUMS)
-    gram = np.stack([np.stack([n, sx], -1), np.stack([sx, sxx], -1)], -2)
-    return n, gram, np.stack([sy, sxy], -1), syy
+def power_sums(obs: DataFrame, *keys: str, degree: int = 1) -> DataFrame:
+    """s0 ... s(2 degree), c0 ... c(degree) and yy per key; obs with cx and cy."""
+    x, y = F.col("cx"), F.col("cy")
+    power = lambda k: F.lit(1.0) if k == 0 else F.pow(x, F.lit(float(k)))
+    return obs.groupBy(*keys).agg(*(F.sum(power(k)).alias(f"s{k}") for k in range(2 * degree + 1)), *(F.sum(power(k) * y).alias(f"c{k}") for k in range(degree + 1)), F.sum(y * y).alias("yy"))
+
+
+def _names(degree: int) -> list[str]:
+    return [*(f"s{k}" for k in range(2 * degree + 1)), *(f"c{k}" for k in range(degree + 1)), "yy"]
+
+
+def _moments(batch: pa.RecordBatch, degree: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    s = {n: batch.column(batch.schema.get_field_index(n)).to_numpy(zero_copy_only=False).astype(float) for n in _names(degree)}
+    p = degree + 1
+    gram = np.stack([np.stack([s[f"s{i + j}"] for j in range(p)], -1) for i in range(p)], -2)
+    return s["s0"], gram, np.stack([s[f"c{k}"] for k in range(p)], -1), s["yy"]
 
 
 def _posterior(gram: np.ndarray, rest: np.ndarray, d: np.ndarray, noise: float) -> tuple[np.ndarray, np.ndarray]:
@@ -39,7 +50,7 @@ def _posterior(gram: np.ndarray, rest: np.ndarray, d: np.ndarray, noise: float)
     return c, np.einsum("nij,nj->ni", c, rest) / noise
 
 
-def _summed(rows: DataFrame, step) -> np.ndarray:
+def _summed(rows: DataFrame, step, degree: int) -> np.ndarray:
     """Sum of step(batch) over all batches: a short vector."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -51,62 +62,67 @@ def _summed(rows: DataFrame, step) -> np.ndarray:
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array(total)], names=["i", "v"])
 
-    got = rows.select(*SUMS).mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").collect()
+    got = rows.select(*_names(degree)).mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").collect()
     return np.array([r["v"] for r in got])
 
 
-def fit(rater_sums: DataFrame, *, iterations: int = 25, tolerance: float = 1e-4) -> MixedModel:
-    """rater_sums: one row per rater with the six sums (about the grand means)."""
-    total = rater_sums.agg(*(F.sum(s).alias(s) for s in SUMS)).head()
-    n, sx, sy, sxx, sxy, syy = (float(total[s]) for s in SUMS)
-    beta = np.linalg.solve(np.array([[n, sx], [sx, sxx]]), np.array([sy, sxy]))
-    noise = max((syy - beta @ np.array([sy, sxy])) / max(n - 2, 1), 1e-9)
-    d = np.diag([noise * 0.1, noise * 0.1 * n / max(sxx, 1e-9)])
-    done, phi = 0, np.eye(2)
+def fit(rater_sums: DataFrame, *, degree: int = 1, iterations: int = 25, tolerance: float = 1e-4) -> MixedModel:
+    """rater_sums: one row per rater, as power_sums() gives them (about the grand means)."""
+    p = degree + 1
+    total = rater_sums.agg(*(F.sum(s).alias(s) for s in _names(degree))).head()
+    gram = np.array([[float(total[f"s{i + j}"]) for j in range(p)] for i in range(p)])
+    cross = np.array([float(total[f"c{k}"]) for k in range(p)])
+    n = gram[0, 0]
+    beta = np.linalg.solve(gram, cross)
+    noise = max((float(total["yy"]) - beta @ cross) / max(n - p, 1), 1e-9)
+    d = np.diag([noise * 0.1 * n / max(gram[k, k], 1e-9) for k in range(p)])
+    done, phi = 0, np.eye(p)
     for done in range(1, iterations + 1):
 
         def normal(batch: pa.RecordBatch, d: np.ndarray = d, noise: float = noise) -> np.ndarray:
-            _, gram, cross, _ = _moments(batch)
+            _, gram, cross, _ = _moments(batch, degree)
             c = np.linalg.inv(gram / noise + np.linalg.inv(d))
             left = gram / noise - gram @ c @ gram / noise**2
             right = cross / noise - np.einsum("nij,nj->ni", gram @ c, cross) / noise**2
             return np.concatenate([left.sum(axis=0).ravel(), right.sum(axis=0)])
 
-        v = _summed(rater_sums, normal)
-        phi = np.linalg.inv(v[:4].reshape(2, 2))
-        beta = phi @ v[4:]
+        v = _summed(rater_sums, normal, degree)
+        phi = np.linalg.inv(v[: p * p].reshape(p, p))
+        beta = phi @ v[p * p :]
 
         def expect(batch: pa.RecordBatch, d: np.ndarray = d, noise: float = noise, beta: np.ndarray = beta, phi: np.ndarray = phi) -> np.ndarray:
-            size, gram, cross, square = _moments(batch)
+            size, gram, cross, square = _moments(batch, degree)
             c, b = _posterior(gram, cross - gram @ beta, d, noise)
             # The uncertainty of beta adds to that of the effects: the restricted likelihood.
             pull = c @ gram / noise
             spread = c + pull @ phi @ pull.transpose(0, 2, 1)
             both = beta + b
             rest = square - 2 * np.einsum("ni,ni->n", both, cross) + np.einsum("ni,nij,nj->n", both, gram, both)
-            keep = np.eye(2) - pull
+            keep = np.eye(p) - pull
             extra = np.einsum("nij,nji->n", gram, c + keep @ phi @ keep.transpose(0, 2, 1))
             return np.concatenate([(np.einsum("ni,nj->nij", b, b) + spread).sum(axis=0).ravel(), [(rest + extra).sum(), size.sum(), len(size)]])
 
-        v = _summed(rater_sums, expect)
-        new_d, new_noise = v[:4].reshape(2, 2) / v[6], v[4] / v[5]
+        v = _summed(rater_sums, expect, degree)
+        new_d, new_noise = v[: p * p].reshape(p, p) / v[-1], v[-3] / v[-2]
         moved = max(np.abs(new_d - d).max() / max(np.abs(d).max(), 1e-12), abs(new_noise - noise) / noise)
-        d, noise = (new_d + new_d.T) / 2 + 1e-12 * np.eye(2), max(new_noise, 1e-12)
+        d, noise = (new_d + new_d.T) / 2 + 1e-12 * np.eye(p), max(new_noise, 1e-12)
         if moved < tolerance:
             break
     return MixedModel(beta, d, noise, phi, done)
 
 
 def effects(rater_sums: DataFrame, model: MixedModel) -> DataFrame:
-    """Conditional effects: rater, intercept and slope (population plus best linear prediction)."""
+    """Conditional effects: rater and its coefficients (population plus best linear prediction)."""
+    degree = len(model.beta) - 1
+    names = ["intercept", "slope", "quadratic", *(f"power_{k}" for k in range(3, degree + 1))][: degree + 1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                _, gram, cross, _ = _moments(batch)
+                _, gram, cross, _ = _moments(batch, degree)
                 _, b = _posterior(gram, cross - gram @ model.beta, model.covariance, model.noise)
                 both = model.beta + b
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(both[:, 0]), pa.array(both[:, 1])], names=["rater", "intercept", "slope"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(both[:, k]) for k in range(degree + 1))], names=["rater", *names])
 
     kind = rater_sums.schema["rater"].dataType.simpleString()
-    return rater_sums.select("rater", *SUMS).mapInArrow(run, f"rater {kind}, intercept double, slope double")
+    return rater_sums.select("rater", *_names(degree)).mapInArrow(run, f"rater {kind}, " + ", ".join(f"{n} double" for n in names))

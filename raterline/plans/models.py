@@ -20,10 +20,18 @@ def rater_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def r4_mixed_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = regression.centred(complete(events(spark, sf_dir)))
-    s = regression.sums(c, "rater").cache()
+    s = mixed.power_sums(c, "rater").cache()
     return rounded(mixed.effects(s, mixed.fit(s)))
 
 
+@query()
+def r4b_quadratic_mixed_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """About the grand means and in units of ten x, so that the powers stay of one size."""
+    c = regression.centred(complete(events(spark, sf_dir))).withColumn("cx", F.col("cx") / 10)
+    s = mixed.power_sums(c, "rater", degree=2).cache()
+    return rounded(mixed.effects(s, mixed.fit(s, degree=2, iterations=10)))
+
+
 @query()
 def t1_kalman_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(sequential.kalman(regression_scaled(spark, sf_dir), drift=0.01, noise=1.0))
@@ -150,3 +158,20 @@ def k_delayed_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     o = orders(spark, sf_dir).groupBy("rater", F.to_date("ts").alias("step")).agg(F.sum("y").alias("score"), (F.count("*") % 2).alias("signature"))
     return delayed(o, 2).select("rater", "step", F.round("delayed", 2).alias("delayed"))
+
+
+@query()
+def m2_one_hot_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.ml.functions import vector_to_array
+
+    f = multivariate.encoded(rater_features(spark, sf_dir), ["kind"], ["mean_x"])
+    return f.select("rater", F.size(vector_to_array("features")).alias("width"), F.round(F.aggregate(vector_to_array("features"), F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+
+
+@query("SELECT count(*) AS n_rows, count(DISTINCT user_id) AS raters, count(*) FILTER (value IS NULL) AS missing, count(*) FILTER (value < 0) AS negative, count(*) - count(DISTINCT event_id) AS repeated, md5('k=5;seed=20260420') AS config FROM events")
+def d3_run_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events", "event_id", "user_id", "value")
+    return e.agg(
+        F.count("*").alias("n_rows"), F.count_distinct("user_id").alias("raters"), F.count_if(F.col("value").isNull()).alias("missing"), F.count_if(F.col("value") < 0).alias("negative"),
+        (F.count("*") - F.count_distinct("event_id")).alias("repeated"),
+    ).withColumn("config", F.md5(F.lit("k=5;seed=20260420").cast("binary")))

@@ -115,7 +115,7 @@ def test_simulated_spread_is_recovered(spark):
 
 def test_mixed_model_recovers_and_shrinks(spark):
     c = regression.centred(simulated(spark, 300, 10))
-    sums = regression.sums(c, "rater").cache()
+    sums = mixed.power_sums(c, "rater").cache()
     m = mixed.fit(sums)
     assert m.covariance[0, 0] == pytest.approx(64, rel=0.25) and m.covariance[1, 1] == pytest.approx(0.09, rel=0.4) and m.noise == pytest.approx(25, rel=0.1)
     assert mixed.effects(sums, m).count() == 300
@@ -124,7 +124,7 @@ def test_mixed_model_recovers_and_shrinks(spark):
 def test_mixed_model_reaches_the_restricted_likelihood(spark):
     """The likelihood of the fit, computed densely, is no lower than at points around it."""
     p = regression.centred(simulated(spark, 25, 6)).select("rater", "cx", "cy").toPandas()
-    m = mixed.fit(regression.sums(regression.centred(simulated(spark, 25, 6)), "rater"), iterations=60, tolerance=1e-7)
+    m = mixed.fit(mixed.power_sums(regression.centred(simulated(spark, 25, 6)), "rater"), iterations=60, tolerance=1e-7)
 
     def reml(d, noise):
         left, right, total = np.zeros((2, 2)), np.zeros(2), 0.0
