@@ -10,8 +10,8 @@ so that unrelated sets rarely share a leaf; runs repeat until the target recall.
 
 The leaves are small; each is searched by brute force on a second sketch.  In a leaf with many
 near copies the search goes from leaders, each compared with all, and sets very near to a
-leader lead no search themselves, so the work grows with the number of different groups, and
-only links to leaders come out: links are linear in the rows.
+leader lead no search themselves.  Of each group so found only links to its first set come
+out, so links are linear in the rows, however large a group is.
 
 Links by sketch only gather candidates, at a lower similarity.  Within their connected
 components the n-gram sets themselves are compared, all pairs in blocks, which gives exact
@@ -131,25 +131,25 @@ def leaves(sets: DataFrame, *, runs_: int, depth: int, split: float) -> DataFram
 LINKED, COVERED = 14, 28
 
 
-def _search(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate links (leader, member) within one leaf."""
-    leads, members = [], []
+def _search(sig: np.ndarray) -> np.ndarray:
+    """Groups within one leaf: for each set, the first set that it is linked to through others.
+
+    Leaders are compared with all sets; sets covered by a leader do not lead.
+    """
+    group = np.arange(len(sig))
     rest = np.ones(len(sig), bool)
-    at = 0
-    while at < len(sig):
+    for at in range(len(sig)):
         if rest[at]:
             same = (sig == sig[at]).sum(axis=1)
-            near = np.flatnonzero(same >= LINKED)
-            near = near[near != at]
-            leads.append(np.full(len(near), at))
-            members.append(near)
+            met = np.unique(group[same >= LINKED])
+            if len(met) > 1:
+                group[np.isin(group, met)] = met[0]
             rest[same >= COVERED] = False
-        at += 1
-    return np.concatenate(leads), np.concatenate(members)
+    return group
 
 
 def candidate_links(leaf_rows: DataFrame, partitions: int) -> DataFrame:
-    """Distinct (a, b): sets that look alike in some leaf, linked to leaders."""
+    """Distinct (a, b): sets that look alike in some leaf, each linked to the first of its group there."""
 
     def search(path: np.ndarray, key: np.ndarray, sig: np.ndarray) -> pa.RecordBatch:
         first = np.flatnonzero(np.concatenate([[True], path[1:] != path[:-1]]))
@@ -158,9 +158,9 @@ def candidate_links(leaf_rows: DataFrame, partitions: int) -> DataFrame:
         two = two[(sig[two] == sig[two + 1]).sum(axis=1) >= LINKED]
         a, b = [key[two]], [key[two + 1]]
         for i, n in zip(first[size > 2].tolist(), size[size > 2].tolist()):
-            x, y = _search(sig[i : i + n])
-            a.append(key[i + x])
-            b.append(key[i + y])
+            group = _search(sig[i : i + n])
+            a.append(key[i : i + n][group != np.arange(n)])
+            b.append(key[i + group[group != np.arange(n)]])
         pairs = np.sort(np.stack([np.concatenate(a), np.concatenate(b)], axis=1), axis=1)
         pairs = np.unique(pairs, axis=0) if len(pairs) else pairs
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
@@ -180,7 +180,7 @@ def candidate_links(leaf_rows: DataFrame, partitions: int) -> DataFrame:
         if len(held[0]):
             yield search(*held)
 
-    found = leaf_rows.repartition(partitions, "path").sortWithinPartitions("path").mapInArrow(run, schema(a="long", b="long"))
+    found = leaf_rows.repartition(partitions, "path").sortWithinPartitions("path", "key").mapInArrow(run, schema(a="long", b="long"))
     return found.where("a != b").distinct()
 
 
@@ -225,14 +225,14 @@ def _compare(key: np.ndarray, copies: np.ndarray, size: np.ndarray, grams: np.nd
         label = low
 
 
-def verified(members: DataFrame, texts: DataFrame, *, n: int, threshold: float, partitions: int, block_bytes: int = 4 << 20) -> tuple[DataFrame, DataFrame]:
+def verified(members: DataFrame, texts: DataFrame, *, n: int, threshold: float, partitions: int, block_bytes: int = 4 << 20, block_sets: int = 512) -> tuple[DataFrame, DataFrame]:
     """Exact links within candidate components.
 
     members: component, key, copies, n_grams; texts: key, text.  Returns (key, links) and
     edges (a, b) that connect the final classes.  A component with more than `block_bytes` of
-    grams is cut into blocks; every two blocks meet once, and each with itself.
+    grams or `block_sets` sets is cut into blocks; every two blocks meet once, and each with itself.
     """
-    sized = members.groupBy("component").agg(F.ceil(F.sum(F.col("n_grams").cast("long")) * 8 / block_bytes).cast("int").alias("blocks"))
+    sized = members.groupBy("component").agg(F.ceil(F.greatest(F.sum(F.col("n_grams").cast("long")) * 8 / block_bytes, F.count("*") / block_sets)).cast("int").alias("blocks"))
     placed = members.join(sized, "component").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
 
