@@ -90,11 +90,14 @@ def rater_rmse(errors: DataFrame) -> DataFrame:
 
 
 def gains(per_rater: DataFrame, *, base: str = "population", arm: str = "shrunk") -> DataFrame:
-    """Three gains, which differ: of mean errors, of rater ratios, of pooled rows."""
+    """Three gains, which differ: of mean errors, of rater ratios, of pooled rows.
+
+    A rater is won if its error falls by more than rounding (one part in 10**9).
+    """
     b, a, n = F.col(f"rmse_{base}"), F.col(f"rmse_{arm}"), F.col("n")
     return per_rater.agg(
         (1 - F.avg(a) / F.avg(b)).alias("gain_of_means"), F.avg(1 - a / F.when(b > 0, b)).alias("gain_of_ratios"), (1 - F.sqrt(F.sum(n * a * a) / F.sum(n * b * b))).alias("gain_pooled"),
-        F.count("*").alias("raters"), F.avg((a < b).cast("double")).alias("win_rate"),
+        F.count("*").alias("raters"), F.avg((a < b * (1 - 1e-9)).cast("double")).alias("win_rate"),
     )
 
 
@@ -104,7 +107,7 @@ def evaluation(folds: DataFrame, **options) -> DataFrame:
     b, a, n = F.col("rmse_population"), F.col("rmse_shrunk"), F.col("n")
     return per_rater.agg(
         F.count("*").alias("raters"), *(F.avg(f"rmse_{k}").alias(f"rmse_{k}") for k in ARMS), (1 - F.avg(a) / F.avg(b)).alias("gain_of_means"), F.avg(1 - a / F.when(b > 0, b)).alias("gain_of_ratios"),
-        (1 - F.sqrt(F.sum(n * a * a) / F.sum(n * b * b))).alias("gain_pooled"), F.avg((a < b).cast("double")).alias("win_rate"),
+        (1 - F.sqrt(F.sum(n * a * a) / F.sum(n * b * b))).alias("gain_pooled"), F.avg((a < b * (1 - 1e-9)).cast("double")).alias("win_rate"),
     )
 
 

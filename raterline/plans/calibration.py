@@ -91,7 +91,7 @@ r AS (SELECT rater, sum(n) AS n, {", ".join(f"sqrt(sum(sse_{k}) / sum(n)) AS rms
 def evaluation_sql(folds: str, **options) -> str:
     return f"""WITH {errors_sql(folds, **options)} SELECT count(*) AS raters, {", ".join(f"round(avg(rmse_{k}), 6) AS rmse_{k}" for k in shrinkage.ARMS)},
 round(1 - avg(rmse_shrunk) / avg(rmse_population), 6) AS gain_of_means, round(avg(1 - rmse_shrunk / nullif(rmse_population, 0)), 6) AS gain_of_ratios,
-round(1 - sqrt(sum(n * rmse_shrunk * rmse_shrunk) / sum(n * rmse_population * rmse_population)), 6) AS gain_pooled, round(avg(CASE WHEN rmse_shrunk < rmse_population THEN 1.0 ELSE 0.0 END), 6) AS win_rate FROM r"""
+round(1 - sqrt(sum(n * rmse_shrunk * rmse_shrunk) / sum(n * rmse_population * rmse_population)), 6) AS gain_pooled, round(avg(CASE WHEN rmse_shrunk < rmse_population * (1 - 1e-9) THEN 1.0 ELSE 0.0 END), 6) AS win_rate FROM r"""
 
 
 EVENT_FOLDS = folds_sql(EVENTS, K_FOLD, f"cnt >= {K}")
@@ -371,7 +371,7 @@ def e5_component_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.agg(*(F.round(1 - F.avg(f"rmse_{a}") / F.avg("rmse_population"), 6).alias(f"gain_{a}") for a in ("intercept_only", "slope_only", "shrunk")))
 
 
-@query(f"WITH {errors_sql(ORDER_FOLDS)} SELECT round(1 - avg(rmse_rater) / avg(rmse_population), 6) AS gain_of_means, round(avg(1 - rmse_rater / nullif(rmse_population, 0)), 6) AS gain_of_ratios, round(1 - sqrt(sum(n * rmse_rater * rmse_rater) / sum(n * rmse_population * rmse_population)), 6) AS gain_pooled, count(*) AS raters, round(avg(CASE WHEN rmse_rater < rmse_population THEN 1.0 ELSE 0.0 END), 6) AS win_rate FROM r")
+@query(f"WITH {errors_sql(ORDER_FOLDS)} SELECT round(1 - avg(rmse_rater) / avg(rmse_population), 6) AS gain_of_means, round(avg(1 - rmse_rater / nullif(rmse_population, 0)), 6) AS gain_of_ratios, round(1 - sqrt(sum(n * rmse_rater * rmse_rater) / sum(n * rmse_population * rmse_population)), 6) AS gain_pooled, count(*) AS raters, round(avg(CASE WHEN rmse_rater < rmse_population * (1 - 1e-9) THEN 1.0 ELSE 0.0 END), 6) AS win_rate FROM r")
 def e6_three_gains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(shrinkage.gains(shrinkage.rater_rmse(shrinkage.held_out_errors(order_folds(spark, sf_dir))), arm="rater"))
 
@@ -407,18 +407,18 @@ def e9_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
 _DRAWS = "i AS (SELECT *, row_number() OVER (ORDER BY rater) - 1 AS idx, count(*) OVER () AS m FROM r), d AS (SELECT b, CAST('0x' || substr(md5('7:' || b || ':' || idx), 1, 8) AS BIGINT) % m AS idx FROM i, range(0, 200) g(b)), k AS (SELECT b, i.* FROM d JOIN i USING (idx))"
 
 
-@query(f"WITH {errors_sql(EVENT_FOLDS)}, {_DRAWS}, g AS (SELECT b, 1 - avg(rmse_shrunk) / avg(rmse_population) AS gain FROM k GROUP BY b) SELECT round(quantile_cont(gain, 0.025), 6) AS low, round(quantile_cont(gain, 0.975), 6) AS high, count(gain) AS valid FROM g")
+@query(f"WITH {errors_sql(EVENT_FOLDS)}, {_DRAWS}, g AS (SELECT b, 1 - avg(rmse_rater) / avg(rmse_population) AS gain FROM k GROUP BY b) SELECT round(quantile_cont(gain, 0.025), 6) AS low, round(quantile_cont(gain, 0.975), 6) AS high, count(gain) AS valid FROM g")
 def b1_rater_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = inference.ordered(shrinkage.rater_rmse(shrinkage.held_out_errors(event_folds(spark, sf_dir))))
-    gain = (1 - F.avg("rmse_shrunk") / F.avg("rmse_population")).alias("gain")
+    gain = (1 - F.avg("rmse_rater") / F.avg("rmse_population")).alias("gain")
     return rounded(inference.percentile_interval(inference.bootstrap(r, 200, 7, gain), "gain"))
 
 
-@query(f"WITH {errors_sql(EVENT_FOLDS)}, {_DRAWS}, g AS (SELECT b, 1 - sqrt(sum(n * rmse_shrunk ** 2) / sum(n * rmse_population ** 2)) AS gain FROM k GROUP BY b), jk AS (SELECT 1 - sqrt(((sum(n * rmse_shrunk ** 2) OVER ()) - n * rmse_shrunk ** 2) / ((sum(n * rmse_population ** 2) OVER ()) - n * rmse_population ** 2)) AS gain FROM r) SELECT round(quantile_cont(gain, 0.025), 6) AS low, round(quantile_cont(gain, 0.975), 6) AS high, count(gain) AS valid, round((SELECT avg(gain) FROM jk), 6) AS jackknife_mean, round((SELECT stddev_pop(gain) FROM jk), 8) AS jackknife_sd FROM g")
+@query(f"WITH {errors_sql(EVENT_FOLDS)}, {_DRAWS}, g AS (SELECT b, 1 - sqrt(sum(n * rmse_rater ** 2) / sum(n * rmse_population ** 2)) AS gain FROM k GROUP BY b), jk AS (SELECT 1 - sqrt(((sum(n * rmse_rater ** 2) OVER ()) - n * rmse_rater ** 2) / ((sum(n * rmse_population ** 2) OVER ()) - n * rmse_population ** 2)) AS gain FROM r) SELECT round(quantile_cont(gain, 0.025), 6) AS low, round(quantile_cont(gain, 0.975), 6) AS high, count(gain) AS valid, round((SELECT avg(gain) FROM jk), 6) AS jackknife_mean, round((SELECT stddev_pop(gain) FROM jk), 8) AS jackknife_sd FROM g")
 def b2_cluster_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pooled-row errors resampled by rater: each rater's squared-error sums are enough."""
     r = inference.ordered(shrinkage.rater_rmse(shrinkage.held_out_errors(event_folds(spark, sf_dir))))
-    s = r.select("idx", "m", (F.col("n") * F.col("rmse_population") ** 2).alias("base"), (F.col("n") * F.col("rmse_shrunk") ** 2).alias("model"))
+    s = r.select("idx", "m", (F.col("n") * F.col("rmse_population") ** 2).alias("base"), (F.col("n") * F.col("rmse_rater") ** 2).alias("model"))
     gain = lambda model, base: 1 - F.sqrt(model / base)
     whole = s.agg(F.sum("base").alias("all_base"), F.sum("model").alias("all_model"))
     j = s.crossJoin(F.broadcast(whole)).select(gain(F.col("all_model") - F.col("model"), F.col("all_base") - F.col("base")).alias("g"))
@@ -429,22 +429,22 @@ def b2_cluster_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
 _RANK = "rank() OVER (ORDER BY {0}) + (count(*) OVER (PARTITION BY {0}) - 1) / 2"
 
 
-@query(f"WITH {errors_sql(EVENT_FOLDS)}, d AS (SELECT n, rmse_population - rmse_shrunk AS gain FROM r), k AS (SELECT {_RANK.format('n')} AS a, {_RANK.format('gain')} AS b FROM d) SELECT round(corr(a, b), 6) AS rho, count(*) AS n FROM k")
+@query(f"WITH {errors_sql(EVENT_FOLDS)}, d AS (SELECT n, rmse_population - rmse_rater AS gain FROM r), k AS (SELECT {_RANK.format('n')} AS a, {_RANK.format('gain')} AS b FROM d) SELECT round(corr(a, b), 6) AS rho, count(*) AS n FROM k")
 def b4_rank_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = shrinkage.rater_rmse(shrinkage.held_out_errors(event_folds(spark, sf_dir)))
-    d = r.select(F.col("n").alias("size"), (F.col("rmse_population") - F.col("rmse_shrunk")).alias("gain"))
+    d = r.select(F.col("n").alias("size"), (F.col("rmse_population") - F.col("rmse_rater")).alias("gain"))
     return inference.spearman(d, "size", "gain").select(F.round("rho", 6).alias("rho"), "n")
 
 
-@query(f"WITH {errors_sql(EVENT_FOLDS)}, d AS (SELECT rmse_population - rmse_shrunk AS d FROM r), k AS (SELECT d, {_RANK.format('abs(d)')} AS rk FROM d WHERE d <> 0), s AS (SELECT count(*) AS n, sum(CASE WHEN d > 0 THEN rk ELSE 0 END) AS w_plus, sum(CASE WHEN d < 0 THEN rk ELSE 0 END) AS w_minus FROM k), t AS (SELECT sum(c * c * c - c) AS tie FROM (SELECT count(*) AS c FROM k GROUP BY abs(d))) SELECT n, w_plus, w_minus, round((w_plus - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - tie / 48), 6) AS z, round((SELECT avg(CASE WHEN d > 0 THEN 1.0 ELSE 0.0 END) FROM d), 6) AS win_fraction FROM s, t")
+@query(f"WITH {errors_sql(EVENT_FOLDS)}, d AS (SELECT rmse_population - rmse_rater AS d FROM r), k AS (SELECT d, {_RANK.format('abs(d)')} AS rk FROM d WHERE d <> 0), s AS (SELECT count(*) AS n, sum(CASE WHEN d > 0 THEN rk ELSE 0 END) AS w_plus, sum(CASE WHEN d < 0 THEN rk ELSE 0 END) AS w_minus FROM k), t AS (SELECT sum(c * c * c - c) AS tie FROM (SELECT count(*) AS c FROM k GROUP BY abs(d))) SELECT n, w_plus, w_minus, round((w_plus - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - tie / 48), 6) AS z, round((SELECT avg(CASE WHEN d > 0 THEN 1.0 ELSE 0.0 END) FROM d), 6) AS win_fraction FROM s, t")
 def b5_paired_wilcoxon(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = shrinkage.rater_rmse(shrinkage.held_out_errors(event_folds(spark, sf_dir)))
-    return rounded(inference.wilcoxon(r, "rmse_population", "rmse_shrunk"))
+    return rounded(inference.wilcoxon(r, "rmse_population", "rmse_rater"))
 
 
-@query(f"WITH {errors_sql(EVENT_FOLDS)}, s AS (SELECT avg(rmse_population - rmse_shrunk) / stddev_samp(rmse_population - rmse_shrunk) AS d, (avg(rmse_population) - avg(rmse_shrunk)) / sqrt((var_samp(rmse_population) + var_samp(rmse_shrunk)) / 2) AS p, count(*) AS n FROM r) SELECT round(d, 6) AS d_paired, round(p, 6) AS d_pooled, n, CASE WHEN abs(d) < 0.2 THEN 'negligible' WHEN abs(d) < 0.5 THEN 'small' WHEN abs(d) < 0.8 THEN 'medium' ELSE 'large' END AS label FROM s")
+@query(f"WITH {errors_sql(EVENT_FOLDS)}, s AS (SELECT avg(rmse_population - rmse_rater) / stddev_samp(rmse_population - rmse_rater) AS d, (avg(rmse_population) - avg(rmse_rater)) / sqrt((var_samp(rmse_population) + var_samp(rmse_rater)) / 2) AS p, count(*) AS n FROM r) SELECT round(d, 6) AS d_paired, round(p, 6) AS d_pooled, n, CASE WHEN abs(d) < 0.2 THEN 'negligible' WHEN abs(d) < 0.5 THEN 'small' WHEN abs(d) < 0.8 THEN 'medium' ELSE 'large' END AS label FROM s")
 def b6_effect_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(inference.cohens_d(shrinkage.rater_rmse(shrinkage.held_out_errors(event_folds(spark, sf_dir))), "rmse_population", "rmse_shrunk"))
+    return rounded(inference.cohens_d(shrinkage.rater_rmse(shrinkage.held_out_errors(event_folds(spark, sf_dir))), "rmse_population", "rmse_rater"))
 
 
 _Z = 1.959963984540054
@@ -609,11 +609,11 @@ def z3_flipped_slopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.agg(rmse(F.col("slope"), "fitted"), rmse(-F.col("slope"), "flipped"), rmse(1 - F.col("slope"), "complement"))
 
 
-@query(f"WITH {errors_sql(EVENT_FOLDS)}, {_DRAWS}, g AS (SELECT b, 1 - avg(rmse_shrunk) / avg(rmse_population) AS gain FROM k GROUP BY b), ci AS (SELECT quantile_cont(gain, 0.025) AS low, quantile_cont(gain, 0.975) AS high, (SELECT 1 - avg(rmse_shrunk) / avg(rmse_population) FROM r) AS gain FROM g) SELECT CASE WHEN gain >= 0.05 AND low > 0 THEN 'strong' WHEN low > 0 THEN 'positive' WHEN high < 0 THEN 'negative' ELSE 'null' END AS outcome, round(gain, 6) AS gain FROM ci")
+@query(f"WITH {errors_sql(EVENT_FOLDS)}, {_DRAWS}, g AS (SELECT b, 1 - avg(rmse_rater) / avg(rmse_population) AS gain FROM k GROUP BY b), ci AS (SELECT quantile_cont(gain, 0.025) AS low, quantile_cont(gain, 0.975) AS high, (SELECT 1 - avg(rmse_rater) / avg(rmse_population) FROM r) AS gain FROM g) SELECT CASE WHEN gain >= 0.05 AND low > 0 THEN 'strong' WHEN low > 0 THEN 'positive' WHEN high < 0 THEN 'negative' ELSE 'null' END AS outcome, round(gain, 6) AS gain FROM ci")
 def d1_outcome_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules in order; the first that holds names the outcome."""
     r = inference.ordered(shrinkage.rater_rmse(shrinkage.held_out_errors(event_folds(spark, sf_dir))))
-    gain = 1 - F.avg("rmse_shrunk") / F.avg("rmse_population")
+    gain = 1 - F.avg("rmse_rater") / F.avg("rmse_population")
     ci = inference.percentile_interval(inference.bootstrap(r, 200, 7, gain.alias("gain")), "gain")
     c = ci.crossJoin(F.broadcast(r.agg(gain.alias("gain"))))
     outcome = F.when((F.col("gain") >= 0.05) & (F.col("low") > 0), "strong").when(F.col("low") > 0, "positive").when(F.col("high") < 0, "negative").otherwise("null")

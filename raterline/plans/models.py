@@ -62,11 +62,11 @@ def b3_other_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 def b2_bca_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bias-corrected interval of the gain: replicates are few, the leave-one-out values one per rater."""
     r = inference.ordered(shrinkage.rater_rmse(shrinkage.held_out_errors(event_folds(spark, sf_dir)))).cache()
-    gain = (1 - F.avg("rmse_shrunk") / F.avg("rmse_population")).alias("gain")
-    t = r.agg(gain, F.sum("rmse_shrunk").alias("s"), F.sum("rmse_population").alias("p")).head()
+    gain = (1 - F.avg("rmse_rater") / F.avg("rmse_population")).alias("gain")
+    t = r.agg(gain, F.sum("rmse_rater").alias("s"), F.sum("rmse_population").alias("p")).head()
     replicates = [x["gain"] for x in inference.bootstrap(r, 200, 7, gain).collect()]
     # Of the leave-one-out values only their moments matter: sums of squares and cubes, not the values.
-    one = r.select((1 - (t["s"] - F.col("rmse_shrunk")) / (t["p"] - F.col("rmse_population"))).alias("g"))
+    one = r.select((1 - (t["s"] - F.col("rmse_rater")) / (t["p"] - F.col("rmse_population"))).alias("g"))
     m = one.agg(F.avg("g").alias("m"), F.count("*").alias("n"), F.skewness("g").alias("skew"), F.stddev_pop("g").alias("sd")).head()
     # Three values with the same mean, spread and skew stand for all of them up to scale in n.
     low, high = inference.bca_interval(t["gain"], replicates, _standing_for(m["m"], m["sd"], m["skew"], m["n"]))
