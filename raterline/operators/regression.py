@@ -4,7 +4,9 @@ Six sums per group (n, x, y, xx, xy, yy) are all that a line, its sampling varia
 error on other rows need.  They add up, so training folds are totals less the held-out fold,
 and one aggregation with map-side combine serves every fold and every model.
 
-Sums are taken about the grand means: raw sums cancel badly when means are large.
+Sums are taken about a centre (mx, my), the grand means as a rule: raw sums cancel badly when
+means are large.  Lines and their variances are always those of x and y themselves, so the
+choice of centre does not show.
 """
 
 from __future__ import annotations
@@ -27,12 +29,19 @@ def centred(obs: DataFrame, about: DataFrame | None = None) -> DataFrame:
 
 
 def sums(obs: DataFrame, *keys: str, x: str = "cx", y: str = "cy") -> DataFrame:
+    """The six sums per key, and the centre they are about (0 for other columns than cx and cy)."""
     a, b = F.col(x), F.col(y)
+    centre = [F.max("mx").alias("mx"), F.max("my").alias("my")] if (x, y) == ("cx", "cy") else [F.lit(0.0).alias("mx"), F.lit(0.0).alias("my")]
     return obs.groupBy(*keys).agg(
-        F.count("*").cast("double").alias("n"), F.sum(a).alias("sx"), F.sum(b).alias("sy"), F.sum(a * a).alias("sxx"), F.sum(a * b).alias("sxy"), F.sum(b * b).alias("syy")
+        F.count("*").cast("double").alias("n"), F.sum(a).alias("sx"), F.sum(b).alias("sy"), F.sum(a * a).alias("sxx"), F.sum(a * b).alias("sxy"), F.sum(b * b).alias("syy"), *centre
     )
 
 
+def added(parts: DataFrame, *keys: str) -> DataFrame:
+    """Sums of sums."""
+    return parts.groupBy(*keys).agg(*(F.sum(s).alias(s) for s in SUMS), F.max("mx").alias("mx"), F.max("my").alias("my"))
+
+
 def totals_less(parts: DataFrame, key: str) -> DataFrame:
     """Beside each part's sums: t_n, ..., the sums of all other parts of the same key."""
     w = Window.partitionBy(key)
@@ -40,7 +49,7 @@ def totals_less(parts: DataFrame, key: str) -> DataFrame:
 
 
 def line(df: DataFrame, guard: str = "a", *, prefix: str = "") -> DataFrame:
-    """intercept, slope, v_intercept, v_slope from columns of sums; null variance: infinite.
+    """intercept, slope, v_intercept, v_slope of y on x, from columns of sums and their centre; null variance: infinite.
 
     guard: what counts as too little to fit a line.
       a  under 2 rows, or a spread of x under 1e-12 -> the mean (0 without rows), flat, no variance
@@ -50,7 +59,7 @@ def line(df: DataFrame, guard: str = "a", *, prefix: str = "") -> DataFrame:
     """
     n, sx, sy, sxx, sxy, syy = (F.col(prefix + s) for s in SUMS)
     some = F.when(n > 0, n)
-    mean_x, mean_y = sx / some, sy / some
+    mean_x, mean_y = F.col("mx") + sx / some, F.col("my") + sy / some
     spread, cross, total = sxx - sx * sx / some, sxy - sx * sy / some, syy - sy * sy / some
     few = {"a": n < 2, "b": n < 3, "c": n < 3, "d": n < 2}[guard]
     flat = {"a": spread / some < 1e-12, "b": spread < 1e-10, "c": spread < 1e-10, "d": spread / some < 1e-12}[guard]
@@ -71,16 +80,12 @@ def line(df: DataFrame, guard: str = "a", *, prefix: str = "") -> DataFrame:
 def squared_error(intercept: Column, slope: Column, *, prefix: str = "") -> Column:
     """Sum of squared errors of a line on the rows behind a set of sums."""
     n, sx, sy, sxx, sxy, syy = (F.col(prefix + s) for s in SUMS)
+    intercept = intercept - F.col("my") + slope * F.col("mx")
     return F.greatest(syy - 2 * intercept * sy - 2 * slope * sxy + n * intercept * intercept + 2 * intercept * slope * sx + slope * slope * sxx, F.lit(0.0))
 
 
-def uncentred(df: DataFrame) -> DataFrame:
-    """The intercept back on the scale of x and y; needs mx, my."""
-    return df.withColumn("intercept", F.col("my") + F.col("intercept") - F.col("slope") * F.col("mx"))
-
-
 def population_line(obs: DataFrame) -> DataFrame:
-    """One row, the line through all observations (about the grand means)."""
+    """One row, the line through all observations; obs as centred() gives them."""
     return line(sums(obs)).select(F.col("intercept").alias("pop_intercept"), F.col("slope").alias("pop_slope"))
 
 

@@ -6,10 +6,11 @@ the same sums, so rows are read and shuffled once.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from raterline.operators.regression import SUMS, centred, line, population_line, squared_error, sums, totals_less
+from raterline.operators.regression import added, centred, line, population_line, squared_error, sums, totals_less
 
 ARMS = ("mean", "population", "rater", "shrunk")
 
@@ -46,34 +47,33 @@ def shrunk(df: DataFrame, **options) -> DataFrame:
 
 
 def rater_lines(obs: DataFrame, guard: str = "a") -> DataFrame:
-    """R2: the line of every rater, about the grand means; obs as centred() gives them."""
+    """R2: the line of every rater; obs as centred() gives them."""
     return line(sums(obs, "rater"), guard)
 
 
 def held_out_errors(folds: DataFrame, *, guard: str = "a", floor: float = 1e-6, nested: bool = False, **options) -> DataFrame:
     """Per (rater, fold), n and the sum of squared errors of every arm on the held-out rows.
 
-    folds: observations with `fold`.  nested (V9): population and variances from the other
+    folds: observations with `fold`, centred or not.  nested (V9): population and variances from the other
     folds of all raters only, in place of all rows.
     """
-    c = centred(folds)
-    parts = totals_less(sums(c, "rater", "fold"), "rater")
-    fitted = line(parts, guard, prefix="t_")
+    c = folds if "cx" in folds.columns else centred(folds)
+    # One small row per rater and fold, read by the fits, the totals and the population alike.
+    parts = sums(c, "rater", "fold").persist(StorageLevel.MEMORY_AND_DISK)
+    fitted = line(totals_less(parts, "rater"), guard, prefix="t_")
     if nested:
-        other = line(totals_less(parts.groupBy("fold").agg(*(F.sum(s).alias(s) for s in SUMS)).withColumn("all", F.lit(0)), "all"), prefix="t_")
+        other = line(totals_less(added(parts, "fold").withColumn("all", F.lit(0)), "all"), prefix="t_")
         population = other.select("fold", F.col("intercept").alias("pop_intercept"), F.col("slope").alias("pop_slope"))
         spread = lambda c: F.greatest(F.var_samp(c) - F.avg(f"v_{c}"), F.lit(floor)).alias(f"t2_{c}")
         t2 = fitted.groupBy("fold").agg(spread("intercept"), spread("slope"))
         fitted = fitted.join(F.broadcast(population.join(t2, "fold")), "fold")
     else:
-        whole = line(parts.groupBy("rater").agg(*(F.sum(s).alias(s) for s in SUMS)), guard)
-        pooled = parts.agg(*(F.sum(s).alias(s) for s in SUMS))
-        population = line(pooled).select(F.col("intercept").alias("pop_intercept"), F.col("slope").alias("pop_slope"))
-        fitted = fitted.crossJoin(F.broadcast(population)).crossJoin(F.broadcast(between_variance(whole, floor=floor)))
+        population = line(added(parts)).select(F.col("intercept").alias("pop_intercept"), F.col("slope").alias("pop_slope"))
+        fitted = fitted.crossJoin(F.broadcast(population)).crossJoin(F.broadcast(between_variance(line(added(parts, "rater"), guard), floor=floor)))
     e = shrunk(fitted, **options)
     zero = F.lit(0.0)
     arms = {
-        "mean": (F.coalesce(F.col("t_sy") / F.when(F.col("t_n") > 0, F.col("t_n")), zero), zero),
+        "mean": (F.coalesce(F.col("my") + F.col("t_sy") / F.when(F.col("t_n") > 0, F.col("t_n")), zero), zero),
         "population": (F.col("pop_intercept"), F.col("pop_slope")),
         "rater": (F.col("intercept"), F.col("slope")),
         "shrunk": (F.col("eb_intercept"), F.col("eb_slope")),
@@ -128,7 +128,7 @@ def calibrated(obs: DataFrame, calibrators: DataFrame, population: DataFrame, mo
 def residual_means(obs: DataFrame, *, floor: float = 0.0) -> DataFrame:
     """Per rater, the mean residual from the population line, shrunk toward 0."""
     c = centred(obs).crossJoin(F.broadcast(population_line(centred(obs))))
-    r = c.withColumn("r", F.col("cy") - F.col("pop_intercept") - F.col("pop_slope") * F.col("cx"))
+    r = c.withColumn("r", F.col("y") - F.col("pop_intercept") - F.col("pop_slope") * F.col("x"))
     each = r.groupBy("rater").agg(F.count("*").alias("n"), F.avg("r").alias("mean_r"), (F.var_samp("r") / F.count("*")).alias("v"))
     t2 = each.agg(F.greatest(F.var_samp("mean_r") - F.avg("v"), F.lit(floor)).alias("t2"))
     return each.crossJoin(F.broadcast(t2)).withColumn("w", weight(F.col("t2"), F.col("v"))).withColumn("shift", F.col("w") * F.col("mean_r"))

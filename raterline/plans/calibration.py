@@ -23,7 +23,7 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 # ------------------------------------------------------------------ SQL building blocks
 
-_SUMS = "CAST(count(*) AS DOUBLE) AS n, sum(cx) AS sx, sum(cy) AS sy, sum(cx * cx) AS sxx, sum(cx * cy) AS sxy, sum(cy * cy) AS syy"
+_SUMS = "CAST(count(*) AS DOUBLE) AS n, sum(cx) AS sx, sum(cy) AS sy, sum(cx * cx) AS sxx, sum(cx * cy) AS sxy, sum(cy * cy) AS syy, any_value(mx) AS mx, any_value(my) AS my"
 
 
 def centred_sql(source: str) -> str:
@@ -37,15 +37,16 @@ def line_sql(name: str, source: str, guard: str = "a", p: str = "") -> str:
     s2 = f"greatest(total - cr * cr / spread, 0) / " + (f"greatest({p}n - 2, 1)" if guard in "ad" else f"({p}n - 2)")
     if guard == "d":
         s2 = f"CASE WHEN {p}n = 2 THEN CASE WHEN total > 0 THEN total / {p}n ELSE 1 END ELSE {s2} END"
-    mean = {"a": f"coalesce({p}sy / {p}n, 0)", "b": f"CASE WHEN {few} THEN NULL ELSE {p}sy / {p}n END", "c": "NULL", "d": f"coalesce({p}sy / {p}n, 0)"}[guard]
+    mean = {"a": f"coalesce(my + {p}sy / nullif({p}n, 0), 0)", "b": f"CASE WHEN {few} THEN NULL ELSE my + {p}sy / {p}n END", "c": "NULL", "d": f"coalesce(my + {p}sy / nullif({p}n, 0), 0)"}[guard]
     zero = {"a": "0", "b": f"CASE WHEN {few} THEN NULL ELSE 0 END", "c": "NULL", "d": "0"}[guard]
     return f"""{name}_s AS (SELECT *, {p}sxx - {p}sx * {p}sx / nullif({p}n, 0) AS spread, {p}sxy - {p}sx * {p}sy / nullif({p}n, 0) AS cr, {p}syy - {p}sy * {p}sy / nullif({p}n, 0) AS total FROM {source}),
 {name}_f AS (SELECT *, coalesce(NOT ({few} OR {flat}), false) AS fits FROM {name}_s),
-{name} AS (SELECT *, CAST(CASE WHEN fits THEN cr / spread ELSE {zero} END AS DOUBLE) AS slope, CAST(CASE WHEN fits THEN {p}sy / {p}n - cr / spread * {p}sx / {p}n ELSE {mean} END AS DOUBLE) AS intercept,
- CASE WHEN fits THEN ({s2}) / greatest(spread, 1e-12) END AS v_slope, CASE WHEN fits THEN ({s2}) * (1 / {p}n + ({p}sx / {p}n) * ({p}sx / {p}n) / greatest(spread, 1e-12)) END AS v_intercept FROM {name}_f)"""
+{name} AS (SELECT *, CAST(CASE WHEN fits THEN cr / spread ELSE {zero} END AS DOUBLE) AS slope, CAST(CASE WHEN fits THEN my + {p}sy / {p}n - cr / spread * (mx + {p}sx / {p}n) ELSE {mean} END AS DOUBLE) AS intercept,
+ CASE WHEN fits THEN ({s2}) / greatest(spread, 1e-12) END AS v_slope, CASE WHEN fits THEN ({s2}) * (1 / {p}n + (mx + {p}sx / {p}n) * (mx + {p}sx / {p}n) / greatest(spread, 1e-12)) END AS v_intercept FROM {name}_f)"""
 
 
 def sse_sql(a: str, b: str) -> str:
+    a = f"({a} - my + {b} * mx)"
     return f"greatest(syy - 2 * {a} * sy - 2 * {b} * sxy + n * {a} * {a} + 2 * {a} * {b} * sx + {b} * {b} * sxx, 0)"
 
 
@@ -54,7 +55,7 @@ def folds_sql(source: str, fold: str, where: str = "true") -> str:
     return f"""obs AS (SELECT * FROM {source} WHERE x IS NOT NULL AND y IS NOT NULL AND rater IS NOT NULL),
 p AS (SELECT *, row_number() OVER (PARTITION BY rater ORDER BY md5('{SEED}:' || obs_id), obs_id) - 1 AS pos, count(*) OVER (PARTITION BY rater) AS cnt FROM obs),
 f AS (SELECT *, CAST({fold} AS INTEGER) AS fold FROM p WHERE {where}),
-mid AS (SELECT avg(x) AS mx, avg(y) AS my FROM f), c AS (SELECT f.*, x - mx AS cx, y - my AS cy FROM f, mid)"""
+mid AS (SELECT avg(x) AS mx, avg(y) AS my FROM f), c AS (SELECT f.*, mx, my, x - mx AS cx, y - my AS cy FROM f, mid)"""
 
 
 K_FOLD = f"least(floor(pos / floor(cnt / {K})), {K - 1})"
@@ -70,7 +71,7 @@ def errors_sql(folds: str, *, guard: str = "a", floor: float = 1e-6, nested: boo
     sums = ("n", "sx", "sy", "sxx", "sxy", "syy")
     less = ", ".join(f"(sum({s}) OVER (PARTITION BY rater)) - {s} AS t_{s}" for s in sums)
     t2 = ", ".join(f"greatest(var_samp({c}) - avg(v_{c}), {floor}) AS t2_{c}" for c in ("intercept", "slope"))
-    total = ", ".join(f"sum({s}) AS {s}" for s in sums)
+    total = ", ".join(f"sum({s}) AS {s}" for s in sums) + ", any_value(mx) AS mx, any_value(my) AS my"
     if nested:
         fold_less = ", ".join(f"(sum({s}) OVER ()) - {s} AS t_{s}" for s in sums)
         middle = f"""pf AS (SELECT *, {fold_less} FROM (SELECT fold, {total} FROM parts GROUP BY fold)), {line_sql("pl", "pf", "a", "t_")},
@@ -80,7 +81,7 @@ j AS (SELECT fit.*, pop_intercept, pop_slope, t2_intercept, t2_slope FROM fit JO
         middle = f"""ra AS (SELECT rater, {total} FROM parts GROUP BY rater), {line_sql("rl", "ra", guard)}, t2 AS (SELECT {t2} FROM rl),
 pa AS (SELECT {total} FROM parts), {line_sql("pl", "pa")}, pop AS (SELECT intercept AS pop_intercept, slope AS pop_slope FROM pl),
 j AS (SELECT fit.*, pop_intercept, pop_slope, t2_intercept, t2_slope FROM fit, pop, t2)"""
-    arms = {"mean": ("coalesce(t_sy / nullif(t_n, 0), 0)", "0"), "population": ("pop_intercept", "pop_slope"), "rater": ("intercept", "slope"), "shrunk": ("eb_intercept", "eb_slope"), "intercept_only": ("eb_intercept", "pop_slope"), "slope_only": ("pop_intercept", "eb_slope")}
+    arms = {"mean": ("coalesce(my + t_sy / nullif(t_n, 0), 0)", "0"), "population": ("pop_intercept", "pop_slope"), "rater": ("intercept", "slope"), "shrunk": ("eb_intercept", "eb_slope"), "intercept_only": ("eb_intercept", "pop_slope"), "slope_only": ("pop_intercept", "eb_slope")}
     return f"""{folds}, parts0 AS (SELECT rater, fold, {_SUMS} FROM c GROUP BY ALL), parts AS (SELECT *, {less} FROM parts0), {line_sql("fit", "parts", guard, "t_")}, {middle},
 w AS (SELECT *, {_weight("v_intercept", "t2_intercept", v_floor, add)} AS w_intercept, {_weight("v_slope", "t2_slope", v_floor, add)} AS w_slope FROM j),
 eb AS (SELECT *, w_intercept * intercept + (1 - w_intercept) * pop_intercept AS eb_intercept, w_slope * slope + (1 - w_slope) * pop_slope AS eb_slope FROM w),
@@ -99,11 +100,11 @@ ORDER_FOLDS = folds_sql(ORDERS, K_FOLD, f"cnt >= {K}")
 
 
 def event_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return splits.k_folds(complete(events(spark, sf_dir)), K, SEED)
+    return splits.k_folds(regression.centred(complete(events(spark, sf_dir))), K, SEED)
 
 
 def order_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return splits.k_folds(complete(orders(spark, sf_dir)), K, SEED)
+    return splits.k_folds(regression.centred(complete(orders(spark, sf_dir))), K, SEED)
 
 
 # ------------------------------------------------------------------ the core query
@@ -122,19 +123,18 @@ def core_shrinkage_small_raters(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ------------------------------------------------------------------ regression
 
 
-@query(f"WITH {centred_sql(EVENTS)}, s AS (SELECT {_SUMS}, any_value(mx) AS mx, any_value(my) AS my FROM c), {line_sql('l', 's')} SELECT round(my + intercept - slope * mx, 6) AS intercept, round(slope, 9) AS slope FROM l")
+@query(f"WITH {centred_sql(EVENTS)}, s AS (SELECT {_SUMS} FROM c), {line_sql('l', 's')} SELECT round(intercept, 6) AS intercept, round(slope, 9) AS slope FROM l")
 def r1_population_line(spark: SparkSession, sf_dir: str) -> DataFrame:
-    obs = complete(events(spark, sf_dir))
-    both = regression.population_line(regression.centred(obs)).crossJoin(F.broadcast(regression.centres(obs)))
-    return both.select(F.round(F.col("my") + F.col("pop_intercept") - F.col("pop_slope") * F.col("mx"), 6).alias("intercept"), F.round("pop_slope", 9).alias("slope"))
+    line = regression.population_line(regression.centred(complete(events(spark, sf_dir))))
+    return line.select(F.round("pop_intercept", 6).alias("intercept"), F.round("pop_slope", 9).alias("slope"))
 
 
 def _rater_lines(guard: str) -> None:
-    sql = f"WITH {centred_sql(ORDERS)}, s AS (SELECT rater, {_SUMS} FROM c GROUP BY rater), {line_sql('l', 's', guard)} SELECT rater, round(intercept, 3) AS intercept, round(slope, 4) AS slope, round(v_intercept / 1000, 3) AS v_intercept, round(v_slope, 3) AS v_slope FROM l"
+    sql = f"WITH {centred_sql(ORDERS)}, s AS (SELECT rater, {_SUMS} FROM c GROUP BY rater), {line_sql('l', 's', guard)} SELECT rater, round(intercept, 3) AS intercept, round(slope, 4) AS slope, round(v_intercept / 1000000, 3) AS v_intercept, round(v_slope, 3) AS v_slope FROM l"
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         lines = shrinkage.rater_lines(regression.centred(complete(orders(spark, sf_dir))), guard)
-        return lines.select("rater", F.round("intercept", 3).alias("intercept"), F.round("slope", 4).alias("slope"), F.round(F.col("v_intercept") / 1000, 3).alias("v_intercept"), F.round("v_slope", 3).alias("v_slope"))
+        return lines.select("rater", F.round("intercept", 3).alias("intercept"), F.round("slope", 4).alias("slope"), F.round(F.col("v_intercept") / 1000000, 3).alias("v_intercept"), F.round("v_slope", 3).alias("v_slope"))
 
     run.__name__ = f"r2{guard}_rater_lines"
     query(sql)(run)
@@ -154,12 +154,12 @@ def r3_quadratic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.select("rater", F.round("a", 6).alias("a"), F.round("b", 6).alias("b"), F.round("c", 8).alias("c"), F.round(F.col("v_c") * 1e6, 6).alias("v_c"))
 
 
-@query(f"WITH {centred_sql(EVENTS)}, s AS (SELECT rater, {_SUMS} FROM c GROUP BY rater), {line_sql('l', 's')} SELECT obs_id, round(CASE WHEN abs(slope) <= 0.05 THEN cy - intercept ELSE (cy - intercept) / slope END, 5) AS corrected FROM c JOIN l USING (rater)")
+@query(f"WITH {centred_sql(EVENTS)}, s AS (SELECT rater, {_SUMS} FROM c GROUP BY rater), {line_sql('l', 's')} SELECT obs_id, round(CASE WHEN abs(slope) <= 0.05 THEN y - intercept ELSE (y - intercept) / slope END, 5) AS corrected FROM c JOIN l USING (rater)")
 def r5_inverse_correction(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = regression.centred(complete(events(spark, sf_dir)))
-    rest = F.col("cy") - F.col("intercept")
+    rest = F.col("y") - F.col("intercept")
     inverse = F.when(F.abs("slope") <= 0.05, rest).otherwise(rest / F.when(F.abs("slope") > 0.05, F.col("slope")))
-    return c.join(shrinkage.rater_lines(c).select("rater", "intercept", "slope"), "rater").select("obs_id", F.round(inverse, 5).alias("corrected"))
+    return c.select("rater", "obs_id", "y").join(shrinkage.rater_lines(c).select("rater", "intercept", "slope"), "rater").select("obs_id", F.round(inverse, 5).alias("corrected"))
 
 
 @query(f"""WITH {EVENT_FOLDS}, s AS (SELECT rater, fold, CAST(count(*) AS DOUBLE) AS n, sum(x) AS sx, sum(x * x) AS sxx, sum(y) AS sy, min(x) AS lx, max(x) AS hx FROM f GROUP BY ALL),
@@ -242,7 +242,7 @@ def v7_half_of_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.half_of_groups(events(spark, sf_dir), SEED).select("obs_id", "held_out")
 
 
-_GROUP_FOLDS = f"f AS (SELECT *, grp AS fold FROM {EVENTS} WHERE x IS NOT NULL AND y IS NOT NULL), mid AS (SELECT avg(x) AS mx, avg(y) AS my FROM f), c AS (SELECT f.*, x - mx AS cx, y - my AS cy FROM f, mid)"
+_GROUP_FOLDS = f"f AS (SELECT *, grp AS fold FROM {EVENTS} WHERE x IS NOT NULL AND y IS NOT NULL), mid AS (SELECT avg(x) AS mx, avg(y) AS my FROM f), c AS (SELECT f.*, mx, my, x - mx AS cx, y - my AS cy FROM f, mid)"
 
 
 @query(evaluation_sql(_GROUP_FOLDS))
@@ -349,12 +349,12 @@ def e2c_guarded_denominator(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(shrinkage.evaluation(order_folds(spark, sf_dir), add=1e-12, floor=0.0))
 
 
-@query(f"WITH {centred_sql(EVENTS)}, s AS (SELECT rater, {_SUMS} FROM c WHERE rater % 3 <> 0 GROUP BY rater), {line_sql('l', 's')}, s1 AS (SELECT {_SUMS} FROM c), {line_sql('p', 's1')} SELECT obs_id, round(coalesce(l.intercept, p.intercept) + coalesce(l.slope, p.slope) * cx, 5) AS calibrated FROM c LEFT JOIN l USING (rater), p")
+@query(f"WITH {centred_sql(EVENTS)}, s AS (SELECT rater, {_SUMS} FROM c WHERE rater % 3 <> 0 GROUP BY rater), {line_sql('l', 's')}, s1 AS (SELECT {_SUMS} FROM c), {line_sql('p', 's1')} SELECT obs_id, round(coalesce(l.intercept, p.intercept) + coalesce(l.slope, p.slope) * x, 5) AS calibrated FROM c LEFT JOIN l USING (rater), p")
 def e3_apply_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raters divisible by three stand for unknown ones: they take the population line."""
     c = regression.centred(complete(events(spark, sf_dir)))
     known = shrinkage.rater_lines(c.where("rater % 3 <> 0"))
-    out = shrinkage.calibrated(c.select("rater", "obs_id", F.col("cx").alias("x")), known, regression.population_line(c))
+    out = shrinkage.calibrated(c.select("rater", "obs_id", "x"), known, regression.population_line(c))
     return out.select("obs_id", F.round("calibrated", 5).alias("calibrated"))
 
 
@@ -376,7 +376,7 @@ def e6_three_gains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(shrinkage.gains(shrinkage.rater_rmse(shrinkage.held_out_errors(order_folds(spark, sf_dir))), arm="rater"))
 
 
-@query(f"WITH {centred_sql(EVENTS)}, s1 AS (SELECT {_SUMS} FROM c), {line_sql('p', 's1')}, q AS (SELECT rater, cy - intercept - slope * cx AS r FROM c, p), e AS (SELECT rater, count(*) AS n, avg(r) AS mean_r, var_samp(r) / count(*) AS v FROM q GROUP BY rater), t AS (SELECT greatest(var_samp(mean_r) - avg(v), 0) AS t2 FROM e) SELECT rater, round(coalesce(t2 / (t2 + v), 0), 6) AS w, round(coalesce(t2 / (t2 + v), 0) * mean_r, 6) AS shift FROM e, t")
+@query(f"WITH {centred_sql(EVENTS)}, s1 AS (SELECT {_SUMS} FROM c), {line_sql('p', 's1')}, q AS (SELECT rater, y - intercept - slope * x AS r FROM c, p), e AS (SELECT rater, count(*) AS n, avg(r) AS mean_r, var_samp(r) / count(*) AS v FROM q GROUP BY rater), t AS (SELECT greatest(var_samp(mean_r) - avg(v), 0) AS t2 FROM e) SELECT rater, round(coalesce(t2 / (t2 + v), 0), 6) AS w, round(coalesce(t2 / (t2 + v), 0) * mean_r, 6) AS shift FROM e, t")
 def e7_residual_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shrinkage.residual_means(complete(events(spark, sf_dir))).select("rater", F.round("w", 6).alias("w"), F.round("shift", 6).alias("shift"))
 

@@ -14,7 +14,9 @@ from raterline.operators.regression import line, sums
 
 def running_lines(stream: DataFrame, about_x: float = 0.0, about_y: float = 0.0) -> DataFrame:
     """Per rater: sums and the line so far.  about_*: fixed centres, such as past means."""
-    centred = stream.where("rater is not null and x is not null and y is not null").withColumns({"cx": F.col("x") - about_x, "cy": F.col("y") - about_y})
+    centred = stream.where("rater is not null and x is not null and y is not null").withColumns(
+        {"cx": F.col("x") - about_x, "cy": F.col("y") - about_y, "mx": F.lit(float(about_x)), "my": F.lit(float(about_y))}
+    )
     return line(sums(centred, "rater"))
 
 
