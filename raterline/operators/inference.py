@@ -25,9 +25,26 @@ def numbered(rows: DataFrame, key: str = "rater") -> DataFrame:
     return bins.withColumn("_r", place).join(F.broadcast(before), "_bin").withColumn("idx", F.col("_before") + F.col("_r")).drop("_bin", "_r", "_before")
 
 
+def cumulative(values: DataFrame, value: str, count: str, name: str, *, bins: int = 64) -> DataFrame:
+    """name: the sum of `count` over all rows whose number `value` is smaller.
+
+    Rows are dealt into value ranges by quantiles; sums run inside a range, and the ranges'
+    own totals, at most `bins` of them, are added on.  So no task orders all rows.
+    """
+    edges = sorted(set(values.approxQuantile(value, [i / bins for i in range(1, bins)], 0.001)))
+    bin_ = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= F.col(value))) if edges else F.lit(0)
+    dealt = values.withColumn("_bin", bin_)
+    upto = Window.orderBy("_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = dealt.groupBy("_bin").agg(F.sum(count).alias("_size")).select("_bin", (F.sum("_size").over(upto) - F.col("_size")).alias("_before"))
+    inside = Window.partitionBy("_bin").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = F.sum(count).over(inside) - F.col(count)
+    return dealt.withColumn("_own", own).join(F.broadcast(before), "_bin").withColumn(name, F.col("_before") + F.col("_own")).drop("_bin", "_before", "_own")
+
+
 def ordered(rows: DataFrame, key: str = "rater") -> DataFrame:
-    """As numbered(), but idx follows the order of the key itself: for bounded sets of raters."""
-    return rows.withColumns({"idx": F.row_number().over(Window.orderBy(key)) - 1, "m": F.count("*").over(Window.partitionBy(F.lit(0)))})
+    """As numbered(), but idx follows the order of a numeric key, which no two rows share."""
+    placed = cumulative(rows.withColumn("_one", F.lit(1)), key, "_one", "idx").drop("_one")
+    return placed.crossJoin(F.broadcast(rows.agg(F.count("*").alias("m"))))
 
 
 def bootstrap(rows: DataFrame, replicates: int, seed: int, *aggregates: Column) -> DataFrame:
@@ -78,9 +95,8 @@ def bca_interval(estimate: float, replicates: list[float], jackknife: list[float
 
 def average_ranks(rows: DataFrame, value: str, name: str) -> DataFrame:
     """Ranks of a column, equal values sharing their average; joins counts of distinct values."""
-    per = rows.groupBy(value).agg(F.count("*").alias("_ties"))
-    w = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranks = per.select(F.col(value).alias("_v"), (F.sum("_ties").over(w) - F.col("_ties") + 1 + (F.col("_ties") - 1) / 2).alias(name), "_ties")
+    per = cumulative(rows.groupBy(value).agg(F.count("*").alias("_ties")), value, "_ties", "_less")
+    ranks = per.select(F.col(value).alias("_v"), (F.col("_less") + 1 + (F.col("_ties") - 1) / 2).alias(name), "_ties")
     return rows.join(ranks, F.col(value) == F.col("_v")).drop("_v")
 
 

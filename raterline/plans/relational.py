@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from raterline.functions import scalars
+from raterline.operators.inference import average_ranks
 from raterline.plans.registry import query
 from raterline.sources.observations import complete, events, md5_int, table
 
@@ -336,10 +337,7 @@ def w6_quantile_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
 def w7_average_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranks of values come from counts of equal values, so no task orders all rows."""
     c = table(spark, sf_dir, "orders", "o_custkey").groupBy("o_custkey").agg(F.count("*").alias("n"))
-    per = c.groupBy("n").agg(F.count("*").alias("ties"))
-    w = Window.orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranks = per.select("n", (F.sum("ties").over(w) - F.col("ties") + 1 + (F.col("ties") - 1) / 2).alias("average_rank"))
-    return c.join(ranks, "n").select("o_custkey", "average_rank")
+    return average_ranks(c, "n", "average_rank").select("o_custkey", "average_rank")
 
 
 @query("SELECT event_id, r <= round_even(n * 0.8, 0) AS early, r * 2 <= n AS first_half FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r, count(*) OVER (PARTITION BY user_id) AS n FROM events)")
