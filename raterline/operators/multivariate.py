@@ -69,9 +69,17 @@ def prototypes(df: DataFrame, columns: list[str], k: int, seed: int = 7) -> tupl
 
 
 def projected(df: DataFrame, array: str, k: int) -> DataFrame:
-    """M5: principal components of an array column, as an array."""
-    v = df.withColumn("_v", array_to_vector(F.transform(array, lambda x: x.cast("double"))))
-    return PCA(k=k, inputCol="_v", outputCol="_p").fit(v).transform(v).withColumn("components", vector_to_array("_p")).drop("_v", "_p")
+    """M5: principal components of an array column, as an array.
+
+    Null arrays, and ones with a null, NaN or infinite entry, have null components and are not
+    fitted on; nor are arrays shorter than the longest.
+    """
+    number = F.transform(array, lambda x: x.cast("double"))
+    fine = F.coalesce(F.forall(number, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & (F.size(array) > 0), F.lit(False))
+    marked = df.crossJoin(F.broadcast(df.agg(F.max(F.size(array)).alias("_longest")))).withColumn("_ok", fine & (F.size(array) == F.col("_longest"))).drop("_longest")
+    v = marked.where("_ok").drop("_ok").withColumn("_v", array_to_vector(number))
+    out = PCA(k=k, inputCol="_v", outputCol="_p").fit(v).transform(v).withColumn("components", vector_to_array("_p")).drop("_v", "_p")
+    return out.unionByName(marked.where("not _ok").drop("_ok").withColumn("components", F.lit(None).cast("array<double>")))
 
 
 def text_vectors(df: DataFrame, text: str, *, least: int = 2, most: int = 2000) -> DataFrame:
