@@ -31,13 +31,19 @@ from pyspark.sql import functions as F
 from raterline.llm.common import keyed, written
 
 BROADCAST_TERMS = 200_000
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What parts words: ASCII but for digits and small letters.
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def word_array(text: Column) -> Column:
-    """Lower-case words: runs of a-z, 0-9 and everything beyond ASCII."""
-    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER), F.lit(WORD), F.lit(0))
+    """Lower-case words: runs of a-z, 0-9 and everything beyond ASCII.
+
+    Only A-Z are made small.  In a text of ASCII alone that is lower(), which is much faster.
+    """
+    text = F.coalesce(text, F.lit(""))
+    small_letters = F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, _UPPER, _LOWER))
+    return F.array_remove(F.split(small_letters, BETWEEN), "")
 
 
 def item_windows(benchmark: DataFrame, window: int) -> DataFrame:
