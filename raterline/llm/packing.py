@@ -168,7 +168,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, *, end_id: int = 1, most: int =
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = ChunkEncoder(tokenizer_path)
-        for batch in (part for b in batches for part in slices(b, most=2 << 20)):
+        for batch in (part for b in batches for part in slices(b, most=1 << 20)):
             ids, offsets = encode(batch.column(1))
             n = len(offsets) - 1
             full = np.insert(ids, offsets[1:], end_id).astype("<u4")

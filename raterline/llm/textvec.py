@@ -94,7 +94,7 @@ def slab(texts: pa.Array) -> Slab:
     return Slab(buf, offsets[:-1], offsets[1:] - 1)
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str = "text", most: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that each part holds about `most` bytes of text, or a single row."""
     n = batch.num_rows
     if not n:

@@ -154,7 +154,7 @@ def fit_sets(sets: list[np.ndarray], y: np.ndarray, prior: float, *, words_kept:
     moment, second = np.zeros(len(kept) + 1), np.zeros(len(kept) + 1)
     positive = y == 1
     for step in range(1, rounds + 1):
-        z = 1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30)))
+        z = 1 / (1 + np.exp(-np.clip(x @ w.astype(np.float32) + b, -30, 30)))
         # Logistic loss: d/dz of loss(+) is s - 1, of loss(-) is s.
         loss_minus = -np.log1p(-np.minimum(z, 1 - 1e-7))
         negative_risk = (each * loss_minus)[~positive].sum() / u - prior * (each * loss_minus)[positive].sum() / p
@@ -162,7 +162,7 @@ def fit_sets(sets: list[np.ndarray], y: np.ndarray, prior: float, *, words_kept:
         if negative_risk >= 0:
             g = g + np.where(positive, -prior * z / p, z / u)
         g = g * each
-        grad = np.append(x.T @ g, g.sum())
+        grad = np.append(x.T @ g.astype(np.float32), g.sum())
         moment = 0.9 * moment + 0.1 * grad
         second = 0.999 * second + 0.001 * grad * grad
         move = rate * (moment / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
