@@ -8,9 +8,10 @@ import numpy as np
 from pyspark.ml import Pipeline
 from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator, RegressionEvaluator
-from pyspark.ml.feature import IDF, PCA, CountVectorizer, NGram, OneHotEncoder, RegexTokenizer, StandardScaler, StringIndexer, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.feature import IDF, CountVectorizer, NGram, OneHotEncoder, RegexTokenizer, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
+from pyspark.ml.stat import Correlation, Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -71,15 +72,25 @@ def prototypes(df: DataFrame, columns: list[str], k: int, seed: int = 7) -> tupl
 def projected(df: DataFrame, array: str, k: int) -> DataFrame:
     """M5: principal components of an array column, as an array.
 
-    Null arrays, and ones with a null, NaN or infinite entry, have null components and are not
-    fitted on; nor are arrays shorter than the longest.
+    Spark sums the moments; their matrix, as wide as one array, is decomposed on the driver.
+    Directions are signed so that their largest weight is positive, and are applied to rows that
+    are not centred.  Null arrays, and ones with a null, NaN or infinite entry, have null
+    components and are not fitted on; nor are arrays shorter than the longest.
     """
     number = F.transform(array, lambda x: x.cast("double"))
     fine = F.coalesce(F.forall(number, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & (F.size(array) > 0), F.lit(False))
-    marked = df.crossJoin(F.broadcast(df.agg(F.max(F.size(array)).alias("_longest")))).withColumn("_ok", fine & (F.size(array) == F.col("_longest"))).drop("_longest")
-    v = marked.where("_ok").drop("_ok").withColumn("_v", array_to_vector(number))
-    out = PCA(k=k, inputCol="_v", outputCol="_p").fit(v).transform(v).withColumn("components", vector_to_array("_p")).drop("_v", "_p")
-    return out.unionByName(marked.where("not _ok").drop("_ok").withColumn("components", F.lit(None).cast("array<double>")))
+    longest = df.where(fine).agg(F.max(F.size(array))).head()[0]
+    if longest is None:
+        return df.withColumn("components", F.lit(None).cast("array<double>"))
+    fits = fine & (F.size(array) == longest)
+    v = df.where(fits).select(array_to_vector(number).alias("v"))
+    spread = np.array(v.select(Summarizer.std(F.col("v"))).head()[0])
+    like = np.nan_to_num(Correlation.corr(v, "v").head()[0].toArray()) if longest > 1 else np.ones((1, 1))
+    _, directions = np.linalg.eigh(like * np.outer(spread, spread))
+    top = directions[:, ::-1].T[:k]
+    top = top * np.sign(top[np.arange(len(top)), np.abs(top).argmax(axis=1)])[:, None]
+    total = lambda w: F.aggregate(F.zip_with(number, F.lit(w.tolist()), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    return df.withColumn("components", F.when(fits, F.array(*(total(w) for w in top))))
 
 
 def text_vectors(df: DataFrame, text: str, *, least: int = 2, most: int = 2000) -> DataFrame:

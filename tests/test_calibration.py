@@ -210,3 +210,20 @@ def test_streams(spark, obs, tmp_path):
     assert spark.table("windows_now").count() > 0
     d = spark.createDataFrame([("r", 1, "s1", 1.0), ("r", 2, "s1", 1.0), ("r", 3, "s2", 2.0), ("r", 4, "s3", 3.0)], "rater string, step int, signature string, score double")
     assert [r.delayed for r in delayed(d, 1).orderBy("step").collect()] == [0.0, 1.0, 2.0]
+
+
+def test_projection_is_that_of_the_covariance(spark):
+    import numpy as np
+
+    from raterline.operators.multivariate import projected
+
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(60, 5)) * [5, 3, 2, 1, 0]
+    rows = [(i, [float(x) for x in r]) for i, r in enumerate(v)] + [(60, None), (61, [1.0]), (62, [1.0, float("nan"), 0.0, 0.0, 0.0]), (63, [])]
+    got = {r["i"]: r["components"] for r in projected(spark.createDataFrame(rows, "i int, e array<double>"), "e", 2).collect()}
+    _, directions = np.linalg.eigh(np.cov(v.T))
+    want = np.abs(v @ directions[:, ::-1][:, :2])
+    assert np.allclose(np.abs([got[i] for i in range(60)]), want, atol=1e-8)
+    assert [got[i] for i in range(60, 64)] == [None] * 4
+    empty = projected(spark.createDataFrame([], "i int, e array<double>"), "e", 2)
+    assert empty.count() == 0 and empty.columns == ["i", "e", "components"]
