@@ -98,3 +98,16 @@ def test_fitted_toxicity_ignores_common_words():
     y = np.array([1] * 100 + [0] * 300)
     m = toxicity.fit_sets(sets, y, 0.1)
     assert all(m.weights[5000 + k] > 1 for k in range(4)) and np.abs(m.weights[:300]).max() < 0.5
+
+
+def test_cut_has_least_risk_over_all_cuts():
+    rng = np.random.default_rng(5)
+    y = np.array([1] * 40 + [0] * 200)
+    z = np.round(np.where((y == 1) | (rng.random(240) < 0.1), rng.normal(2, 1, 240), rng.normal(-2, 1, 240)), 2)
+    each = rng.random(240) + 0.1
+    u, p = each * (y == 0) / each[y == 0].sum(), each * (y == 1) / each[y == 1].sum()
+    risk = lambda c: 3 * 0.1 * p[z < c].sum() + max(0.0, u[z >= c].sum() - 0.1 * p[z >= c].sum())
+    levels = sorted(set(z))
+    best = min(risk((a + b) / 2) for a, b in zip(levels, levels[1:]))
+    assert abs(risk(toxicity.least_risk_cut(z, y, each, 0.1)) - best) < 1e-12
+    assert toxicity.least_risk_cut(np.ones(4), np.array([0, 0, 1, 1]), np.ones(4), 0.1) == 0.0
