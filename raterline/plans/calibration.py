@@ -169,7 +169,7 @@ z AS (SELECT f.obs_id, t.my AS by_mean, CASE WHEN sqrt(greatest(t.sxx / t.n - mx
 SELECT obs_id, round(by_mean, 9) AS by_mean, round(by_z, 5) AS by_z, round(by_range, 5) AS by_range FROM z""")
 def r6_practical_baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Train mean, z-score and min-max of each rater's other folds."""
-    f = event_folds(spark, sf_dir)
+    f = event_folds(spark, sf_dir).select("rater", "obs_id", "fold", "x", "y")
     s = f.groupBy("rater", "fold").agg(F.count("*").cast("double").alias("n"), F.sum("x").alias("sx"), F.sum(F.col("x") * F.col("x")).alias("sxx"), F.sum("y").alias("sy"), F.min("x").alias("lx"), F.max("x").alias("hx"))
     own = Window.partitionBy("rater")
     others = F.filter(F.collect_list(F.struct("fold", "lx", "hx")).over(own), lambda v: v["fold"] != F.col("fold"))
@@ -183,7 +183,7 @@ def r6_practical_baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
     z = F.when(sd < 1e-9, F.col("x") - F.col("mx") + F.col("gm")).otherwise((F.col("x") - F.col("mx")) / F.when(sd >= 1e-9, sd) * F.col("gs") + F.col("gm"))
     span = F.col("hx") - F.col("lx")
     scaled = F.when(span < 1e-9, 50.0).otherwise(100 * (F.col("x") - F.col("lx")) / F.when(span >= 1e-9, span))
-    return f.join(t.drop("n_"), ["rater", "fold"]).crossJoin(F.broadcast(g)).select("obs_id", F.round("my", 9).alias("by_mean"), F.round(z, 5).alias("by_z"), F.round(scaled, 5).alias("by_range"))
+    return f.join(t, ["rater", "fold"]).crossJoin(F.broadcast(g)).select("obs_id", F.round("my", 9).alias("by_mean"), F.round(z, 5).alias("by_z"), F.round(scaled, 5).alias("by_range"))
 
 
 @query(f"WITH a AS (SELECT 'events' AS corpus, rater, y FROM {EVENTS} UNION ALL SELECT 'orders', rater, y FROM {ORDERS}), m AS (SELECT corpus, avg(y) AS m, stddev_pop(y) AS s FROM a GROUP BY 1 HAVING stddev_pop(y) > 0) SELECT corpus || '::' || rater AS cluster, count(*) AS n, round(avg((y - m) / s), 6) AS mean_z FROM a JOIN m USING (corpus) GROUP BY 1")
