@@ -2,35 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    A cluster names it in spark.checkpoint.dir.  Only where that is unset (tests on one
-    machine) a temporary folder is made.
-    """
-    context = spark.sparkContext
-    at = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    if not at:
-        at = context.getCheckpointDir()
-    if not at:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="raterline-"))
-        at = context.getCheckpointDir()
-    return at
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: later steps survive lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from raterline.sources.files import shared_dir, written  # noqa: F401
 
 
 def keyed(docs: DataFrame, *, text: str = "text") -> DataFrame:

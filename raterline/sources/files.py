@@ -3,20 +3,26 @@
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
+from collections.abc import Iterator
+from functools import reduce
+from itertools import islice
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A message tree to four levels of replies; deeper ones arrive as adjacency tables (see walk()).
-_LEVEL = "struct<message_id: string, parent_id: string, user_id: string, role: string, lang: string, created_date: string, review_count: int, rank: int{}>"
+#: What a message row holds.
+_FIELDS = {"message_id": "string", "parent_id": "string", "user_id": "string", "role": "string", "lang": "string", "created_date": "string", "review_count": "int", "rank": "int"}
+#: Message rows in an Arrow batch, at most.
+_BATCH = 10_000
 
 
-def tree_schema(levels: int = 4) -> str:
-    node = _LEVEL.format("")
-    for _ in range(levels):
-        node = _LEVEL.format(f", replies: array<{node}>")
-    return f"message_tree_id string, prompt {node}"
+def tree_schema() -> str:
+    """A message tree: the prompt stays JSON text, so that no schema bounds the depth of its replies."""
+    return "message_tree_id string, prompt string"
 
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -26,7 +32,8 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def read_json_lines(spark: SparkSession, path: str, schema: str | None = None, *, partitions: int | None = None) -> DataFrame:
     """JSON lines, gzipped or not.  A gzip file is read by one task, so dealing it out again pays for large ones."""
-    df = (spark.read.schema(schema) if schema else spark.read).json(path)
+    # Jackson would take lines nested more than 1,000 deep for malformed.
+    df = (spark.read.schema(schema) if schema else spark.read).option("maxNestingDepth", 2**31 - 1).json(path)
     return df.repartition(partitions) if partitions else df
 
 
@@ -35,27 +42,100 @@ def read_summary(path: str) -> dict:
     return json.loads(Path(path).read_text())
 
 
-def flatten_trees(trees: DataFrame, levels: int = 4) -> DataFrame:
-    """Message rows from nested trees: one row per node, level by level, no Python."""
-    fields = ["message_id", "parent_id", "user_id", "role", "lang", "created_date", "review_count", "rank"]
-    level = trees.select("message_tree_id", F.col("prompt").alias("node"))
-    out = None
-    for depth in range(levels + 1):
-        rows = level.select("message_tree_id", F.lit(depth).alias("depth"), *(F.col(f"node.{f}").alias(f) for f in fields))
-        out = rows if out is None else out.unionByName(rows)
-        if depth < levels:
-            level = level.select("message_tree_id", F.explode("node.replies").alias("node"))
-    return out
-
-
-def walk(spark: SparkSession, edges: DataFrame, *, most: int = 100) -> DataFrame:
-    """Node, root and depth of an adjacency table (node, parent; roots have a null parent)."""
-    edges.createOrReplaceTempView("_walk_edges")
-    return spark.sql(f"""
-        WITH RECURSIVE t(node, root, depth) MAX RECURSION LEVEL {int(most)} AS (
-          SELECT node, node, 0 FROM _walk_edges WHERE parent IS NULL
-          UNION ALL SELECT e.node, t.root, t.depth + 1 FROM _walk_edges e JOIN t ON e.parent = t.node
-        ) SELECT * FROM t""")
+def parsed(text: str):
+    """A JSON value of any depth: json.loads() gives up on deep nesting, a stack does not."""
+    try:
+        return json.loads(text)
+    except RecursionError:
+        pass
+    top: list = []
+    stack: list = [top]  # containers still open
+    scalar, i, key = json.JSONDecoder().raw_decode, 0, None
+    while i < len(text):
+        c = text[i]
+        if c in " \t\n\r,:":
+            i += 1
+            continue
+        if c in "]}":
+            stack.pop()
+            i += 1
+            continue
+        holder = stack[-1]
+        value, i = ({} if c == "{" else [], i + 1) if c in "{[" else scalar(text, i)
+        if isinstance(holder, dict) and key is None:
+            key = (value,)
+            continue
+        if isinstance(holder, dict):
+            holder[key[0]] = value
+            key = None
+        else:
+            holder.append(value)
+        if c in "{[":
+            stack.append(value)
+    return top[0]
+
+
+def _as_string(v):
+    return v if v is None or isinstance(v, str) else json.dumps(v)
+
+
+def _as_int(v):
+    return v if type(v) is int and -(2**31) <= v < 2**31 else None
+
+
+def _nodes(prompt: str | None) -> Iterator[tuple[int, dict]]:
+    """(depth, node) of a tree; what is not an object counts as a node without fields."""
+    stack = [(0, parsed(prompt) if prompt else None)]
+    while stack:
+        depth, node = stack.pop()
+        node = node if isinstance(node, dict) else {}
+        yield depth, node
+        replies = node.get("replies")
+        stack.extend((depth + 1, r) for r in reversed(replies if isinstance(replies, list) else []))
+
+
+def flatten_trees(trees: DataFrame) -> DataFrame:
+    """Message rows from nested trees of any depth, one row per node; prompt: JSON text, or a struct."""
+    if trees.schema["prompt"].dataType.typeName() == "struct":
+        trees = trees.withColumn("prompt", F.to_json("prompt"))
+    names = ["message_tree_id", "depth", *_FIELDS]
+    kinds = [pa.string(), pa.int32(), *(pa.string() if k == "string" else pa.int32() for k in _FIELDS.values())]
+    read = [_as_string if k == "string" else _as_int for k in _FIELDS.values()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = ((tree, depth, *(f(node.get(k)) for k, f in zip(_FIELDS, read))) for tree, prompt in zip(*(c.to_pylist() for c in batch.columns)) for depth, node in _nodes(prompt))
+            while some := list(islice(rows, _BATCH)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*some), kinds)], names=names)
+
+    return trees.select(F.col("message_tree_id").cast("string"), "prompt").mapInArrow(run, ", ".join(["message_tree_id string", "depth int", *(f"{k} {v}" for k, v in _FIELDS.items())]))
+
+
+def walk(spark: SparkSession, edges: DataFrame) -> DataFrame:
+    """Node, root and depth of an adjacency table (node, parent; roots have a null parent).
+
+    Each round doubles the distance to the ancestor that a node knows, so the rounds grow with the
+    logarithm of the depth, and neither depth nor rows are bounded.  A node has a row for each way
+    to a root; nodes that reach none have no row.  A cycle that reaches a root has no end of ways.
+    """
+    start = edges.select("node", F.coalesce("parent", "node").alias("root"), F.col("parent").isNotNull().cast("int").alias("depth"), F.col("parent").isNull().alias("done"))
+    start = written(start, "ways")
+    ended, ahead = [start.where("done")], start.where("not done")
+    left = most = ahead.count()
+    steps = 1
+    while left:
+        known = reduce(DataFrame.unionByName, [*ended, ahead]).select(F.col("node").alias("root"), F.col("root").alias("_root"), F.col("depth").alias("_depth"), "done")
+        step = ahead.drop("done").join(known, "root").select("node", F.col("_root").alias("root"), (F.col("depth") + F.col("_depth")).alias("depth"), "done")
+        if steps > most:
+            # Ways longer than there are edges go in circles.
+            if step.where("done").head(1):  # they lead on to a root
+                raise ValueError("a cycle of the edges reaches a root")
+            break
+        step = written(step, "ways")
+        ended, ahead = [*ended, step.where("done")], step.where("not done")
+        left = ahead.count()
+        steps *= 2
+    return reduce(DataFrame.unionByName, ended).drop("done")
 
 
 def named_value(names: str, values: str, wanted: str):
@@ -64,6 +144,30 @@ def named_value(names: str, values: str, wanted: str):
     return F.when(at > 0, F.get(F.col(values), (at - 1).cast("int")))
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share.
+
+    A cluster names it in spark.checkpoint.dir.  Only where that is unset (tests on one
+    machine) a temporary folder is made.
+    """
+    context = spark.sparkContext
+    at = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not at:
+        at = context.getCheckpointDir()
+    if not at:
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="raterline-"))
+        at = context.getCheckpointDir()
+    return at
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write df to the shared folder and read it back: later steps survive lost executors."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def write_table(df: DataFrame, path: str, kind: str = "parquet") -> None:
     """A Parquet or headed CSV sink."""
     (df.write.parquet(path) if kind == "parquet" else df.write.csv(path, header=True))

@@ -197,6 +197,26 @@ def test_readers_and_sinks(spark, tmp_path):
     assert sorted(tuple(r) for r in files.walk(spark, e).collect()) == [(1, 1, 0), (2, 1, 1), (3, 1, 2), (9, 9, 0)]
 
 
+@pytest.mark.parametrize("deep", [7, 3000])
+def test_trees_of_any_depth(spark, tmp_path, deep):
+    """Every reply of a deep tree has a row, whether its line is read with the tree schema or has a struct."""
+    text = "".join(f'{{"message_id": "m{k}", "rank": {k}, "labels": {{"q": [1, {{"v": "}}]"}}]}}, "replies": [{{"message_id": "s{k}"}}, ' for k in range(deep)) + '{"message_id": "end"}' + "]}" * deep
+    (tmp_path / "t.jsonl").write_text(f'{{"message_tree_id": "t", "prompt": {text}}}\n')
+    want = sorted([*((k, f"m{k}", k) for k in range(deep)), *((k + 1, f"s{k}", None) for k in range(deep)), (deep, "end", None)], key=str)
+    lines = files.read_json_lines(spark, str(tmp_path / "t.jsonl"), files.tree_schema())
+    for trees in [lines, *([files.read_json_lines(spark, str(tmp_path / "t.jsonl"))] if deep < 100 else [])]:
+        assert sorted(((r.depth, r.message_id, r.rank) for r in files.flatten_trees(trees).collect()), key=str) == want
+
+
+def test_walk_has_no_depth_limit(spark):
+    """A chain deeper than a recursive CTE would go, a node without a way to a root, a cycle, a node with two parents."""
+    chain = [(k, k - 1 if k else None) for k in range(1500)]
+    e = spark.createDataFrame([*chain, (2001, 2000), (3001, 3002), (3002, 3001), (4000, None), (4001, 4000), (4001, 0)], "node int, parent int")
+    assert sorted(tuple(r) for r in files.walk(spark, e).collect()) == sorted([*((k, 0, k) for k in range(1500)), (4000, 4000, 0), (4001, 4000, 1), (4001, 0, 1)])
+    with pytest.raises(ValueError):
+        files.walk(spark, spark.createDataFrame([(1, None), (2, 1), (2, 3), (3, 2)], "node int, parent int"))
+
+
 def test_streams(spark, obs, tmp_path):
     obs.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(obs.schema).parquet(str(tmp_path / "in"))
