@@ -13,9 +13,9 @@ position and common prefix kept at the ends of runs only.  Between those samples
 match falls by one with each byte, so matching statistics stream along the text from them;
 strings with a match of `length` bytes or more are reported back.
 
-A bucket indexes at most `BLOCK` bytes at a time, whole anchors together.  An anchor with more
-is split by what surrounds it: a shared string reaches far enough to the left or to the right
-of its anchor to agree there, so either split keeps it together.
+A bucket indexes at most `BLOCK` bytes at a time, whole anchors together.  Where the distinct
+segments of an anchor have more, no bucket gets them: the slabs ask for the hash of each of
+their strings instead, which spread over all buckets, whatever the number of texts.
 
 Defined cases: null and empty texts lose nothing; matches never cross documents; rows that
 repeat both doc_id and text each start every one of their strings elsewhere too, so they lose
@@ -93,57 +93,110 @@ def segments(rows: pa.Table, length: int) -> tuple[np.ndarray, np.ndarray, np.nd
 # ---------------------------------------------------------------- first round: what recurs
 
 
+def _anchors(seg: Segments) -> tuple[np.ndarray, np.ndarray]:
+    """Of the distinct segments: where each anchor begins, and how many there are of it."""
+    anchor = seg.anchor[seg.first]
+    begin = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]])) if len(anchor) else np.zeros(0, np.int64)
+    return begin, np.diff(np.append(begin, len(anchor)))
+
+
 def _ask_segments(dealt: Dealt, length: int) -> DataFrame:
+    """Anchors go to one half of the buckets, once a slab; contents, distinct ones, to the other."""
     buckets = dealt.buckets
 
     def question(rows: pa.Table) -> Iterator[tuple[int, bytes]]:
         *_, seg = segments(rows, length)
-        anchor, content, twice = seg.anchor[seg.first], seg.content[seg.first], (seg.count > 1).astype(np.uint8)
+        begin, many = _anchors(seg)
+        anchor, content = seg.anchor[seg.first[begin]], seg.content[seg.first]
+        size = np.minimum(np.add.reduceat((seg.stop - seg.start)[seg.first], begin), 2**32 - 1).astype(np.uint32) if len(begin) else begin
+        several = (many > 1).astype(np.uint8)
         for bucket, i in by_bucket(anchor, buckets):
-            yield bucket, anchor[i].tobytes() + content[i].tobytes() + twice[i].tobytes()
+            yield bucket, np.array([len(i)], np.int64).tobytes() + anchor[i].tobytes() + content[begin[i]].tobytes() + size[i].tobytes() + several[i].tobytes()
+        order, twice = np.argsort(content), (seg.count > 1).astype(np.uint8)
+        for bucket, i in by_bucket(content[order], buckets):
+            yield buckets + bucket, np.array([-len(i)], np.int64).tobytes() + content[order[i]].tobytes() + twice[order[i]].tobytes()
 
     return ask(dealt, question)
 
 
-#: Reply codes: all strings of the segment recur; its bytes are wanted for comparison.
-RECURS, WANTED = 1, 2
+#: Codes: all strings of the segment recur; it is to be compared; and that by the hashes of its strings.
+RECURS, WANTED, LARGE = 1, 2, 4
 
 
-def _judge(bodies: list[bytes], _: np.ndarray) -> list[bytes]:
-    """A code for every segment that a slab sent; of copies only one is wanted."""
-    size = [len(b) // 17 for b in bodies]
-    anchor = np.concatenate([np.frombuffer(b, np.uint64, n) for b, n in zip(bodies, size)])
-    content = np.concatenate([np.frombuffer(b, np.uint64, n, 8 * n) for b, n in zip(bodies, size)])
-    twice = np.concatenate([np.frombuffer(b, np.uint8, n, 16 * n) for b, n in zip(bodies, size)])
-    order = np.lexsort((content, anchor))
-    a, c = anchor[order], content[order]
-    new_anchor = np.concatenate([[True], a[1:] != a[:-1]])
-    new = new_anchor | np.concatenate([[True], c[1:] != c[:-1]])
-    segment, group = np.cumsum(new) - 1, np.cumsum(new_anchor) - 1
-    copies = np.bincount(segment) + np.bincount(segment, twice[order])
-    distinct = np.bincount(group[new])
-    code = np.zeros(len(a), np.uint8)
-    code[order] = np.where(copies[segment] > 1, RECURS, 0) | np.where(new & (distinct[group] > 1), WANTED, 0)
-    return [x.tobytes() for x in np.split(code, np.cumsum(size)[:-1])]
+def _numbers(bodies: list[bytes], kind: type, at: int) -> np.ndarray:
+    """An array of each body, end to end; at: bytes of the arrays before it, for each number in it."""
+    size = [abs(int(np.frombuffer(b, np.int64, 1)[0])) for b in bodies]
+    return np.concatenate([np.frombuffer(b, kind, n, 8 + at * n) for b, n in zip(bodies, size)])
+
+
+def _several(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """For the hashes that slabs asked, with a byte for those met twice: does it recur, is it the first?"""
+    h, twice = _numbers(bodies, np.uint64, 0), _numbers(bodies, np.uint8, 8)
+    order = np.argsort(h, kind="stable")
+    new = np.concatenate([[True], h[order][1:] != h[order][:-1]])
+    group = np.cumsum(new) - 1
+    recurs, first = np.zeros(len(h), bool), np.zeros(len(h), bool)
+    recurs[order] = (np.bincount(group) + np.bincount(group, twice[order]) > 1)[group]
+    first[order] = new
+    return recurs, first
+
+
+def _judge(block: int):
+    def reply(bodies: list[bytes], _: np.ndarray) -> list[bytes]:
+        """A code for every anchor or content that a slab sent; of copies only one is wanted."""
+        cuts = np.cumsum([abs(int(np.frombuffer(b, np.int64, 1)[0])) for b in bodies])[:-1]
+        if np.frombuffer(bodies[0], np.int64, 1)[0] < 0:
+            recurs, first = _several(bodies)
+            code = np.where(recurs, RECURS, 0) | np.where(first, WANTED, 0)
+        else:
+            anchor, content, size, several = (_numbers(bodies, k, at) for k, at in ((np.uint64, 0), (np.uint64, 8), (np.uint32, 16), (np.uint8, 20)))
+            order = np.lexsort((content, anchor))
+            a, c = anchor[order], content[order]
+            new = np.concatenate([[True], a[1:] != a[:-1]])
+            group = np.cumsum(new) - 1
+            last = np.append(new[1:], True)
+            wanted = (c[new] != c[last]) | (np.bincount(group, several[order]) > 0)
+            code = np.zeros(len(a), np.uint8)
+            code[order] = np.where(wanted, WANTED | np.where(np.bincount(group, size[order]) > block, LARGE, 0), 0)[group]
+        return [x.tobytes() for x in np.split(code.astype(np.uint8), cuts)]
+
+    return reply
 
 
 def _codes(seg: Segments, by: dict[int, bytes], buckets: int) -> np.ndarray:
-    code = np.zeros(len(seg.first), np.uint8)
-    for bucket, i in by_bucket(seg.anchor[seg.first], buckets):
-        code[i] = np.frombuffer(by[bucket], np.uint8)
-    return code
+    """Codes of distinct segments."""
+    begin, many = _anchors(seg)
+    of_anchor, of_content = np.zeros(len(begin), np.uint8), np.zeros(len(seg.first), np.uint8)
+    for bucket, i in by_bucket(seg.anchor[seg.first[begin]], buckets):
+        of_anchor[i] = np.frombuffer(by[bucket], np.uint8)
+    content = seg.content[seg.first]
+    order = np.argsort(content)
+    for bucket, i in by_bucket(content[order], buckets):
+        of_content[order[i]] = np.frombuffer(by[buckets + bucket], np.uint8)
+    of_anchor = np.repeat(of_anchor, many)
+    return (of_content & RECURS) | (of_content & of_anchor & WANTED) | (of_anchor & LARGE)
 
 
 # ---------------------------------------------------------------- second round: comparison
 
 
+def _strings(buf: np.ndarray, seg: Segments, code: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(start, hash) of each string in the wanted segments of large anchors."""
+    k = seg.first[code & (WANTED | LARGE) == WANTED | LARGE]
+    if not len(k):
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    n = seg.stop[k] - seg.start[k] - length + 1
+    start = np.repeat(seg.start[k] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    return start, mix(range_hash(prefix_hash(byte_values(buf)), start, start + length))
+
+
 def _send_wanted(dealt: Dealt, replies: DataFrame, length: int) -> DataFrame:
     buckets, fine = dealt.buckets, dealt.buckets * FINER
 
     def send(number: int, rows: pa.Table, by: dict[int, bytes]) -> pa.Table:
         buf, _, _, seg = segments(rows, length)
         code = _codes(seg, by, buckets)
-        wanted = np.flatnonzero(code & WANTED)
+        wanted = np.flatnonzero(code & (WANTED | LARGE) == WANTED)
         one = seg.first[wanted]
         bodies = []
         for bucket, i in by_bucket(seg.anchor[one], fine):
@@ -155,6 +208,9 @@ def _send_wanted(dealt: Dealt, replies: DataFrame, length: int) -> DataFrame:
                 bucket, np.array([len(k)], np.int64).tobytes() + seg.anchor[k].tobytes() + size.astype(np.uint32).tobytes() + (seg.anchor_at[k] - seg.start[k]).astype(np.uint32).tobytes()
                 + (code[wanted[i]] & RECURS).tobytes() + text.tobytes(),
             ))
+        h, n = np.unique(_strings(buf, seg, code, length)[1], return_counts=True)
+        for bucket, i in by_bucket(h, buckets):
+            bodies.append((fine + bucket, np.array([-len(i)], np.int64).tobytes() + h[i].tobytes() + (n[i] > 1).tobytes()))
         bodies.append((-1 - number % fine, code.tobytes()))
         return pa.Table.from_batches([asked(number, iter(bodies))])
 
@@ -319,7 +375,10 @@ def _gathered(parts: list[np.ndarray], size: np.ndarray) -> Iterator[np.ndarray]
 
 def _compare(length: int):
     def reply(bodies: list[bytes], _: np.ndarray) -> list[bytes]:
-        """For each segment that a slab sent and that does not recur as a whole: a bit for each of its strings."""
+        """For each segment that a slab sent and that does not recur as a whole, a bit for each of its strings; or one for each hash of a string."""
+        if np.frombuffer(bodies[0], np.int64, 1)[0] < 0:
+            cuts = np.cumsum([-int(np.frombuffer(b, np.int64, 1)[0]) for b in bodies])[:-1]
+            return [np.packbits(x).tobytes() for x in np.split(_several(bodies)[0], cuts)]
         parts = []
         for b in bodies:
             n = int(np.frombuffer(b, np.int64, 1)[0])
@@ -347,7 +406,7 @@ def _compare(length: int):
 
 
 def _remove(dealt: Dealt, replies: DataFrame, length: int) -> DataFrame:
-    fine = dealt.buckets * FINER
+    buckets, fine = dealt.buckets, dealt.buckets * FINER
 
     def finish(number: int, rows: pa.Table, by: dict[int, bytes]) -> pa.Table:
         buf, begin, end, seg = segments(rows, length)
@@ -356,7 +415,7 @@ def _remove(dealt: Dealt, replies: DataFrame, length: int) -> DataFrame:
         whole = np.repeat(code & RECURS, seg.count) > 0
         np.add.at(mark, seg.start[whole], 1)
         np.add.at(mark, seg.stop[whole], -1)
-        wanted = np.flatnonzero(code & WANTED)
+        wanted = np.flatnonzero(code & (WANTED | LARGE) == WANTED)
         one = seg.first[wanted]
         for bucket, i in by_bucket(seg.anchor[one], fine):
             k = one[i][code[wanted[i]] & RECURS == 0]
@@ -366,6 +425,13 @@ def _remove(dealt: Dealt, replies: DataFrame, length: int) -> DataFrame:
             starts = (np.repeat(seg.start[k] - (np.cumsum(strings) - strings), strings) + np.arange(total))[bits]
             np.add.at(mark, starts, 1)
             np.add.at(mark, starts + length, -1)
+        starts, h = _strings(buf, seg, code, length)
+        asked_for, at = np.unique(h, return_inverse=True)
+        recurs = np.zeros(len(asked_for), bool)
+        for bucket, i in by_bucket(asked_for, buckets):
+            recurs[i] = np.unpackbits(np.frombuffer(by[fine + bucket], np.uint8), count=len(i))
+        np.add.at(mark, starts[recurs[at]], 1)
+        np.add.at(mark, starts[recurs[at]] + length, -1)
         gone = np.cumsum(mark)[:-1] > 0
         n = rows.num_rows
         size = (end - begin)[:n]
@@ -380,9 +446,12 @@ def _remove(dealt: Dealt, replies: DataFrame, length: int) -> DataFrame:
     return with_replies(dealt, replies, finish, OUT)
 
 
-def remove_recurring(docs: DataFrame, *, length: int = 200) -> DataFrame:
-    """Per document: bytes, bytes removed, removed runs, and the hash of what is kept.  length: over GRAM."""
+def remove_recurring(docs: DataFrame, *, length: int = 200, block: int = BLOCK) -> DataFrame:
+    """Per document: bytes, bytes removed, removed runs, and the hash of what is kept.
+
+    length: over GRAM.  block: bytes of segments that a bucket compares for one anchor, at most.
+    """
     dealt = deal(keyed(docs), asked_share=0.25)
-    judged = answer(_ask_segments(dealt, length), dealt, _judge)
+    judged = answer(_ask_segments(dealt, length), dealt, _judge(block))
     compared = answer(_send_wanted(dealt, judged, length), dealt, _compare(length))
     return _remove(dealt, compared, length)

@@ -112,3 +112,29 @@ def test_large_anchor_groups_are_split(spark, monkeypatch):
     want = [k + 200 <= len(t) and seen[t[k : k + 200]] > 1 for t in texts for k in range(len(t))]
     assert any(h and w for h, w in zip(holds, want))
     assert [f for f, h in zip(found.tolist(), holds) if h] == [w for w, h in zip(want, holds) if h]
+
+
+def test_no_bucket_gets_a_common_passage_whole(spark):
+    """A passage that many texts share in differing surroundings goes to all buckets, with the right result."""
+    rng = np.random.default_rng(2)
+    word = lambda n: "".join(chr(97 + c) for c in rng.integers(0, 26, n))
+    middle, texts = word(120), []
+    for k in range(150):
+        left, right = word(150), word(150)
+        texts += [left + middle + word(100), word(100) + middle + right, left + middle + right][: 3 if k % 5 == 0 else 2]
+    rows = [*enumerate([*texts, texts[0], middle + word(300), None])]
+    docs = spark.createDataFrame([*rows, rows[3]], "doc_id long, text string")
+    assert got(suffix_dedup.remove_recurring(docs, block=5000)) == sorted(brute_bytes([*rows, rows[3]]), key=key)
+    few = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    d = suffix_dedup.deal(suffix_dedup.keyed(docs), asked_share=0.25)
+    spark.conf.set("spark.sql.shuffle.partitions", few)
+    judged = suffix_dedup.answer(suffix_dedup._ask_segments(d, 200), d, suffix_dedup._judge(5000))
+    sent = suffix_dedup._send_wanted(d, judged, 200).where("bucket >= 0").selectExpr("bucket", "octet_length(body) AS n").groupBy("bucket").sum("n").collect()
+    size = [r[1] for r in sent]
+    assert max(size) < sum(size) / 4
+
+
+@pytest.mark.parametrize("block", [0, 1000])
+def test_large_anchors_match_brute_force(docs, texts, block):
+    assert got(suffix_dedup.remove_recurring(docs, block=block)) == sorted(brute_bytes(texts), key=key)
