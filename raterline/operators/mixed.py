@@ -24,6 +24,7 @@ class MixedModel:
     noise: float
     beta_covariance: np.ndarray
     iterations: int
+    converged: bool
 
 
 def power_sums(obs: DataFrame, *keys: str, degree: int = 1) -> DataFrame:
@@ -76,7 +77,7 @@ def fit(rater_sums: DataFrame, *, degree: int = 1, iterations: int = 25, toleran
     beta = np.linalg.solve(gram, cross)
     noise = max((float(total["yy"]) - beta @ cross) / max(n - p, 1), 1e-9)
     d = np.diag([noise * 0.1 * n / max(gram[k, k], 1e-9) for k in range(p)])
-    done, phi = 0, np.eye(p)
+    done, phi, moved = 0, np.eye(p), np.inf
     for done in range(1, iterations + 1):
 
         def normal(batch: pa.RecordBatch, d: np.ndarray = d, noise: float = noise) -> np.ndarray:
@@ -108,7 +109,7 @@ def fit(rater_sums: DataFrame, *, degree: int = 1, iterations: int = 25, toleran
         d, noise = (new_d + new_d.T) / 2 + 1e-12 * np.eye(p), max(new_noise, 1e-12)
         if moved < tolerance:
             break
-    return MixedModel(beta, d, noise, phi, done)
+    return MixedModel(beta, d, noise, phi, done, bool(moved < tolerance))
 
 
 def effects(rater_sums: DataFrame, model: MixedModel) -> DataFrame:

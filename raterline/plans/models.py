@@ -11,6 +11,9 @@ from raterline.plans.registry import query
 from raterline.sources.files import walk
 from raterline.sources.observations import complete, events, orders, table
 
+#: Draws of a bootstrap, as in the reference scripts.
+REPLICATES = 2000
+
 
 def rater_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = complete(events(spark, sf_dir))
@@ -26,10 +29,11 @@ def r4_mixed_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def r4b_quadratic_mixed_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """About the grand means and in units of ten x, so that the powers stay of one size."""
+    """About the grand means and in units of ten x, so that the powers stay of one size.  converged: did EM reach its tolerance?"""
     c = regression.centred(complete(events(spark, sf_dir))).withColumn("cx", F.col("cx") / 10)
     s = mixed.power_sums(c, "rater", degree=2).cache()
-    return rounded(mixed.effects(s, mixed.fit(s, degree=2, iterations=10)))
+    m = mixed.fit(s, degree=2)
+    return rounded(mixed.effects(s, m)).withColumn("converged", F.lit(m.converged))
 
 
 @query()
@@ -54,17 +58,17 @@ def t2_spline_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
 def b3_other_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Resampling of groups in place of raters: the interval of the mean rating."""
     g = events(spark, sf_dir).groupBy(F.concat_ws(":", F.col("rater").cast("string"), "grp").alias("rater")).agg(F.sum("y").alias("s"), F.count("y").alias("n"))
-    draws = inference.bootstrap(inference.numbered(g), 50, 11, (F.sum("s") / F.sum("n")).alias("mean_y"))
+    draws = inference.bootstrap(inference.numbered(g), REPLICATES, 11, (F.sum("s") / F.sum("n")).alias("mean_y"))
     return rounded(inference.percentile_interval(draws, "mean_y"))
 
 
 @query()
 def b2_bca_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bias-corrected interval of the gain: replicates are few, the leave-one-out values one per rater."""
+    """Bias-corrected interval of the gain: replicates are 2,000, the leave-one-out values one per rater."""
     r = inference.ordered(shrinkage.rater_rmse(shrinkage.held_out_errors(event_folds(spark, sf_dir)))).cache()
     gain = (1 - F.avg("rmse_rater") / F.avg("rmse_population")).alias("gain")
     t = r.agg(gain, F.sum("rmse_rater").alias("s"), F.sum("rmse_population").alias("p")).head()
-    replicates = [x["gain"] for x in inference.bootstrap(r, 200, 7, gain).collect()]
+    replicates = [x["gain"] for x in inference.bootstrap(r, REPLICATES, 7, gain).collect()]
     # Of the leave-one-out values only their moments matter: sums of squares and cubes, not the values.
     one = r.select((1 - (t["s"] - F.col("rmse_rater")) / (t["p"] - F.col("rmse_population"))).alias("g"))
     m = one.agg(F.avg("g").alias("m"), F.count("*").alias("n"), F.skewness("g").alias("skew"), F.stddev_pop("g").alias("sd")).head()
@@ -95,7 +99,7 @@ def k7_polynomial_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def k8_shared_basis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, each = preference.shared_basis(_pairs(spark, sf_dir), rounds=2)
+    _, each = preference.shared_basis(_pairs(spark, sf_dir))
     return each.select("rater", "n", F.round("loss", 4).alias("loss"), F.round(F.col("weights")[0], 4).alias("first_weight"))
 
 
@@ -116,7 +120,7 @@ def m1_forest_and_ridge(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def m3_mixture_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = shrinkage.rater_lines(regression.centred(complete(events(spark, sf_dir)))).cache()
-    rows = [(x["k"], x["log_likelihood"], x["aic"], x["bic"]) for x in multivariate.mixtures(lines, ["intercept", "slope"], 3)]
+    rows = [(x["k"], x["log_likelihood"], x["aic"], x["bic"]) for x in multivariate.mixtures(lines, ["intercept", "slope"])]
     return spark.createDataFrame(rows, "k int, log_likelihood double, aic double, bic double")
 
 
