@@ -51,9 +51,11 @@ def bootstrap(rows: DataFrame, replicates: int, seed: int, *aggregates: Column)
     """B1: per replicate, aggregates over m rows drawn with replacement (rows: idx, m, values).
 
     A slot's draw is a hash of (seed, replicate, slot), so replicates are the same on every
-    run.  The grid has replicates x m rows; rows are one per rater, sums of whatever is needed.
+    run.  The grid has replicates x m rows; rows are one per rater, sums of whatever is needed,
+    and best come from a stored table: Spark then knows their size and broadcasts them if they
+    are few, so that only partial aggregates are shuffled.
     """
-    slots = rows.select(F.col("idx").alias("slot"), "m").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    slots = rows.select(F.col("idx").alias("slot"), "m").repartition("slot").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
     draw = md5_int(F.concat_ws(":", F.lit(str(seed)), F.col("b").cast("string"), F.col("slot").cast("string"))) % F.col("m")
     return slots.select("b", draw.alias("idx")).join(rows, "idx").groupBy("b").agg(*aggregates)
 
@@ -64,7 +66,13 @@ def percentile_interval(replicates: DataFrame, value: str, level: float = 0.95)
 
 
 def bca_interval(estimate: float, replicates: list[float], jackknife: list[float], level: float = 0.95) -> tuple[float, float]:
-    """B2: bias-corrected and accelerated interval from replicate and leave-one-rater-out values.
+    """B2: bias-corrected and accelerated interval from replicate and leave-one-rater-out values."""
+    mean = sum(jackknife) / max(len(jackknife), 1)
+    return bca_from_moments(estimate, replicates, sum((mean - v) ** 2 for v in jackknife), sum((mean - v) ** 3 for v in jackknife), level)
+
+
+def bca_from_moments(estimate: float, replicates: list[float], square: float, cube: float, level: float = 0.95) -> tuple[float, float]:
+    """The same where Spark has summed the squares and cubes of (mean - value) over the leave-one-rater-out values.
 
     Falls back to percentiles where bias or acceleration cannot be had; under 100 valid
     replicates there is no interval (NaN).
@@ -74,8 +82,6 @@ def bca_interval(estimate: float, replicates: list[float], jackknife: list[float
         return math.nan, math.nan
     normal, tail = NormalDist(), (1 - level) / 2
     below = sum(v < estimate for v in values) / len(values)
-    mean = sum(jackknife) / max(len(jackknife), 1)
-    cube, square = sum((mean - v) ** 3 for v in jackknife), sum((mean - v) ** 2 for v in jackknife)
 
     def at(p: float) -> float:
         where = p * (len(values) - 1)

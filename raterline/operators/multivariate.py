@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline
-from pyspark.ml.clustering import GaussianMixture, KMeans
+from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator, RegressionEvaluator
 from pyspark.ml.feature import IDF, CountVectorizer, NGram, OneHotEncoder, RegexTokenizer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector
@@ -15,6 +19,7 @@ from pyspark.ml.stat import Correlation, Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from raterline.sources.files import written
 from raterline.sources.observations import md5_int
 
 
@@ -33,19 +38,99 @@ def cross_validated_r2(df: DataFrame, label: str, key: str, *, folds: int = 3, m
     return [r2.evaluate(estimator.fit(dealt.where(F.col("_fold") != f)).transform(dealt.where(F.col("_fold") == f))) for f in range(folds)]
 
 
-def mixtures(df: DataFrame, columns: list[str], most: int = 5, seed: int = 7) -> list[dict]:
-    """M3: Gaussian mixtures of 1 to `most` parts with AIC and BIC."""
-    v = VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="skip").transform(df).select("features")
-    n, d, out = v.count(), len(columns), []
-    for k in range(1, most + 1):
-        if k == 1:
-            # One part is a plain Gaussian: its likelihood follows from the covariance.
-            spread = np.array(df.select(*(F.array(*(F.covar_pop(a, b) for b in columns)) for a in columns)).head()).reshape(d, d)
-            likelihood = -0.5 * n * (d * math.log(2 * math.pi) + float(np.linalg.slogdet(spread)[1]) + d)
-        else:
-            likelihood = GaussianMixture(k=k, seed=seed).fit(v).summary.logLikelihood
+def mixtures(df: DataFrame, columns: list[str], most: int = 5, *, steps: int = 60, tolerance: float = 1e-6) -> list[dict]:
+    """M3: Gaussian mixtures of 1 to `most` parts with AIC and BIC.
+
+    EM on sums: every step is one aggregate that serves all orders at once; tasks return each
+    part's weight, sums and cross-products, and the driver decomposes matrices as wide as
+    `columns`.  An order rests once its likelihood moves by under `tolerance` of itself; after
+    `steps` steps all do.  Parts start evenly spaced along the principal axis.  Rows with a
+    null, NaN or infinite value are left out; without two rows there is no fit.
+    """
+    d = len(columns)
+    fine = reduce(lambda a, b: a & b, (F.coalesce(F.abs(F.col(c)) < float("inf"), F.lit(False)) & ~F.isnan(F.col(c).cast("double")) for c in columns))
+    rows = written(df.where(fine).select(*(F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(columns))), "mixture")
+    s = rows.agg(F.count("*").alias("n"), F.array(*(F.avg(f"v{i}") for i in range(d))).alias("m"), F.array(*(F.stddev_pop(f"v{i}") for i in range(d))).alias("s"), F.array(*(F.corr(f"v{i}", f"v{j}") for i in range(d) for j in range(d))).alias("c")).head()
+    n = s["n"]
+    if n < 2:
+        return []
+    centre, scale = np.array(s["m"]), np.array([x if x and x > 0 else 1.0 for x in s["s"]])
+    spread = np.array([x if x is not None and np.isfinite(x) else 0.0 for x in s["c"]]).reshape(d, d)
+    np.fill_diagonal(spread, 1.0)
+    value, axis = np.linalg.eigh(spread)
+    parts = {k: Mixture.along(value[-1] ** 0.5 * axis[:, -1] * (1 if axis[np.abs(axis[:, -1]).argmax(), -1] > 0 else -1), spread, k) for k in range(1, most + 1)}
+    live, likelihood = list(parts), dict.fromkeys(parts, -np.inf)
+    for _ in range(steps):
+        sums = _mixture_sums(rows, d, [parts[k] for k in live], centre, scale)
+        for k, (total, moments) in zip(list(live), sums):
+            moved, likelihood[k] = abs(total - likelihood[k]), total
+            if moved <= tolerance * abs(total):
+                live.remove(k)
+            else:
+                parts[k] = Mixture.of(moments, n, d)
+        if not live:
+            break
+    out = []
+    for k in parts:
         free = k - 1 + k * d + k * d * (d + 1) / 2
-        out.append({"k": k, "log_likelihood": likelihood, "aic": 2 * free - 2 * likelihood, "bic": free * math.log(n) - 2 * likelihood})
+        total = likelihood[k] - n * float(np.log(scale).sum())
+        out.append({"k": k, "log_likelihood": total, "aic": 2 * free - 2 * total, "bic": free * math.log(n) - 2 * total})
+    return out
+
+
+@dataclass
+class Mixture:
+    """Shares, means and covariances of a mixture's parts, in standardised units."""
+
+    share: np.ndarray
+    mean: np.ndarray
+    covariance: np.ndarray
+
+    @staticmethod
+    def along(direction: np.ndarray, spread: np.ndarray, k: int) -> Mixture:
+        return Mixture(np.full(k, 1 / k), np.linspace(-1, 1, k)[:, None] * direction if k > 1 else np.zeros((1, len(direction))), np.stack([spread + 1e-6 * np.eye(len(spread))] * k))
+
+    @staticmethod
+    def of(moments: np.ndarray, n: int, d: int) -> Mixture:
+        """From each part's weight, sums and cross-products."""
+        weight = np.maximum(moments[:, 0], 1e-9)
+        mean = moments[:, 1 : 1 + d] / weight[:, None]
+        cross = moments[:, 1 + d :].reshape(-1, d, d) / weight[:, None, None]
+        return Mixture(weight / n, mean, cross - np.einsum("ki,kj->kij", mean, mean) + 1e-6 * np.eye(d))
+
+    def step(self, x: np.ndarray) -> tuple[float, np.ndarray]:
+        """(log likelihood of the rows, the moments weighted by what each part owns of them)."""
+        d = x.shape[1]
+        away = x[:, None, :] - self.mean
+        form = np.einsum("nki,kij,nkj->nk", away, np.linalg.inv(self.covariance), away)
+        log = np.log(self.share) - 0.5 * (form + np.linalg.slogdet(self.covariance)[1] + d * math.log(2 * math.pi))
+        top = log.max(axis=1, keepdims=True)
+        total = np.exp(log - top)
+        whole = total.sum(axis=1, keepdims=True)
+        own = total / whole
+        return float((top + np.log(whole)).sum()), np.concatenate([own.sum(axis=0)[:, None], own.T @ x, np.einsum("nk,ni,nj->kij", own, x, x).reshape(-1, d * d)], axis=1)
+
+
+def _mixture_sums(rows: DataFrame, d: int, models: list[Mixture], centre: np.ndarray, scale: np.ndarray) -> list[tuple[float, np.ndarray]]:
+    """One step of every mixture over all rows: one job, a short vector from each task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                x = (np.column_stack([batch.column(i).to_numpy() for i in range(d)]) - centre) / scale
+                v = np.concatenate([np.append(m.ravel(), t) for t, m in (model.step(x) for model in models)])
+                total = v if total is None else total + v
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], names=["v"])
+
+    # A few hundred numbers from each task.
+    got = np.sum([r["v"] for r in rows.mapInArrow(run, "v array<double>").collect()], axis=0)
+    out, at, width = [], 0, 1 + d + d * d
+    for m in models:
+        k = len(m.share) * width
+        out.append((float(got[at + k]), got[at : at + k].reshape(-1, width)))
+        at += k + 1
     return out
 
 

@@ -37,6 +37,25 @@ def sums(obs: DataFrame, *keys: str, x: str = "cx", y: str = "cy") -> DataFrame:
     )
 
 
+def moments(obs: DataFrame, *keys: str) -> DataFrame:
+    """Per key: n, the means ax and ay, the variances vx and vy and the covariance vxy of x and y.
+
+    Spark keeps these about running means, so they are as exact as centred sums and need no
+    pass over the rows to find a centre first.
+    """
+    return obs.groupBy(*keys).agg(
+        F.count("*").cast("double").alias("n"), F.avg("x").alias("ax"), F.avg("y").alias("ay"), F.var_pop("x").alias("vx"), F.var_pop("y").alias("vy"), F.covar_pop("x", "y").alias("vxy")
+    )
+
+
+def sums_of_moments(parts: DataFrame) -> DataFrame:
+    """The six sums about the grand means, from rows of moments()."""
+    mean = lambda c: F.sum(F.col("n") * F.col(c)) / F.sum("n")
+    both = parts.crossJoin(F.broadcast(parts.agg(mean("ax").alias("mx"), mean("ay").alias("my"))))
+    n, x, y = F.col("n"), F.col("ax") - F.col("mx"), F.col("ay") - F.col("my")
+    return both.withColumns({"sx": n * x, "sy": n * y, "sxx": n * (F.col("vx") + x * x), "sxy": n * (F.col("vxy") + x * y), "syy": n * (F.col("vy") + y * y)}).drop("ax", "ay", "vx", "vy", "vxy")
+
+
 def added(parts: DataFrame, *keys: str) -> DataFrame:
     """Sums of sums."""
     return parts.groupBy(*keys).agg(*(F.sum(s).alias(s) for s in SUMS), F.max("mx").alias("mx"), F.max("my").alias("my"))

@@ -6,11 +6,11 @@ the same sums, so rows are read and shuffled once.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from raterline.operators.regression import added, centred, line, population_line, squared_error, sums, totals_less
+from raterline.operators.regression import added, centred, line, moments, population_line, squared_error, sums, sums_of_moments, totals_less
+from raterline.sources.files import written
 
 ARMS = ("mean", "population", "rater", "shrunk")
 
@@ -54,12 +54,12 @@ def rater_lines(obs: DataFrame, guard: str = "a") -> DataFrame:
 def held_out_errors(folds: DataFrame, *, guard: str = "a", floor: float = 1e-6, nested: bool = False, **options) -> DataFrame:
     """Per (rater, fold), n and the sum of squared errors of every arm on the held-out rows.
 
-    folds: observations with `fold`, centred or not.  nested (V9): population and variances from the other
+    folds: observations with `fold`.  nested (V9): population and variances from the other
     folds of all raters only, in place of all rows.
     """
-    c = folds if "cx" in folds.columns else centred(folds)
-    # One small row per rater and fold, read by the fits, the totals and the population alike.
-    parts = sums(c, "rater", "fold").persist(StorageLevel.MEMORY_AND_DISK)
+    # One small row per rater and fold, read by the fits, the totals and the population alike; stored, so that the
+    # rows behind them are read once and Spark knows how small it is.
+    parts = sums_of_moments(written(moments(folds, "rater", "fold"), "fold-moments"))
     fitted = line(totals_less(parts, "rater"), guard, prefix="t_")
     if nested:
         other = line(totals_less(added(parts, "fold").withColumn("all", F.lit(0)), "all"), prefix="t_")

@@ -10,6 +10,7 @@ from raterline.functions import scalars
 from raterline.operators import inference, regression, shrinkage, splits
 from raterline.plans.registry import query
 from raterline.plans.relational import EVENTS
+from raterline.sources.files import written
 from raterline.sources.observations import ORDERS_SQL, complete, events, md5_int, orders, table
 
 SEED, K = 20260420, 5
@@ -100,11 +101,21 @@ ORDER_FOLDS = folds_sql(ORDERS, K_FOLD, f"cnt >= {K}")
 
 
 def event_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return splits.k_folds(regression.centred(complete(events(spark, sf_dir))), K, SEED)
+    return splits.k_folds(complete(events(spark, sf_dir)), K, SEED)
+
+
+def rater_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors of every arm per rater, stored: what bootstraps and ranks read again and again."""
+    return written(shrinkage.rater_rmse(shrinkage.held_out_errors(event_folds(spark, sf_dir))), "rater-errors")
+
+
+def drawn_from(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, numbered in the order of raters."""
+    return written(inference.ordered(rater_errors(spark, sf_dir)), "rater-errors")
 
 
 def order_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return splits.k_folds(regression.centred(complete(orders(spark, sf_dir))), K, SEED)
+    return splits.k_folds(complete(orders(spark, sf_dir)), K, SEED)
 
 
 # ------------------------------------------------------------------ the core query
@@ -409,7 +420,7 @@ _DRAWS = "i AS (SELECT *, row_number() OVER (ORDER BY rater) - 1 AS idx, count(*
 
 @query(f"WITH {errors_sql(EVENT_FOLDS)}, {_DRAWS}, g AS (SELECT b, 1 - avg(rmse_rater) / avg(rmse_population) AS gain FROM k GROUP BY b) SELECT round(quantile_cont(gain, 0.025), 6) AS low, round(quantile_cont(gain, 0.975), 6) AS high, count(gain) AS valid FROM g")
 def b1_rater_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = inference.ordered(shrinkage.rater_rmse(shrinkage.held_out_errors(event_folds(spark, sf_dir))))
+    r = drawn_from(spark, sf_dir)
     gain = (1 - F.avg("rmse_rater") / F.avg("rmse_population")).alias("gain")
     return rounded(inference.percentile_interval(inference.bootstrap(r, 200, 7, gain), "gain"))
 
@@ -417,7 +428,7 @@ def b1_rater_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {errors_sql(EVENT_FOLDS)}, {_DRAWS}, g AS (SELECT b, 1 - sqrt(sum(n * rmse_rater ** 2) / sum(n * rmse_population ** 2)) AS gain FROM k GROUP BY b), jk AS (SELECT 1 - sqrt(((sum(n * rmse_rater ** 2) OVER ()) - n * rmse_rater ** 2) / ((sum(n * rmse_population ** 2) OVER ()) - n * rmse_population ** 2)) AS gain FROM r) SELECT round(quantile_cont(gain, 0.025), 6) AS low, round(quantile_cont(gain, 0.975), 6) AS high, count(gain) AS valid, round((SELECT avg(gain) FROM jk), 6) AS jackknife_mean, round((SELECT stddev_pop(gain) FROM jk), 8) AS jackknife_sd FROM g")
 def b2_cluster_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pooled-row errors resampled by rater: each rater's squared-error sums are enough."""
-    r = inference.ordered(shrinkage.rater_rmse(shrinkage.held_out_errors(event_folds(spark, sf_dir))))
+    r = drawn_from(spark, sf_dir)
     s = r.select("idx", "m", (F.col("n") * F.col("rmse_population") ** 2).alias("base"), (F.col("n") * F.col("rmse_rater") ** 2).alias("model"))
     gain = lambda model, base: 1 - F.sqrt(model / base)
     whole = s.agg(F.sum("base").alias("all_base"), F.sum("model").alias("all_model"))
@@ -431,14 +442,14 @@ _RANK = "rank() OVER (ORDER BY {0}) + (count(*) OVER (PARTITION BY {0}) - 1) / 2
 
 @query(f"WITH {errors_sql(EVENT_FOLDS)}, d AS (SELECT n, rmse_population - rmse_rater AS gain FROM r), k AS (SELECT {_RANK.format('n')} AS a, {_RANK.format('gain')} AS b FROM d) SELECT round(corr(a, b), 6) AS rho, count(*) AS n FROM k")
 def b4_rank_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = shrinkage.rater_rmse(shrinkage.held_out_errors(event_folds(spark, sf_dir)))
+    r = rater_errors(spark, sf_dir)
     d = r.select(F.col("n").alias("size"), (F.col("rmse_population") - F.col("rmse_rater")).alias("gain"))
     return inference.spearman(d, "size", "gain").select(F.round("rho", 6).alias("rho"), "n")
 
 
 @query(f"WITH {errors_sql(EVENT_FOLDS)}, d AS (SELECT rmse_population - rmse_rater AS d FROM r), k AS (SELECT d, {_RANK.format('abs(d)')} AS rk FROM d WHERE d <> 0), s AS (SELECT count(*) AS n, sum(CASE WHEN d > 0 THEN rk ELSE 0 END) AS w_plus, sum(CASE WHEN d < 0 THEN rk ELSE 0 END) AS w_minus FROM k), t AS (SELECT sum(c * c * c - c) AS tie FROM (SELECT count(*) AS c FROM k GROUP BY abs(d))) SELECT n, w_plus, w_minus, round((w_plus - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - tie / 48), 6) AS z, round((SELECT avg(CASE WHEN d > 0 THEN 1.0 ELSE 0.0 END) FROM d), 6) AS win_fraction FROM s, t")
 def b5_paired_wilcoxon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = shrinkage.rater_rmse(shrinkage.held_out_errors(event_folds(spark, sf_dir)))
+    r = rater_errors(spark, sf_dir)
     return rounded(inference.wilcoxon(r, "rmse_population", "rmse_rater"))
 
 
@@ -612,7 +623,7 @@ def z3_flipped_slopes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {errors_sql(EVENT_FOLDS)}, {_DRAWS}, g AS (SELECT b, 1 - avg(rmse_rater) / avg(rmse_population) AS gain FROM k GROUP BY b), ci AS (SELECT quantile_cont(gain, 0.025) AS low, quantile_cont(gain, 0.975) AS high, (SELECT 1 - avg(rmse_rater) / avg(rmse_population) FROM r) AS gain FROM g) SELECT CASE WHEN gain >= 0.05 AND low > 0 THEN 'strong' WHEN low > 0 THEN 'positive' WHEN high < 0 THEN 'negative' ELSE 'null' END AS outcome, round(gain, 6) AS gain FROM ci")
 def d1_outcome_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules in order; the first that holds names the outcome."""
-    r = inference.ordered(shrinkage.rater_rmse(shrinkage.held_out_errors(event_folds(spark, sf_dir))))
+    r = drawn_from(spark, sf_dir)
     gain = 1 - F.avg("rmse_rater") / F.avg("rmse_population")
     ci = inference.percentile_interval(inference.bootstrap(r, 200, 7, gain.alias("gain")), "gain")
     c = ci.crossJoin(F.broadcast(r.agg(gain.alias("gain"))))

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from raterline.operators import inference, mixed, multivariate, preference, regression, sequential, shrinkage
-from raterline.plans.calibration import event_folds, pairs, rounded
+from raterline.plans.calibration import drawn_from, pairs, rounded
 from raterline.plans.registry import query
-from raterline.sources.files import walk
+from raterline.sources.files import walk, written
 from raterline.sources.observations import complete, events, orders, table
 
 #: Draws of a bootstrap, as in the reference scripts.
@@ -23,7 +23,7 @@ def rater_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def r4_mixed_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = regression.centred(complete(events(spark, sf_dir)))
-    s = mixed.power_sums(c, "rater").cache()
+    s = written(mixed.power_sums(c, "rater"), "power-sums")
     return rounded(mixed.effects(s, mixed.fit(s)))
 
 
@@ -31,7 +31,7 @@ def r4_mixed_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 def r4b_quadratic_mixed_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """About the grand means and in units of ten x, so that the powers stay of one size.  converged: did EM reach its tolerance?"""
     c = regression.centred(complete(events(spark, sf_dir))).withColumn("cx", F.col("cx") / 10)
-    s = mixed.power_sums(c, "rater", degree=2).cache()
+    s = written(mixed.power_sums(c, "rater", degree=2), "power-sums")
     m = mixed.fit(s, degree=2)
     return rounded(mixed.effects(s, m)).withColumn("converged", F.lit(m.converged))
 
@@ -65,26 +65,18 @@ def b3_other_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def b2_bca_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bias-corrected interval of the gain: replicates are 2,000, the leave-one-out values one per rater."""
-    r = inference.ordered(shrinkage.rater_rmse(shrinkage.held_out_errors(event_folds(spark, sf_dir)))).cache()
+    r = drawn_from(spark, sf_dir)
     gain = (1 - F.avg("rmse_rater") / F.avg("rmse_population")).alias("gain")
     t = r.agg(gain, F.sum("rmse_rater").alias("s"), F.sum("rmse_population").alias("p")).head()
     replicates = [x["gain"] for x in inference.bootstrap(r, REPLICATES, 7, gain).collect()]
     # Of the leave-one-out values only their moments matter: sums of squares and cubes, not the values.
     one = r.select((1 - (t["s"] - F.col("rmse_rater")) / (t["p"] - F.col("rmse_population"))).alias("g"))
     m = one.agg(F.avg("g").alias("m"), F.count("*").alias("n"), F.skewness("g").alias("skew"), F.stddev_pop("g").alias("sd")).head()
-    # Three values with the same mean, spread and skew stand for all of them up to scale in n.
-    low, high = inference.bca_interval(t["gain"], replicates, _standing_for(m["m"], m["sd"], m["skew"], m["n"]))
+    square = m["n"] * m["sd"] ** 2
+    low, high = inference.bca_from_moments(t["gain"], replicates, square, -m["n"] * m["sd"] ** 3 * (m["skew"] or 0.0))
     return spark.createDataFrame([(round(t["gain"], 6), round(low, 6), round(high, 6))], "gain double, low double, high double")
 
 
-def _standing_for(mean: float, sd: float, skew: float, n: int) -> list[float]:
-    """n values (two distinct ones) whose sums of squares and cubes about the mean are the given ones."""
-    p = 0.5 * (1 - skew / (skew * skew + 4) ** 0.5)
-    k = min(max(round(n * p), 1), n - 1)
-    p = k / n
-    return [mean + sd * ((1 - p) / p) ** 0.5] * k + [mean - sd * (p / (1 - p)) ** 0.5] * (n - k)
-
-
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chosen and rejected signals, standardised."""
     p = pairs(spark, sf_dir)
@@ -112,14 +104,15 @@ def k9_head_mixtures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def m1_forest_and_ridge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = multivariate.encoded(rater_features(spark, sf_dir), ["kind"], ["mean_x", "sd_y", "buys"]).cache()
+    f = multivariate.encoded(rater_features(spark, sf_dir), ["kind"], ["mean_x", "sd_y", "buys"]).cache()  # released below: vectors of the ML library, read by every fit
     rows = [(m, k, float(v)) for m in ("forest", "ridge") for k, v in enumerate(multivariate.cross_validated_r2(f, "mean_y", "rater", model=m))]
+    f.unpersist()
     return spark.createDataFrame(rows, "model string, fold int, r2 double")
 
 
 @query()
 def m3_mixture_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = shrinkage.rater_lines(regression.centred(complete(events(spark, sf_dir)))).cache()
+    lines = shrinkage.rater_lines(regression.centred(complete(events(spark, sf_dir))))
     rows = [(x["k"], x["log_likelihood"], x["aic"], x["bic"]) for x in multivariate.mixtures(lines, ["intercept", "slope"])]
     return spark.createDataFrame(rows, "k int, log_likelihood double, aic double, bic double")
 
