@@ -8,15 +8,21 @@ probability 1 / (split * positions) two sets of similarity `split` share one chi
 average, and more alike ones more.  The depth grows with the logarithm of the number of sets,
 so that unrelated sets rarely share a leaf; runs repeat until the target recall.
 
-The leaves are small; each is searched by brute force on a second sketch.  In a leaf with many
-near copies the search goes from leaders, each compared with all, and sets very near to a
-leader lead no search themselves.  Of each group so found only links to its first set come
-out, so links are linear in the rows, however large a group is.
-
-Links by sketch only gather candidates, at a lower similarity.  Within their connected
-components the n-gram sets themselves are compared, all pairs in blocks, which gives exact
-numbers of links and the final classes; large components are cut into blocks that meet in
-pairs, so no task sees more than two.
+The leaves are searched by brute force on a second sketch.  In a leaf with many near copies
+the search goes from leaders, each compared with all, and sets very near to a leader lead no
+search themselves.  Of each group so found only links to its first set come out, so links are
+linear in the rows, however large a group is.  A leaf with over `LEAF` sets is dealt out in
+chunks; then the leaders of its chunks, which are few among near copies, meet in pairs of
+blocks.
+
+Links by sketch only gather candidates, at a lower similarity.  Candidate components of one
+block are compared whole.  In larger ones each candidate link is checked against the n-gram
+sets, which gives classes from work linear in the links; then the sets outside a component's
+largest class, as a rule few, meet that class and each other in blocks, so no link between
+classes is lost.  Numbers of links, where they are asked for, take all pairs of a class: its
+sets are packed into blocks, one row each, and the blocks meet in pairs, so that rows grow with
+the square of the blocks and not of the sets; classes themselves (`one_of_each`) need no such
+step.
 
 Sets that are equal are one set throughout, with a number of copies.
 
@@ -127,61 +133,103 @@ def leaves(sets: DataFrame, *, runs_: int, depth: int, split: float) -> DataFram
     return sets.select("key", "sketch").mapInArrow(run, schema(path="long", key="long", filter="binary"))
 
 
+#: Sets of one leaf that a task searches; fuller leaves are dealt out.
+LEAF = 1 << 14
 #: Equal filter values, of FILTER, from which two sets are linked as candidates, and from which one is covered by the other.
 LINKED, COVERED = 14, 28
 
 
-def _search(sig: np.ndarray) -> np.ndarray:
-    """Groups within one leaf: for each set, the first set that it is linked to through others.
+def _search(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Within one leaf: (for each set, the first set that it is linked to through others; does it lead?).
 
     Leaders are compared with all sets; sets covered by a leader do not lead.
     """
     group = np.arange(len(sig))
-    rest = np.ones(len(sig), bool)
+    rest, leads = np.ones(len(sig), bool), np.zeros(len(sig), bool)
     for at in range(len(sig)):
         if rest[at]:
+            leads[at] = True
             same = (sig == sig[at]).sum(axis=1)
             met = np.unique(group[same >= LINKED])
             if len(met) > 1:
                 group[np.isin(group, met)] = met[0]
             rest[same >= COVERED] = False
-    return group
+    return group, leads
+
+
+FOUND = schema(a="long", b="long", crowd="long", filter="binary")
 
 
-def candidate_links(leaf_rows: DataFrame, partitions: int) -> DataFrame:
-    """Distinct (a, b): sets that look alike in some leaf, each linked to the first of its group there."""
+def _searched(tasks: DataFrame, partitions: int) -> DataFrame:
+    """tasks: task, key, crowd, filter.  Distinct links (a, b) within each task and, where crowd is given, its leaders (b null)."""
 
-    def search(path: np.ndarray, key: np.ndarray, sig: np.ndarray) -> pa.RecordBatch:
-        first = np.flatnonzero(np.concatenate([[True], path[1:] != path[:-1]]))
-        size = np.diff(np.append(first, len(path)))
-        two = first[size == 2]
+    def search(task: np.ndarray, key: np.ndarray, crowd: pa.Array, sig: np.ndarray) -> pa.RecordBatch:
+        first = np.flatnonzero(np.concatenate([[True], task[1:] != task[:-1]]))
+        size = np.diff(np.append(first, len(task)))
+        crowded = np.asarray(crowd.is_valid().to_numpy(zero_copy_only=False), bool)[first]
+        two = first[(size == 2) & ~crowded]
         two = two[(sig[two] == sig[two + 1]).sum(axis=1) >= LINKED]
-        a, b = [key[two]], [key[two + 1]]
-        for i, n in zip(first[size > 2].tolist(), size[size > 2].tolist()):
-            group = _search(sig[i : i + n])
+        a, b, leaders = [key[two]], [key[two + 1]], [np.zeros(0, np.int64)]
+        more = (size > 2) | crowded
+        for i, n, c in zip(first[more].tolist(), size[more].tolist(), crowded[more].tolist()):
+            group, leads = _search(sig[i : i + n])
             a.append(key[i : i + n][group != np.arange(n)])
             b.append(key[i + group[group != np.arange(n)]])
+            if c:
+                leaders.append(i + np.flatnonzero(leads))
         pairs = np.sort(np.stack([np.concatenate(a), np.concatenate(b)], axis=1), axis=1)
-        pairs = np.unique(pairs, axis=0) if len(pairs) else pairs
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+        pairs = np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
+        lead = np.concatenate(leaders)
+        none = pa.nulls(len(lead), pa.int64())
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.concatenate([pairs[:, 0], key[lead]])), pa.concat_arrays([pa.array(pairs[:, 1]), none]), pa.concat_arrays([pa.nulls(len(pairs), pa.int64()), crowd.take(pa.array(lead))]),
+                pa.array([None] * len(pairs) + [x.tobytes() for x in sig[lead]], pa.binary()),
+            ], names=FOUND.names,
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, FILTER), np.uint8))
+        held: pa.Table | None = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            now = (batch.column(0).to_numpy(), batch.column(1).to_numpy(), np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, FILTER))
-            path, key, sig = (np.concatenate(x) for x in zip(held, now))
-            # The last path may go on in the next batch.
-            whole = int(np.searchsorted(path, path[-1]))
+            now = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch])
+            task = column(now, "task").to_numpy()
+            # The last task may go on in the next batch.
+            whole = int(np.searchsorted(task, task[-1]))
             if whole:
-                yield search(path[:whole], key[:whole], sig[:whole])
-            held = path[whole:], key[whole:], sig[whole:]
-        if len(held[0]):
-            yield search(*held)
+                yield search(*_columns(now.slice(0, whole)))
+            held = now.slice(whole)
+        if held is not None and held.num_rows:
+            yield search(*_columns(held))
+
+    return tasks.select("task", "key", "crowd", "filter").repartition(partitions, "task").sortWithinPartitions("task", "key").mapInArrow(run, FOUND)
+
 
-    found = leaf_rows.repartition(partitions, "path").sortWithinPartitions("path", "key").mapInArrow(run, schema(a="long", b="long"))
-    return found.where("a != b").distinct()
+def _columns(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+    return column(rows, "task").to_numpy(), column(rows, "key").to_numpy(), column(rows, "crowd"), np.frombuffer(b"".join(column(rows, "filter").to_pylist()), np.uint8).reshape(-1, FILTER)
+
+
+def candidate_links(sketches: DataFrame, partitions: int, *, runs_: int, depth: int, split: float, most: int = LEAF, every: int = 16) -> DataFrame:
+    """Distinct (a, b): sets that look alike in some leaf, each linked to the first of its group there.
+
+    Which leaves hold over `most` sets is estimated from one set in `every`; that only steers
+    how the sets are dealt to tasks, never which are compared.
+    """
+    options = {"runs_": runs_, "depth": depth, "split": split}
+    some = leaves(sketches.where(F.pmod("key", F.lit(every)) == 0), **options).groupBy("path").agg((F.count("*") * every).alias("n"))
+    crowds = written(some.where(F.col("n") > most).select(F.col("path").alias("crowd"), F.ceil(F.col("n") / most).alias("chunks")), "crowds")
+    rows = leaves(sketches, **options)
+    rows = rows.join(crowds, rows["path"] == crowds["crowd"], "left")
+    task = F.when(F.col("crowd").isNotNull(), F.xxhash64("path", F.pmod(F.xxhash64("key"), F.col("chunks")))).otherwise(F.col("path"))
+    found = written(_searched(rows.withColumn("task", task), partitions), "leaf-links")
+    leaders = found.where("b is null").select(F.col("crowd").alias("path"), F.col("a").alias("key"), "filter")
+    blocks = leaders.groupBy("path").agg(F.ceil(F.count("*") / most).cast("int").alias("blocks"))
+    i = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(i, j), F.greatest(i, j)))
+    again = leaders.join(blocks, "path").select("path", "key", "filter", F.explode(pairs).alias("pair")).select(F.xxhash64("path", "pair").alias("task"), "key", F.lit(None).cast("long").alias("crowd"), "filter")
+    both = found.where("b is not null").select("a", "b").unionByName(_searched(again, partitions).where("b is not null").select("a", "b"))
+    return both.distinct()
 
 
 def shared_counts(grams: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -204,14 +252,20 @@ def shared_counts(grams: np.ndarray, size: np.ndarray) -> np.ndarray:
     return out
 
 
-def _compare(key: np.ndarray, copies: np.ndarray, size: np.ndarray, grams: np.ndarray, side: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """(links of each set counted by copies, the least key it is linked to through others here)."""
+def _alike(size: np.ndarray, grams: np.ndarray, side: np.ndarray, threshold: float) -> np.ndarray:
+    """Which sets are alike; with sides given, only those of different ones."""
     shared = shared_counts(grams, size)
     n = size.astype(np.float64)
     alike = shared / np.maximum(n[:, None] + n[None, :] - shared, 1) >= threshold
     np.fill_diagonal(alike, False)
     if side.any():
         alike &= side[:, None] != side[None, :]
+    return alike
+
+
+def _compare(key: np.ndarray, copies: np.ndarray, size: np.ndarray, grams: np.ndarray, side: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(links of each set counted by copies, the least key it is linked to through others here)."""
+    alike = _alike(size, grams, side, threshold)
     links = alike @ copies.astype(np.float64)
     label = key.copy()
     while True:
@@ -225,28 +279,32 @@ def _compare(key: np.ndarray, copies: np.ndarray, size: np.ndarray, grams: np.nd
         label = low
 
 
-def verified(members: DataFrame, texts: DataFrame, *, n: int, threshold: float, partitions: int, block_bytes: int = 4 << 20, block_sets: int = 512) -> tuple[DataFrame, DataFrame]:
-    """Exact links within candidate components.
+BLOCK_BYTES, BLOCK_SETS = 4 << 20, 512
 
-    members: component, key, copies, n_grams; texts: key, text.  Returns (key, links) and
-    edges (a, b) that connect the final classes.  A component with more than `block_bytes` of
-    grams or `block_sets` sets is cut into blocks; every two blocks meet once, and each with itself.
-    """
-    sized = members.groupBy("component").agg(F.ceil(F.greatest(F.sum(F.col("n_grams").cast("long")) * 8 / block_bytes, F.count("*") / block_sets)).cast("int").alias("blocks"))
-    placed = members.join(sized, "component").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
+
+def blocks_of(bytes_: F.Column, sets: F.Column, block_bytes: int, block_sets: int) -> F.Column:
+    return F.ceil(F.greatest(bytes_ / block_bytes, sets / block_sets)).cast("int")
+
+
+def set_rows(members: DataFrame, texts: DataFrame, n: int) -> DataFrame:
+    """(key, set_a, grams) of the members; texts: key, text.  set_a tells texts apart that share a key by accident."""
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in (p for b in batches for p in slices(b)):
             gram, count = gram_sets(part.column(1), n)
-            parts = np.split(gram, np.cumsum(count)[:-1])
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([p.tobytes() for p in parts], pa.binary())], names=["key", "grams"])
+            cuts = np.cumsum(count)
+            ids = [np.add.reduce(mix(p + _SALTS[0])) if len(p) else np.uint64(0) for p in np.split(gram, cuts[:-1])]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array([p.tobytes() for p in np.split(gram, cuts[:-1])], pa.binary())], names=["key", "set_a", "grams"])
 
-    needed = texts.join(members.select("key"), "key", "left_semi")
-    sets = needed.mapInArrow(grams, schema(key="long", grams="binary"))
-    dealt = placed.join(sets, "key").withColumn("pair", F.explode(others)).select(
-        F.xxhash64("component", "pair").alias("task"), "key", "copies", F.when(F.col("pair.i") == F.col("pair.j"), 0).otherwise(F.when(F.col("block") == F.col("pair.i"), 1).otherwise(2)).alias("side"), "grams"
-    )
+    needed = texts.join(members.select("key"), "key", "left_semi").mapInArrow(grams, schema(key="long", set_a="long", grams="binary"))
+    return members.join(needed, ["key", "set_a"])
+
+
+TASK = schema(key="long", links="long", label="long")
+
+
+def _compared(tasks: DataFrame, partitions: int, threshold: float) -> DataFrame:
+    """tasks: task, key, copies, side, grams.  Per task and set: its links there, and the least set it is linked to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in runs(batches):
@@ -257,16 +315,144 @@ def verified(members: DataFrame, texts: DataFrame, *, n: int, threshold: float,
             raw = column(rows, "grams").to_pylist()
             size = np.array([len(g) // 8 for g in raw], np.int64)
             links, label = _compare(key, rows.column("copies").to_numpy(), size, np.frombuffer(b"".join(raw), np.uint64), rows.column("side").to_numpy(), threshold) if len(key) > 1 else (np.zeros(1, np.int64), key)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(links), pa.array(label)], names=["key", "links", "label"])
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(links), pa.array(label)], names=TASK.names)
+
+    return tasks.select("task", "key", "copies", "side", "grams").repartition(partitions, "task").sortWithinPartitions("task").mapInArrow(run, TASK)
+
+
+def true_links(links: DataFrame, sets: DataFrame, partitions: int, threshold: float) -> DataFrame:
+    """Those of the candidate links (a, b) that hold; sets: key, grams.
+
+    A set with many links is one row for each of its tasks, in front of the sets it is compared
+    with, which then pass one by one.  Only such sets, at most eight a partition, are broadcast,
+    with their numbers of tasks.
+    """
+    degree = links.groupBy("a").agg(F.count("*").alias("n"))
+    share = max(BLOCK_SETS, links.count() // (8 * partitions))
+    chunks = F.ceil(F.col("n") / share).cast("int")
+    hot = F.broadcast(degree.where(F.col("n") > share).select("a", chunks.alias("chunks")))
+    heads = degree.select(F.col("a").alias("key"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk")).select(F.xxhash64("key", "chunk").alias("task"), F.lit(0).alias("place"), "key")
+    tails = links.join(hot, "a", "left").select(F.xxhash64("a", F.coalesce(F.pmod(F.xxhash64("b"), F.col("chunks")), F.lit(0)).cast("int")).alias("task"), F.lit(1).alias("place"), F.col("b").alias("key"))
+    rows = heads.unionByName(tails).join(sets.select("key", "grams"), "key").select("task", "place", "key", "grams")
 
-    found = written(dealt.repartition(partitions, "task").sortWithinPartitions("task").mapInArrow(run, schema(key="long", links="long", label="long")), "links")
-    return found.groupBy("key").agg(F.sum("links").alias("links")), found.select(F.col("key").alias("a"), F.col("label").alias("b")).where("a != b")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, head, own = None, 0, np.zeros(0, np.uint64)
+        for batch in batches:
+            a, b = [], []
+            for t, place, key, raw in zip(*(c.to_pylist() for c in batch.columns)):
+                grams = np.frombuffer(raw, np.uint64)
+                if place == 0:
+                    task, head, own = t, key, grams
+                elif t == task:
+                    shared = np.isin(grams, own, assume_unique=True).sum()
+                    if shared / (len(grams) + len(own) - shared) >= threshold:
+                        a.append(head)
+                        b.append(key)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return rows.repartition(partitions, "task").sortWithinPartitions("task", "place").mapInArrow(run, schema(a="long", b="long"))
+
+
+def _least_and_greatest(own: F.Column, n: F.Column) -> F.Column:
+    """(i, j, side) of block `own` with each of n blocks: side 0 within a block, else 1 or 2."""
+    return F.transform(F.sequence(F.lit(0), n - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j"), F.when(own == j, 0).when(own < j, 1).otherwise(2).alias("side")))
 
 
-def near_duplicates(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, recall: float = 0.9999, split: float = 0.7) -> DataFrame:
+def stragglers_met(members: DataFrame, sets: DataFrame, partitions: int, threshold: float, block_bytes: int, block_sets: int) -> DataFrame:
+    """Edges (a, b) that join classes of one component.
+
+    members: component, class, key, copies, n_grams.  The sets outside a component's largest
+    class meet it and each other in blocks; within that class nothing is left to find.
+    """
+    sized = members.groupBy("component", "class").agg(F.count("*").alias("n"), (F.sum(F.col("n_grams").cast("long")) * 8).alias("bytes"))
+    top = F.max(F.struct("n", "bytes", (-F.col("class")).alias("c"))).alias("top")
+    best = sized.groupBy("component").agg(top, F.sum("n").alias("all_n"), F.sum("bytes").alias("all_bytes"), F.count("*").alias("classes")).where("classes > 1")
+    per = best.select(
+        "component", (-F.col("top.c")).alias("largest"), blocks_of(F.col("top.bytes"), F.col("top.n"), block_bytes, block_sets).alias("g"),
+        blocks_of(F.col("all_bytes") - F.col("top.bytes"), F.col("all_n") - F.col("top.n"), block_bytes, block_sets).alias("s"),
+    )
+    # A row a component, so small as a rule; Spark knows its size and broadcasts it only then.
+    placed = members.join(written(per, "largest-classes"), "component").withColumn("own", F.col("class") == F.col("largest"))
+    block = F.pmod(F.xxhash64("key"), F.when(F.col("own"), F.col("g")).otherwise(F.col("s"))).cast("int")
+    across = lambda n, i, j, side: F.transform(F.sequence(F.lit(0), n - 1), lambda x: F.struct((-1 - i(x)).alias("i"), j(x).alias("j"), F.lit(side).alias("side")))
+    largest = across(F.col("s"), lambda x: x, lambda x: block, 2)
+    others = F.concat(_least_and_greatest(block, F.col("s")), across(F.col("g"), lambda x: block, lambda x: x, 1))
+    dealt = placed.join(sets.select("key", "grams"), "key").withColumn("pair", F.explode(F.when(F.col("own"), largest).otherwise(others)))
+    found = _compared(dealt.select(F.xxhash64("component", "pair.i", "pair.j").alias("task"), "key", "copies", F.col("pair.side").alias("side"), "grams"), partitions, threshold)
+    return found.where("key != label").select(F.col("key").alias("a"), F.col("label").alias("b"))
+
+
+PACK = schema(label="long", block="int", blocks="int", keys="binary", copies="binary", sizes="binary", grams="binary")
+COUNTED = schema(label="long", block="int", keys="binary", links="binary")
+
+
+def links_within(members: DataFrame, sets: DataFrame, partitions: int, threshold: float, block_bytes: int, block_sets: int) -> DataFrame:
+    """(key, links): how many rows of its class every set is alike; members: class, key, copies, n_grams."""
+    sized = members.groupBy("class").agg(blocks_of(F.sum(F.col("n_grams").cast("long")) * 8, F.count("*"), block_bytes, block_sets).alias("blocks"))
+    placed = members.join(written(sized, "class-blocks"), "class").join(sets.select("key", "grams"), "key")
+    rows = placed.select(F.col("class").alias("label"), F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("block"), "blocks", "key", "copies", "grams").withColumn("task", F.xxhash64("label", "block"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, r in runs(batches):
+            raw = column(r, "grams").to_pylist()
+            made = [column(r, "key").to_numpy().astype("<i8").tobytes(), column(r, "copies").to_numpy().astype("<i8").tobytes(), np.array([len(g) // 8 for g in raw], "<i8").tobytes(), b"".join(raw)]
+            yield pa.RecordBatch.from_arrays([*(pa.array([r.column(c)[0].as_py()], k) for c, k in (("label", pa.int64()), ("block", pa.int32()), ("blocks", pa.int32()))), *(pa.array([x], pa.binary()) for x in made)], names=PACK.names)
+
+    packed = rows.select("task", "label", "block", "blocks", "key", "copies", "grams").repartition(partitions, "task").sortWithinPartitions("task", "key").mapInArrow(pack, PACK)
+    met = packed.withColumn("pair", F.explode(_least_and_greatest(F.col("block"), F.col("blocks")))).select(F.xxhash64("label", "pair.i", "pair.j").alias("task"), *PACK.names)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, r in runs(batches):
+            key, copies, size, gram = (np.concatenate([np.frombuffer(x, k) for x in column(r, c).to_pylist()]) for c, k in (("keys", "<i8"), ("copies", "<i8"), ("sizes", "<i8"), ("grams", "<u8")))
+            held = [len(x) // 8 for x in column(r, "keys").to_pylist()]
+            side = np.repeat(np.arange(len(held)) + 1, held) if len(held) > 1 else np.zeros(len(key), np.int64)
+            links = _alike(size, gram, side, threshold) @ copies.astype(np.float64)
+            parts = np.split(links.astype("<i8"), np.cumsum(held)[:-1])
+            yield pa.RecordBatch.from_arrays([column(r, "label"), column(r, "block"), column(r, "keys"), pa.array([p.tobytes() for p in parts], pa.binary())], names=COUNTED.names)
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, r in runs(batches):
+            links = np.sum([np.frombuffer(x, "<i8") for x in column(r, "links").to_pylist()], axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(r.column("keys")[0].as_py(), "<i8")), pa.array(links)], names=["key", "links"])
+
+    counted = met.repartition(partitions, "task").sortWithinPartitions("task", "block").mapInArrow(count, COUNTED)
+    return counted.select(F.xxhash64("label", "block").alias("task"), "keys", "links").repartition(partitions, "task").sortWithinPartitions("task").mapInArrow(total, schema(key="long", links="long"))
+
+
+def verified(
+    members: DataFrame, candidates: DataFrame, texts: DataFrame, *, n: int, threshold: float, partitions: int, count: bool = True, block_bytes: int = BLOCK_BYTES, block_sets: int = BLOCK_SETS
+) -> tuple[DataFrame, DataFrame]:
+    """Exact links within candidate components.
+
+    members: component, key, set_a, copies, n_grams; candidates: the links (a, b) that made the
+    components; texts: key, text.  Returns (key, links), complete only if `count`, and edges
+    (a, b) that connect the final classes.  What fits one block of `block_bytes` of grams and
+    `block_sets` sets is compared at once.
+    """
+    sized = members.groupBy("component").agg(blocks_of(F.sum(F.col("n_grams").cast("long")) * 8, F.count("*"), block_bytes, block_sets).alias("blocks"))
+    placed = written(members.join(sized, "component"), "members")
+    few, many = placed.where("blocks = 1"), placed.where("blocks > 1")
+    found = written(_compared(set_rows(few, texts, n).select(F.col("component").alias("task"), "key", "copies", F.lit(0).alias("side"), "grams"), partitions, threshold), "links")
+    degree, edges = found.select("key", "links"), found.where("key != label").select(F.col("key").alias("a"), F.col("label").alias("b"))
+    if not many.head(1):
+        return degree, edges
+    sets = written(set_rows(many, texts, n).select("component", "key", "copies", "n_grams", "grams"), "sets")
+    plain = sets.select("component", "key", "copies", "n_grams")
+    own = candidates.join(plain.select(F.col("key").alias("a")), "a", "left_semi")
+    near = written(true_links(own, sets, partitions, threshold), "near")
+    itself = plain.select(F.col("key").alias("a"), F.col("key").alias("b"))
+    classed = lambda links: plain.join(components(links.unionByName(itself)).select(F.col("node").alias("key"), F.col("component").alias("class")), "key")
+    near = written(near.unionByName(stragglers_met(classed(near), sets, partitions, threshold, block_bytes, block_sets)), "near")
+    if count:
+        degree = degree.unionByName(links_within(classed(near), sets, partitions, threshold, block_bytes, block_sets))
+    return degree, edges.unionByName(near)
+
+
+def near_duplicates(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, recall: float = 0.9999, split: float = 0.7, count: bool = True) -> DataFrame:
     """Per document: doc_id, key, class_id (the least doc_id of its class), class_key and n_links.
 
-    n_links: how many other documents have a similarity of `threshold` or more to it.
+    n_links: how many other documents have a similarity of `threshold` or more to it; complete
+    only if `count`, which compares all pairs of a class.
     """
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -279,10 +465,9 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, reca
     depth = max(2, math.ceil(math.log(max(total, 2)) / math.log(split / 0.01)))
     times = max(1, math.ceil(math.log(1 - recall) / math.log(1 - survival(threshold, split, depth))))
     sketch_of_sets = sketched.select("key", "sketch").join(sets.select("key"), "key", "left_semi").dropDuplicates(["key"])
-    links = candidate_links(leaves(sketch_of_sets, runs_=times, depth=depth, split=split), partitions)
-    gathered = components(links)
-    members = written(gathered.withColumnRenamed("node", "key").join(sets, "key").select("component", "key", "copies", "n_grams"), "members")
-    degree, edges = verified(members, own.select("key", "text"), n=n, threshold=threshold, partitions=partitions)
+    links = written(candidate_links(sketch_of_sets, partitions, runs_=times, depth=depth, split=split), "candidates")
+    members = components(links).withColumnRenamed("node", "key").join(sets, "key").select("component", "key", "set_a", "copies", "n_grams")
+    degree, edges = verified(members, links, own.select("key", "text"), n=n, threshold=threshold, partitions=partitions, count=count)
     classes = components(edges).withColumnRenamed("node", "key")
     known = sets.join(classes, "key", "left").join(degree, "key", "left").withColumn("component", F.coalesce("component", "key"))
     named = known.groupBy("component").agg(F.min("least_id").alias("class_id"))
@@ -294,7 +479,7 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, reca
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """The documents with all their columns, one of each class: that with the least doc_id."""
-    found = written(near_duplicates(docs, **options), "classes")
+    found = written(near_duplicates(docs, count=False, **options), "classes")
     kept = found.where("n_grams > 0").groupBy("class_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("best")).select(F.col("best.key").alias("_kept"))
     kept = kept.unionByName(found.where("n_grams = 0").select(F.col("key").alias("_kept"))).distinct()
     again = found.where("n_grams > 0").groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("_again"))

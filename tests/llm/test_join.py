@@ -52,16 +52,41 @@ def near_copies(n, seed=3):
     return out
 
 
-def test_large_group_in_blocks(spark):
-    rows = [(i, t) for i, t in enumerate(near_copies(150))]
+def test_large_group_in_blocks(spark, monkeypatch):
+    """Groups larger than a block, with sets nearby that are like few or none of the group: exact classes and numbers of links."""
+    rows = list(enumerate([*near_copies(150), *[" ".join(t.split()[: 250 - k]) for k, t in enumerate(near_copies(12, 4))], *near_copies(9, 5)[3:], "short text"]))
     d = spark.createDataFrame(rows, "doc_id long, text string")
-    assert found(jaccard_join.near_duplicates(d)) == brute(rows)
-    own = jaccard_join.keyed(d)
-    members = own.selectExpr("1L as component", "key", "1L as copies", "296 as n_grams")
-    links, _ = jaccard_join.verified(members, own.select("key", "text"), n=5, threshold=0.8, partitions=4, block_bytes=40_000)
-    by_key = {r.key: r.doc_id for r in own.collect()}
-    want = {r[1]: r[3] for r in brute(rows)}
-    assert {by_key[r.key]: r.links for r in links.collect()} == want
+    want = brute(rows)
+    assert found(jaccard_join.near_duplicates(d)) == want
+    monkeypatch.setattr(jaccard_join.verified, "__kwdefaults__", {**jaccard_join.verified.__kwdefaults__, "block_bytes": 40_000, "block_sets": 16})
+    monkeypatch.setattr(jaccard_join.candidate_links, "__kwdefaults__", {"most": 20, "every": 1})
+    assert found(jaccard_join.near_duplicates(d)) == want
+    assert sorted(r.class_id for r in jaccard_join.near_duplicates(d, count=False).collect()) == sorted(r[2] for r in want)
+
+
+def test_rows_of_a_large_class_stay_linear(spark):
+    """Classes from 1,500 and 3,000 near copies: rows that Spark shuffles at most double, and no task takes a large part."""
+    def shuffled(n):
+        d = spark.createDataFrame(list(enumerate(near_copies(n))), "doc_id long, text string").repartition(8)
+        store = spark.sparkContext._jsc.sc().statusStore()
+        before = {s.stageId() for s in _stages(store)}
+        assert jaccard_join.one_of_each(d).count() < n / 100
+        return sum(s.shuffleWriteRecords() for s in _stages(store) if s.stageId() not in before)
+
+    small, large = shuffled(1500), shuffled(3000)
+    assert large < 2.5 * small
+
+
+def _stages(store):
+    seq = store.stageList(None, False, False, spark_quantiles(store), None)
+    return [seq.apply(i) for i in range(seq.size())]
+
+
+def spark_quantiles(store):
+    from pyspark import SparkContext
+
+    gateway = SparkContext._gateway
+    return gateway.new_array(gateway.jvm.double, 0)
 
 
 def test_repeated_rows_and_empty(twice, empty):
