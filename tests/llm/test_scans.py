@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from raterline.llm import decontamination, fingerprints, packing, secret_scan
 from raterline.llm.queries import tokenizer_path
@@ -93,15 +94,60 @@ def test_fingerprints(docs, texts):
     assert fingerprints.fingerprint_neighbours(docs.limit(0)).count() == 0
 
 
+def paragraphs(t):
+    """The set behind a fingerprint, without hashing: each paragraph with its number of earlier occurrences."""
+    seen, out = {}, set()
+    for p in re.findall(rb"[^\n\r.!?]+", (t or "").encode()):
+        out.add((p, seen.get(p, 0)))
+        seen[p] = seen.get(p, 0) + 1
+    return out
+
+
+def alike(a, b):
+    a, b = paragraphs(a), paragraphs(b)
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def test_likeness_matches_sets(spark, docs, texts, sf_dir):
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for df, rows in ((docs, texts), (d, [tuple(r) for r in d.select("doc_id", "text").collect()])):
+        got = {r.doc_id: r for r in fingerprints.fingerprint_neighbours(df).collect()}
+        rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
+        for k, (i, t) in enumerate(rows):
+            t, nxt = t or "", rows[(k + 1) % len(rows)][1] or ""
+            half = len(t) // 2
+            assert got[i].near_next == pytest.approx(alike(t, nxt)) and got[i].near_edited == pytest.approx(alike(t, t[: len(t) - half] + nxt[:half]))
+
+
+def test_fingerprints_differ_without_texts(spark, docs):
+    """What the returned strings give alone is what the query says; larger differences included."""
+    got = fingerprints.fingerprint_neighbours(docs)
+    out = fingerprints.fingerprint_differences(got.select("doc_id", "near_edited", "pieces", "pieces_edited", "fingerprint", "edited_fingerprint"), "fingerprint", "edited_fingerprint")
+    for r in out.collect():
+        assert r.likeness == pytest.approx(r.near_edited) and len(r.removed) - len(r.added) == r.pieces - r.pieces_edited
+
+
+def test_ids_beyond_floats_and_repeated_rows(spark):
+    big = 2**53
+    rows = [(big + k, f"text {k}. end") for k in range(12)] + [(None, "none"), (big + 3, "text 3. end"), (big + 3, "text 3. end")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = fingerprints.fingerprint_neighbours(d, partitions=6).collect()
+    assert sorted((r.doc_id or 0, r.n_chars) for r in got) == sorted((i or 0, len(t)) for i, t in rows)
+    one = {r.doc_id: r for r in got}
+    assert one[big + 5].edited_sha256 == hashlib.sha256(b"text 5text ").hexdigest() and one[None].edited_sha256 == hashlib.sha256(b"note").hexdigest()
+
+
 def test_peeling_recovers_every_difference():
     rng = np.random.default_rng(5)
     a = [rng.integers(1, 1 << 62, n, dtype=np.uint64) for n in (0, 1, 5, 40, 700)]
     b = [np.concatenate([x[: len(x) // 2], rng.integers(1, 1 << 62, n, dtype=np.uint64)]) for x, n in zip(a, (0, 3, 0, 60, 900))]
-    flat = lambda s: (np.concatenate(s), np.cumsum([0, *map(len, s)]))
-    d, pair, sign = fingerprints.differences(flat(a), flat(b))
+    made = [fingerprints.Tables.decoded(fingerprints.fingerprints_of(np.concatenate(s), np.cumsum([0, *map(len, s)])).encoded()) for s in (a, b)]
+    d, pair, sign = fingerprints.differences(*made)
     for i in range(5):
         assert set(d[(pair == i) & (sign == 1)].tolist()) == set(a[i].tolist()) - set(b[i].tolist())
         assert set(d[(pair == i) & (sign == -1)].tolist()) == set(b[i].tolist()) - set(a[i].tolist())
+    same = np.array([7, 7, 9], np.uint64)
+    assert fingerprints.fingerprints_of(same, np.array([0, 3])).held.tolist() == [2]
 
 
 def test_version_differences(spark):
