@@ -2,15 +2,17 @@
 
 Only DataFrame functions run here.  The steps:
 
-1. Words of every document are counted, as far as the benchmark uses them.
+1. The index is stored: the postings (term, document, position) of every word that the
+   benchmark uses.  This is the only pass that splits texts to find matches; frequencies come
+   from the stored lists.
 2. Every window of an item (`window` consecutive words, or the whole of a shorter item) takes
-   the two of its words that the corpus holds least often.
-3. The index is stored: the postings (term, document, position) of those words.
-4. Each posting is shifted by the term's place in the item.  Shifted lists of one window meet
-   where item and document line up, rarest words first, so few alignments survive.
-5. Each alignment is checked word by word, which gives exact phrase matches.
+   the two of its words whose lists are shortest.
+3. Each posting of those is shifted by the term's place in the item.  Shifted lists of one
+   window meet where item and document line up, so few alignments survive.
+4. The lists of the window's other words are met at the places where an alignment needs them,
+   within the documents that have one.  A window whose words are all met is a phrase match.
 
-`proximity_matches` asks the same postings for all words of a query within a span of words.
+`proximity_matches` asks the same index for all words of a query within a span of words.
 
 Item words, being a test set, are small next to the corpus; they are broadcast while their
 number is at most `BROADCAST_TERMS`, and joined by shuffle beyond it.  All corpus-sized
@@ -25,6 +27,8 @@ ignored.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,51 +66,74 @@ def tokens(docs: DataFrame) -> DataFrame:
     return docs.select("key", F.posexplode(word_array(F.col("text"))).alias("pos", "term"))
 
 
-def token_postings(docs: DataFrame, terms: DataFrame, n_terms: int) -> DataFrame:
-    """Postings (term, key, pos) of the given distinct terms."""
-    return tokens(docs).join(small(terms.select("term"), n_terms), "term").select("term", "key", "pos")
+@dataclass
+class Index:
+    """terms: term, t (its number); postings: t, key, pos; n_terms: rows of terms."""
+
+    terms: DataFrame
+    postings: DataFrame
+    n_terms: int
 
 
-def rare_places(docs: DataFrame, items: DataFrame, lists: int = 2) -> tuple[DataFrame, DataFrame, int]:
-    """Which places of each item to look up.
+def build_index(docs: DataFrame, texts: DataFrame) -> Index:
+    """Store the postings of all words of `texts` (words: array) in docs, as keyed() gives them."""
+    terms = written(texts.select(F.explode("words").alias("term")).distinct().withColumn("t", F.monotonically_increasing_id()), "terms")
+    n = terms.count()
+    return Index(terms, written(tokens(docs).join(small(terms, n), "term").select("t", "key", "pos"), "postings"), n)
+
 
-    Returns (item, rare: array<struct<start, places>>), one entry per window with the places
-    of its `lists` rarest words, rarest first; (item, place, term) of all those places; and
-    the number of item words.  Windows with a word that no document has are left out.
+def rare_places(index: Index, items: DataFrame, places: DataFrame, n_places: int, lists: int = 2) -> tuple[DataFrame, DataFrame]:
+    """Which places of each item to look up first.
+
+    places: item, place, t.  Returns (item, length, rare: array<struct<start, places>>), one
+    entry per window with the places of its `lists` rarest words, rarest first; and (item,
+    place, t) of all those places.  Windows with a word that no document has are left out.
     """
-    places = items.select("item", "length", F.posexplode("words").alias("place", "term"))
-    terms = places.select("term").distinct()
-    n_terms = places.count()
-    counted = tokens(docs).join(small(terms, n_terms), "term").groupBy("term").agg(F.count("*").alias("n"))
-    counted = written(counted, "term-counts")
-    known = places.join(small(counted, n_terms), "term", "left")
+    counted = written(index.postings.groupBy("t").agg(F.count("*").alias("n")), "term-counts")
+    known = places.join(small(counted, index.n_terms), "t", "left").join(items.select("item", "length", (F.size("words") - F.col("length")).alias("last")), "item")
     # A word at place p stands in the windows that start from p - length + 1 to p.
-    starts = F.sequence(F.greatest(F.lit(0), F.col("place") - F.col("length") + 1), F.col("place"))
-    last = items.select("item", (F.size("words") - F.col("length")).alias("last"))
+    starts = F.sequence(F.greatest(F.lit(0), F.col("place") - F.col("length") + 1), F.least("place", "last"))
     per_window = (
-        known.join(last, "item").select("item", "last", "place", "term", "n", F.explode(starts).alias("start")).where("start <= last")
-        .groupBy("item", "start").agg(F.sort_array(F.collect_list(F.struct("n", "place", "term"))).alias("words"))
+        known.select("item", "length", "place", "t", "n", F.explode(starts).alias("start"))
+        .groupBy("item", "length", "start").agg(F.sort_array(F.collect_list(F.struct("n", "place", "t"))).alias("words"))
         .where(~F.exists("words", lambda w: w["n"].isNull()))
-        .select("item", "start", F.slice("words", 1, lists).alias("rare"))
+        .select("item", "length", "start", F.slice("words", 1, lists).alias("rare"))
     )
     per_window = written(per_window, "rare-places")
-    chosen = per_window.select("item", F.explode("rare").alias("w")).select("item", "w.place", "w.term").distinct()
-    per_item = per_window.groupBy("item").agg(F.collect_list(F.struct("start", F.transform("rare", lambda w: w["place"]).alias("places"))).alias("rare"))
-    return per_item, chosen, n_terms
+    chosen = per_window.select("item", F.explode("rare").alias("w")).select("item", "w.place", "w.t").distinct()
+    per_item = per_window.groupBy("item", "length").agg(F.collect_list(F.struct("start", F.transform("rare", lambda w: w["place"]).alias("places"))).alias("rare"))
+    return per_item, chosen
 
 
-def alignments(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(key, item, shift, starts): where shifted postings of a window's rarest words meet.
+def alignments(index: Index, items: DataFrame, places: DataFrame, n_places: int) -> DataFrame:
+    """(key, item, length, shift, starts): where shifted postings of a window's rarest words meet.
 
     shift: the document position that the item's first word would have.
     """
-    rare, chosen, n = rare_places(docs, items)
-    postings = written(token_postings(docs, chosen.select("term").distinct(), n), "postings")
-    shifted = postings.join(small(chosen, n), "term").select("item", "key", (F.col("pos") - F.col("place")).alias("shift"), "place")
+    rare, chosen = rare_places(index, items, places, n_places)
+    shifted = index.postings.join(small(chosen, n_places), "t").select("item", "key", (F.col("pos") - F.col("place")).alias("shift"), "place")
     met = shifted.groupBy("item", "key", "shift").agg(F.collect_set("place").alias("met"))
     whole = F.filter("rare", lambda w: F.size(F.array_except(w["places"], F.col("met"))) == 0)
     starts = F.transform(whole, lambda w: w["start"])
-    return met.join(small(rare, n), "item").select("key", "item", "shift", starts.alias("starts")).where(F.size("starts") > 0)
+    return met.join(small(rare, n_places), "item").select("key", "item", "length", "shift", starts.alias("starts")).where(F.size("starts") > 0)
+
+
+def phrase_hits(docs: DataFrame, benchmark: DataFrame, *, window: int = 10) -> DataFrame:
+    """(key, item_id, at, length): every window of an item that stands at word `at` of a document; docs as keyed() gives them."""
+    items = item_windows(benchmark, window)
+    index = build_index(docs, items)
+    places = written(items.select("item", F.posexplode("words").alias("place", "term")).join(small(index.terms, index.n_terms), "term").select("item", "place", "t"), "item-places")
+    n_places = places.count()
+    found = written(alignments(index, items, places, n_places), "alignments")
+    whole = lambda s: F.sequence(s, s + F.col("length") - 1)
+    needed = found.select("key", "item", "length", "shift", "starts", F.explode(F.array_distinct(F.flatten(F.transform("starts", whole)))).alias("place"))
+    cells = needed.join(small(places, n_places), ["item", "place"]).withColumn("pos", F.col("shift") + F.col("place"))
+    keys = found.select("key").distinct()
+    lists = index.postings.join(small(keys, keys.count()), "key", "left_semi").distinct()
+    met = cells.join(lists, ["key", "pos", "t"]).groupBy("key", "item", "length", "shift", "starts").agg(F.collect_set("place").alias("met"))
+    full = F.filter("starts", lambda s: F.size(F.array_except(whole(s), F.col("met"))) == 0)
+    hits = met.select("key", "item", "length", "shift", F.explode(full).alias("start"))
+    return hits.join(small(items.select("item", "item_id"), n_places), "item").select("key", "item_id", (F.col("shift") + F.col("start")).alias("at"), "length")
 
 
 def phrase_matches(docs: DataFrame, benchmark: DataFrame, *, window: int = 10) -> DataFrame:
@@ -115,22 +142,9 @@ def phrase_matches(docs: DataFrame, benchmark: DataFrame, *, window: int = 10) -
     hits: array<struct<item_id, at, length>>, one entry for each window of an item that stands
     at word `at` of the document; empty if none does.
     """
-    items = item_windows(benchmark, window)
-    found = alignments(docs, items).join(small(items, items.count()), "item")
-    per_doc = found.groupBy("key").agg(F.collect_set(F.struct("item_id", "words", "length", "shift", "starts")).alias("candidates"))
-    checked = docs.join(per_doc, "key", "left").withColumn("tokens", word_array(F.col("text")))
-
-    def of(candidate: Column) -> Column:
-        length = candidate["length"]
-        at = lambda start: candidate["shift"] + start
-        same = F.filter(
-            candidate["starts"],
-            lambda s: (at(s) >= 0) & (at(s) + length <= F.size("tokens")) & (F.slice("tokens", F.greatest(at(s), F.lit(0)) + 1, length) == F.slice(candidate["words"], s + 1, length)),
-        )
-        return F.transform(same, lambda s: F.struct(candidate["item_id"].alias("item_id"), at(s).alias("at"), length.alias("length")))
-
-    hits = F.flatten(F.transform(F.coalesce("candidates", F.array().cast(per_doc.schema["candidates"].dataType)), of))
-    return checked.select("key", "doc_id", F.size("tokens").alias("n_words"), hits.alias("hits"))
+    per_doc = phrase_hits(docs, benchmark, window=window).groupBy("key").agg(F.collect_set(F.struct("item_id", "at", "length")).alias("hits"))
+    counted = docs.select("key", "doc_id", F.size(word_array(F.col("text"))).alias("n_words"))
+    return counted.join(per_doc, "key", "left").withColumn("hits", F.coalesce("hits", F.array().cast(per_doc.schema["hits"].dataType)))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = 10) -> DataFrame:
@@ -145,8 +159,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = 10) ->
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = 10) -> DataFrame:
     """The documents, with all their columns, that hold no window of any item."""
-    matched = phrase_matches(keyed(docs), benchmark, window=window)
-    hit = matched.where(F.size("hits") > 0).select("key").distinct()
+    hit = phrase_hits(keyed(docs), benchmark, window=window).select("key").distinct()
     return docs.join(hit, F.xxhash64(docs["doc_id"], docs["text"]) == hit["key"], "left_anti")
 
 
@@ -155,11 +168,13 @@ def proximity_matches(docs: DataFrame, queries: DataFrame, *, span: int = 10) ->
 
     queries: query_id and text.  Returns query_id, doc_id and the first place where they do.
     """
-    terms = queries.select("query_id", F.explode(F.array_distinct(word_array(F.col("text").cast("string")))).alias("term"))
-    sized = terms.groupBy("query_id").agg(F.count("*").alias("wanted"))
-    n = terms.count()
+    asked = queries.select("query_id", F.array_distinct(word_array(F.col("text").cast("string"))).alias("words")).where(F.size("words") > 0)
     own = keyed(docs)
-    postings = token_postings(own, terms.select("term").distinct(), n)
-    near = F.size(F.expr(f"collect_set(term) over (partition by query_id, key order by pos range between current row and {int(span) - 1} following)"))
-    found = postings.join(small(terms, n), "term").withColumn("near", near).join(small(sized, n), "query_id").where("near = wanted")
-    return found.groupBy("query_id", "key").agg(F.min("pos").alias("at")).join(own.select("key", "doc_id").distinct(), "key").select("query_id", "doc_id", "at")
+    index = build_index(own, asked)
+    terms = written(asked.select("query_id", F.size("words").alias("wanted"), F.explode("words").alias("term")).join(small(index.terms, index.n_terms), "term").select("query_id", "wanted", "t"), "asked")
+    found = written(index.postings.join(small(terms, terms.count()), "t").distinct(), "asked-postings")
+    # Only documents that hold every word of a query are looked at more closely.
+    full = found.groupBy("query_id", "key", "wanted").agg(F.count_distinct("t").alias("n")).where("n = wanted").select("query_id", "key")
+    near = F.size(F.expr(f"collect_set(t) over (partition by query_id, key order by pos range between current row and {int(span) - 1} following)"))
+    first = found.join(full, ["query_id", "key"]).withColumn("near", near).where("near = wanted").groupBy("query_id", "key").agg(F.min("pos").alias("at"))
+    return first.join(own.select("key", "doc_id").distinct(), "key").select("query_id", "doc_id", "at")

@@ -45,10 +45,33 @@ def test_decontamination(spark, docs, texts):
     assert decontamination.contamination(docs.limit(0), bench).count() == 0
 
 
+def test_decontamination_repeated_rows_and_no_broadcast(spark, docs, texts, monkeypatch):
+    """Repeated documents and items, and every join by shuffle in place of broadcast."""
+    items = [(1, texts[0][1][:200]), (1, texts[0][1][:200]), (1, texts[8][1][:90]), (2, "short text"), (5, "the the the"), (6, texts[11][1])]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    again = docs.unionByName(docs.where("doc_id in (1, 7, 12)"))
+    rows = [*texts, *(t for t in texts if t[0] in (1, 7, 12))]
+    want = sorted(brute_hits(rows, items), key=str)
+    assert sorted((tuple(r) for r in decontamination.contamination(again, bench).collect()), key=str) == want
+    monkeypatch.setattr(decontamination, "BROADCAST_TERMS", -1)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        assert sorted((tuple(r) for r in decontamination.contamination(again, bench).collect()), key=str) == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_proximity(spark):
-    d = spark.createDataFrame([(1, "alpha x beta y gamma"), (2, "alpha " + "x " * 30 + "beta gamma"), (3, None), (4, "gamma beta alpha")], "doc_id long, text string")
-    q = spark.createDataFrame([(7, "alpha beta gamma")], "query_id long, text string")
-    assert sorted((r.doc_id, r.at) for r in decontamination.proximity_matches(d, q, span=6).collect()) == [(1, 0), (4, 0)]
+    rows = [(1, "alpha x beta y gamma"), (2, "alpha " + "x " * 30 + "beta gamma"), (3, None), (4, "gamma beta alpha"), (5, "Beta alpha alpha, alpha; x x gamma beta"), (6, "alpha beta")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    q = spark.createDataFrame([(7, "alpha beta gamma"), (8, "beta beta x"), (9, None), (10, "absent alpha")], "query_id long, text string")
+    want = []
+    for query, wanted in ((7, {"alpha", "beta", "gamma"}), (8, {"beta", "x"}), (10, {"absent", "alpha"})):
+        for i, t in rows:
+            w = words(t)
+            at = [k for k in range(len(w)) if wanted <= set(w[k : k + 6]) and w[k] in wanted]
+            want += [(query, i, at[0])] if at else []
+    assert sorted(tuple(r) for r in decontamination.proximity_matches(d, q, span=6).collect()) == sorted(want)
 
 
 SECRETS = [
