@@ -17,8 +17,7 @@ from raterline.llm.queries import tokenizer_path, toxicity_model
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts scored 0.5 or more for toxicity go; the model learns from this stage's input and labels."""
-    scored = toxicity.score(docs.select([F.col(c) for c in docs.columns]), toxicity_model(spark, sf_dir, docs))
-    return scored.where("predicted = 0").select(*docs.columns)
+    return toxicity.without(docs, toxicity_model(spark, sf_dir, docs))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from raterline.llm.textvec import slices
 from raterline.sources.files import shared_dir, written  # noqa: F401
 
 
@@ -19,6 +23,14 @@ def keyed(docs: DataFrame, *, text: str = "text") -> DataFrame:
     )
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, or one like it that no column of df bears (names of columns do not tell cases apart)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def fold_of(doc_id: Column, folds: int) -> Column:
     """crc32 of doc_id as text, modulo the number of folds (null ids: the empty text)."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds
@@ -38,3 +50,22 @@ def schema(**fields: str) -> Fields:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def scored(docs: DataFrame, made: Fields, most: int, f, *, text: str = "text", keep_text: bool = False) -> DataFrame:
+    """docs with the columns of `made`, which f(texts) gives as arrays; one pass, batches of about `most` bytes.
+
+    Columns of docs that bear a name of `made` give way to it; all others stay, whatever their
+    names, `text` only if `keep_text`.
+    """
+    kept = [n for n in docs.columns if n not in made.names and (keep_text or n != text)]
+    out = ", ".join([*(f"`{n}` {docs.schema[n].dataType.simpleString()}" for n in kept), made])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            # The text to score comes last and is told by its place.
+            named = pa.RecordBatch.from_arrays(batch.columns, names=[f"{i}" for i in range(batch.num_columns)])
+            for part in slices(named, f"{batch.num_columns - 1}", most=most):
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *f(part.column(part.num_columns - 1))], names=[*kept, *made.names])
+
+    return docs.select(*(F.col(f"`{n}`") for n in kept), F.col(f"`{text}`").cast("string").alias(unused(docs, "_"))).mapInArrow(run, out)

@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from raterline.llm.common import keyed, schema, written
+from raterline.llm.common import keyed, schema, unused, written
 from raterline.llm.components import components
 from raterline.llm.slabs import column, runs
 from raterline.llm.textvec import BLANKS, byte_values, mix, prefix_hash, range_hash, slab, slices, words
@@ -483,10 +483,11 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     kept = found.where("n_grams > 0").groupBy("class_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("best")).select(F.col("best.key").alias("_kept"))
     kept = kept.unionByName(found.where("n_grams = 0").select(F.col("key").alias("_kept"))).distinct()
     again = found.where("n_grams > 0").groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("_again"))
-    key = F.xxhash64("doc_id", "text")
-    own = docs.withColumn("_key", key).join(kept, F.col("_key") == F.col("_kept"), "left_semi")
+    mark = unused(docs, "key")
+    own = docs.withColumn(mark, F.xxhash64("doc_id", "text"))
+    own = own.join(kept, own[mark] == kept["_kept"], "left_semi")
     if again.limit(1).count():
         # Rows that repeat both doc_id and text are told apart by nothing: one of each stays.
-        single = own.join(again, F.col("_key") == F.col("_again"), "left_anti")
-        own = single.unionByName(own.join(again, F.col("_key") == F.col("_again"), "left_semi").dropDuplicates(["_key"]))
-    return own.drop("_key")
+        single = own.join(again, own[mark] == again["_again"], "left_anti")
+        own = single.unionByName(own.join(again, own[mark] == again["_again"], "left_semi").dropDuplicates([mark]))
+    return own.drop(mark)

@@ -5,11 +5,12 @@ language are grouped by spherical k-means into several centroids; a text gets th
 of the centroid with the highest cosine.  A text further from its centroid than nearly all
 training texts were is flagged as rejected.
 
-The centroids are fitted on a bounded sample (`sample` rows per language); all texts are
+The centroids are fitted on a bounded sample of labelled rows (`sample` a language, 20,000 in
+all, see by_class); every language has its centroids, however many there are.  All texts are
 scored whole, in one pass without a shuffle.
 
 Defined cases: null texts and texts without a letter are `und` with score 0; rows without
-doc_id or language are not learned from; with nothing to learn from, all rows are `und`; ties
+doc_id or language are not learned from, whatever other rows of their doc_id say; with nothing to learn from, all rows are `und`; ties
 go to the first centroid; repeated rows get equal answers.
 """
 
@@ -24,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from raterline.llm.common import schema
+from raterline.llm.common import schema, scored
 from raterline.llm.sampling import by_class
 from raterline.llm.textvec import slab, slices
 
@@ -103,24 +104,24 @@ def spherical_means(x: np.ndarray, k: int, rounds: int = 12) -> tuple[np.ndarray
     return c, np.argmax(x @ c.T, axis=1)
 
 
-def fit(docs: DataFrame, labelled: DataFrame, *, sample: int = 700, per_language: int = 3, reject: float = 0.002) -> Centroids | None:
-    """Centroids from about `sample` labelled texts (doc_id, lang) per language.
+def fit(rows: DataFrame, *, sample: int = 700, per_language: int = 3, reject: float = 0.002) -> Centroids | None:
+    """Centroids from about `sample` labelled rows (doc_id, text, lang) per language.
 
     The texts are turned into vectors where they lie; only the sample's vectors reach the driver.
     """
-    chosen = by_class(labelled, "lang", sample, "language")
+    chosen = by_class(rows, "lang", sample, "language")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _parts(batches):
             x = counts(part.column(1)).astype(np.uint32)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([r.tobytes() for r in np.minimum(x, 65535).astype("<u2")], pa.binary())], names=["lang", "counts"])
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("lang", "text").mapInArrow(vectors, schema(lang="string", counts="binary")).collect()
-    if not rows:
+    got = chosen.select(F.col("lang").cast("string"), F.col("text").cast("string")).mapInArrow(vectors, schema(lang="string", counts="binary")).collect()
+    if not got:
         return None
-    rows.sort(key=lambda r: (r["lang"], bytes(r["counts"])))
-    lang = np.array([r["lang"] for r in rows])
-    tf = np.stack([np.frombuffer(r["counts"], "<u2") for r in rows]).astype(np.float32)
+    got.sort(key=lambda r: (r["lang"], bytes(r["counts"])))
+    lang = np.array([r["lang"] for r in got])
+    tf = np.stack([np.frombuffer(r["counts"], "<u2") for r in got]).astype(np.float32)
     idf = (np.log((1 + len(tf)) / (1 + (tf > 0).sum(axis=0))) + 1).astype(np.float32)
     x = unit(np.log1p(tf) * idf)
     languages, found, of, least = sorted(set(lang.tolist())), [], [], []
@@ -135,31 +136,19 @@ def fit(docs: DataFrame, labelled: DataFrame, *, sample: int = 700, per_language
 
 
 def predict(docs: DataFrame, model: Centroids | None) -> DataFrame:
-    """lang_pred, score and rejected for every row, beside the row's own columns."""
-    names = docs.columns
-    made = schema(lang_pred="string", score="double", rejected="boolean")
+    """lang_pred, score and rejected for every row, beside the row's own columns but the text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        for part in _parts(batches):
-            keep = [part.column(i) for i in range(part.num_columns - 1)]
-            if m is None:
-                n = part.num_rows
-                new = [pa.array(["und"] * n), pa.array([0.0] * n), pa.array([True] * n)]
-            else:
-                texts = part.column(part.num_columns - 1)
-                cos = m.cosines(texts)
-                best = cos.argmax(axis=1)
-                top = cos[np.arange(len(cos)), best]
-                lettered = np.asarray(pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False).to_numpy(zero_copy_only=False), bool)
-                pred = np.array(m.languages, object)[m.of[best]]
-                new = [
-                    pa.array(np.where(lettered, pred, "und").tolist(), pa.string()), pa.array(np.where(lettered, np.clip(top, 0, 1), 0).astype(float)),
-                    pa.array(~lettered | (top < m.least[best])),
-                ]
-            yield pa.RecordBatch.from_arrays([*keep, *new], names=[*part.schema.names[:-1], *made.names])
-
-    kept = [n for n in names if n not in ("text", *made.names)]
-    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema)
-    return docs.select(*kept, F.col("text").cast("string").alias("text")).mapInArrow(run, f"{out}, {made}")
+    def each(texts: pa.Array) -> list[pa.Array]:
+        m, n = shared.value, len(texts)
+        if m is None:
+            return [pa.array(["und"] * n), pa.array([0.0] * n), pa.array([True] * n)]
+        # A vector for each row: few at a time.
+        cos = np.concatenate([np.zeros((0, len(m.of)), np.float32), *(m.cosines(texts.slice(i, 128)) for i in range(0, n, 128))])
+        best = cos.argmax(axis=1)
+        top = cos[np.arange(n), best]
+        lettered = np.asarray(pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False).to_numpy(zero_copy_only=False), bool)
+        pred = np.array(m.languages, object)[m.of[best]]
+        return [pa.array(np.where(lettered, pred, "und").tolist(), pa.string()), pa.array(np.where(lettered, np.clip(top, 0, 1), 0).astype(float)), pa.array(~lettered | (top < m.least[best]))]
+
+    return scored(docs, schema(lang_pred="string", score="double", rejected="boolean"), 1 << 19, each)

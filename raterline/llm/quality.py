@@ -5,9 +5,10 @@ max-pooled over overlapping chunks that together cover the whole text, each chun
 logit, and the mean, least and largest logit are combined into one probability.
 
 Embedding and filters multiply out to one table of responses per filter tap and byte value,
-so scoring is table look-ups and sums.  Training is plain numpy on a bounded sample: `sample`
-texts of either label, `chunks` chunks of each; max-pooling leaves one active position per
-filter and chunk, so its gradients are sparse.  Every text is scored whole, in one pass
+so scoring is table look-ups and sums.  Training is plain numpy on a bounded sample of labelled
+rows (`sample` rows and `sample_bytes` of text of either label), on all chunks of each text,
+laid as they are for scoring; a text's chunks share its weight.  Max-pooling leaves one active
+position per filter and chunk, so gradients are sparse.  Every text is scored whole, in one pass
 without a shuffle.
 
 Defined cases: null and empty texts are scored as a chunk without bytes; rows without doc_id
@@ -25,9 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from raterline.llm.common import schema
+from raterline.llm.common import schema, scored
 from raterline.llm.sampling import by_class
-from raterline.llm.textvec import slices
 
 WIDTH, BLOCK, PER_CHUNK, STRIDE = 6, 128, 4, 3
 PAD = 0
@@ -109,7 +109,10 @@ def train(chunks: np.ndarray, of: np.ndarray, y: np.ndarray, *, filters: int = 1
     state = {"embed": embed, "kernel": kernel, "bias": np.zeros(filters, np.float32), "weight": rng.normal(0, 0.3, filters).astype(np.float32), "offset": np.zeros(1, np.float32)}
     first, second = ({k: np.zeros_like(v) for k, v in state.items()} for _ in range(2))
     label = y[of].astype(np.float32)
-    class_weight = np.where(label == 1, 0.5 / max(label.mean(), 1e-6), 0.5 / max(1 - label.mean(), 1e-6)).astype(np.float32)
+    # Every text counts once, whatever its length, and both labels count alike.
+    share = 1 / np.bincount(of, minlength=len(y))[of]
+    both = np.array([max(share[label == k].sum(), 1e-9) for k in (0, 1)])
+    class_weight = (0.5 * len(of) * share / both[label.astype(int)]).astype(np.float32)
     n, length = chunks.shape
     step = 0
     for _ in range(rounds):
@@ -160,26 +163,31 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return w
 
 
-def fit(docs: DataFrame, labelled: DataFrame, *, sample: int = 1200, chunks: int = 4) -> Network | float:
-    """Fit on about `sample` texts of either label (doc_id, label), `chunks` chunks of each.
+def chunk_starts(size: int) -> range | list[int]:
+    """Where the chunks of a text of so many bytes begin, as chunk_logits() lays them."""
+    blocks = max(1, -(-size // BLOCK))
+    return [k * BLOCK for k in range(0, blocks, STRIDE) if k == 0 or k + 1 < blocks]
 
-    The chunks lie evenly over each text; only they reach the driver.
+
+def fit(rows: DataFrame, *, sample: int = 1200, sample_bytes: int = 4 << 20) -> Network | float:
+    """Fit on about `sample` rows and `sample_bytes` of text, at most, of either label.
+
+    rows: doc_id, text and label (0 or 1).  Chunks are cut where the texts lie; those of the
+    sample, whole texts, reach the driver.
     """
     length = BLOCK * PER_CHUNK
-    chosen = by_class(labelled, "label", sample, "quality").dropDuplicates(["doc_id"])
+    chosen = by_class(rows, "label", sample, "quality", most_bytes=sample_bytes)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
             for t in batch.column(1):
                 raw = t.as_buffer().to_pybytes() if t.is_valid else b""
-                k = min(chunks, max(1, -(-len(raw) // length)))
-                starts = [round(i * max(0, len(raw) - length) / max(1, k - 1)) for i in range(k)]
-                found.append([raw[a : a + length].ljust(length + WIDTH, b"\0") for a in starts])
+                found.append([raw[a : a + length].ljust(length + WIDTH, b"\0") for a in chunk_starts(len(raw))])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.binary()))], names=["label", "chunks"])
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.col("label").cast("int"), F.col("text").cast("string")).mapInArrow(cut, schema(label="int", chunks="array<binary>"))
-    got = sorted((r["label"], [bytes(c) for c in r["chunks"]]) for r in rows.collect())
+    cuts = chosen.select(F.col("label").cast("int"), F.col("text").cast("string")).mapInArrow(cut, schema(label="int", chunks="array<binary>"))
+    got = sorted((r["label"], [bytes(c) for c in r["chunks"]]) for r in cuts.collect())
     y = np.array([label for label, _ in got], int)
     if len(set(y.tolist())) < 2:
         return float(y.mean()) if len(y) else 0.5
@@ -188,17 +196,12 @@ def fit(docs: DataFrame, labelled: DataFrame, *, sample: int = 1200, chunks: int
 
 
 def score(docs: DataFrame, model: Network | float, *, threshold: float = 0.3) -> DataFrame:
-    """score and predicted for every row, beside the row's own columns."""
-    made = schema(score="double", predicted="int")
+    """score and predicted for every row, beside the row's own columns but the text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in (p for b in batches for p in slices(b, "_text", most=1 << 18)):
-            m = shared.value
-            s = np.full(part.num_rows, m) if isinstance(m, float) else m.score(part.column(part.num_columns - 1))
-            keep = [part.column(i) for i in range(part.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array(s.astype(float)), pa.array((s >= threshold).astype(np.int32))], names=[*part.schema.names[:-1], *made.names])
+    def each(texts: pa.Array) -> list[pa.Array]:
+        m = shared.value
+        s = np.full(len(texts), m) if isinstance(m, float) else m.score(texts)
+        return [pa.array(s.astype(float)), pa.array((s >= threshold).astype(np.int32))]
 
-    kept = [n for n in docs.columns if n not in ("text", *made.names)]
-    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema)
-    return docs.select(*kept, F.col("text").cast("string").alias("_text")).mapInArrow(run, f"{out}, {made}" if kept else made)
+    return scored(docs, schema(score="double", predicted="int"), 1 << 18, each)

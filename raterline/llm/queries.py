@@ -41,7 +41,7 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = fold_of(F.col("doc_id"), 3) == 1
-    model = language_id.fit(docs, docs.where(~held).select("doc_id", "lang"))
+    model = language_id.fit(docs.where(~held))
     return language_id.predict(docs.select("doc_id", held.alias("held_out"), "text"), model)
 
 
@@ -49,16 +49,14 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = fold_of(F.col("doc_id"), 5) == 0
-    labels = table(spark, sf_dir, "labels").where(~held).select("doc_id", F.col("quality").alias("label"))
-    return quality.score(docs.select("doc_id", held.alias("held_out"), "text"), quality.fit(docs, labels))
+    labels = table(spark, sf_dir, "labels").where(~held).select("doc_id", F.col("quality").alias("label")).where("label is not null").dropDuplicates(["doc_id"])
+    return quality.score(docs.select("doc_id", held.alias("held_out"), "text"), quality.fit(docs.select("doc_id", "text").join(labels, "doc_id")))
 
 
 def toxicity_model(spark: SparkSession, sf_dir: str, docs: DataFrame) -> toxicity.WordModel | None:
     """Learned from the toxic rows of the training folds and unlabelled texts of the same folds."""
     held = fold_of(F.col("doc_id"), 5) == 0
-    labels = table(spark, sf_dir, "labels").where(~held & F.col("toxic").isNotNull())
-    rate = labels.agg(F.avg(F.col("toxic").cast("double"))).head()[0]
-    return toxicity.fit(docs, labels.where("toxic = 1"), min(max(rate or 0.0, 0.001), 0.9), exclude=held)
+    return toxicity.fit(docs, table(spark, sf_dir, "labels").where(~held & (F.col("toxic") == 1)), exclude=held)
 
 
 @query

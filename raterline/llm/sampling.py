@@ -5,23 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from raterline.llm.common import written
+
 
 def hashed_share(seed: str) -> F.Column:
     """A number in [0, 1) drawn from doc_id alone, the same on every run and partitioning."""
     return F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
 
 
-def by_class(rows: DataFrame, label: str, most: int, seed: str) -> DataFrame:
-    """About `most` rows of every class (doc_id, label): all of a class that has fewer.
+def by_class(rows: DataFrame, label: str, most: int, seed: str, *, most_bytes: int = 4 << 20, most_rows: int = 20_000) -> DataFrame:
+    """About `most` whole rows of every class of labelled rows (doc_id, text and the label).
 
-    Each class keeps the rows whose hash falls under most / count; the counts are one small
-    aggregate, so that no class is gathered anywhere.
+    The sample is bounded by three parameters, each in expectation: `most` rows and `most_bytes`
+    of text a class, and `most_rows` in all, which many classes share evenly; texts of over an
+    eighth of `most_bytes` are not drawn.  Every class, however many there are, keeps the rows
+    whose hash falls under its share; shares are a small table that is joined, so no class is
+    gathered anywhere and none is left out.  Rows without doc_id or label are not drawn.
     """
-    rows = rows.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", label)
-    counts = {r[label]: r["n"] for r in rows.groupBy(label).agg(F.count("*").alias("n")).orderBy(F.desc("n")).limit(1000).collect()}
-    if not counts:
-        return rows.limit(0)
-    keep = F.lit(0.0)
-    for value, n in counts.items():
-        keep = F.when(F.col(label) == F.lit(value), min(1.0, most / n)).otherwise(keep)
-    return rows.where(hashed_share(seed) < keep)
+    size = F.coalesce(F.octet_length("text"), F.lit(0))
+    rows = rows.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (size <= most_bytes // 8)).select("doc_id", "text", label)
+    counts = written(rows.groupBy(label).agg(F.count("*").alias("_n"), F.sum(size).alias("_bytes")), "classes")
+    each = min(most, max(1, most_rows // max(counts.count(), 1)))
+    share = counts.select(label, F.least(each / F.col("_n"), most_bytes / F.greatest(F.col("_bytes"), F.lit(1))).alias("_share"))
+    return rows.join(share, label).where(hashed_share(seed) < F.col("_share")).select("doc_id", "text", label)

@@ -1,9 +1,9 @@
 """Secret scans with corpus-wide ownership frequency.
 
 One pass over the texts finds candidate spans.  The candidates' hashes are then counted over
-the whole corpus: by document, by repository and by owner.  A value that many owners carry is
-a widely copied example; a value that one owner carries and that looks random is treated as
-a live credential.
+the whole corpus: by document, by repository and by owner.  A value that many owners carry, or
+several owners in many repositories, is a widely copied example; a value that one owner
+carries, in however many repositories, and that looks random is treated as a live credential.
 
 The counts are plain two-step aggregations (by value, repository and owner, then by value),
 so a value that a third of all rows share is summed before it is shuffled; the counts go back
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from raterline.llm.common import schema, written
+from raterline.llm.common import schema, unused, written
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -98,15 +98,17 @@ def ownership(scanned: DataFrame) -> DataFrame:
     return by_owner.groupBy("value").agg(F.sum("n").alias("n_documents"), F.sum("r").alias("n_repositories"), F.count("*").alias("n_owners"))
 
 
-def judged_spans(scanned: DataFrame, *, example_owners: int = 3) -> DataFrame:
+def judged_spans(scanned: DataFrame, *, example_owners: int = 3, example_repositories: int = 10) -> DataFrame:
     """Every span with its value's counts and a verdict.
 
-    example: at least `example_owners` owners carry the value; live: one owner does and the
-    value looks random; unclear: the rest.
+    example: at least `example_owners` owners carry the value, or two do in at least
+    `example_repositories` repositories; live: one owner does and the value looks random;
+    unclear: the rest.
     """
     spans = scanned.select("row", "doc_id", F.inline("found"))
     counted = spans.join(ownership(scanned), "value")
-    verdict = F.when(F.col("n_owners") >= example_owners, "example").when((F.col("n_owners") == 1) & F.col("random"), "live").otherwise("unclear")
+    wide = (F.col("n_owners") >= example_owners) | ((F.col("n_owners") >= 2) & (F.col("n_repositories") >= example_repositories))
+    verdict = F.when(wide, "example").when((F.col("n_owners") == 1) & F.col("random"), "live").otherwise("unclear")
     return counted.withColumn("verdict", verdict)
 
 
@@ -120,10 +122,10 @@ def scan_secrets(docs: DataFrame, *, repository: Column | None = None, owner: Co
     owner = F.col("source") if owner is None else owner
     scanned = written(scan(docs, repository=repository, owner=owner), "secrets")
     per_row = judged_spans(scanned, example_owners=example_owners).groupBy("row").agg(
-        F.count_if(F.col("verdict") == "live").alias("n_live"), F.count_if(F.col("verdict") == "example").alias("n_example"), F.max("n_owners").alias("most_owners")
+        F.count_if(F.col("verdict") == "live").alias("n_live"), F.count_if(F.col("verdict") == "example").alias("n_example"), F.max("n_owners").alias("most_owners"), F.max("n_repositories").alias("most_repositories")
     )
     return scanned.drop("found", "repository", "owner").join(per_row, "row", "left").select(
-        "doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_live", "n_example", "most_owners"))
+        "doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_live", "n_example", "most_owners", "most_repositories"))
     )
 
 
@@ -134,18 +136,18 @@ def redact(docs: DataFrame, *, repository: Column | None = None, owner: Column |
     """
     repository = F.col("source") if repository is None else repository
     owner = F.col("source") if owner is None else owner
-    names = docs.columns
-    numbered = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
-    with_key = numbered.select(F.col("_key").alias("doc_id"), "text", repository.alias("_r"), owner.alias("_o"))
-    scanned = written(scan(with_key, repository=F.col("_r"), owner=F.col("_o")), "secrets")
+    names = [F.col(f"`{n}`") for n in docs.columns]
+    mark_key, mark_cuts, text_at = unused(docs, "row_key"), unused(docs, "row_cuts"), docs.columns.index("text")
+    numbered = docs.withColumn(mark_key, F.xxhash64("doc_id", "text"))
+    with_key = numbered.select(F.col(mark_key).alias("doc_id"), "text", repository.cast("string").alias("repository"), owner.cast("string").alias("owner"))
+    scanned = written(scan(with_key, repository=F.col("repository"), owner=F.col("owner")), "secrets")
     bad = judged_spans(scanned, example_owners=example_owners).where("verdict != 'example'")
-    cuts = bad.groupBy(F.col("doc_id").alias("_key")).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("_cuts"))
+    cuts = bad.groupBy(F.col("doc_id").alias(mark_key)).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias(mark_cuts))
 
     def blot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, cuts_at = batch.schema.get_field_index("text"), batch.schema.get_field_index("_cuts")
-            texts = batch.column(at).to_pylist()
-            for i, spans in enumerate(batch.column(cuts_at).to_pylist()):
+            texts = batch.column(text_at).to_pylist()
+            for i, spans in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
                 if spans:
                     out, done = [], 0
                     for x in spans:
@@ -153,8 +155,8 @@ def redact(docs: DataFrame, *, repository: Column | None = None, owner: Column |
                             out += [texts[i][done : x["start"]], mark]
                         done = max(done, x["end"])
                     texts[i] = "".join(out) + texts[i][done:]
-            columns = [pa.array(texts, pa.string()) if k == at else batch.column(k) for k in range(batch.num_columns) if k != cuts_at]
-            yield pa.RecordBatch.from_arrays(columns, names=[n for k, n in enumerate(batch.schema.names) if k != cuts_at])
+            columns = [pa.array(texts, pa.string()) if k == text_at else batch.column(k) for k in range(batch.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
 
-    marked = numbered.join(cuts, "_key", "left").drop("_key").select(*names, "_cuts").mapInArrow(blot, docs.schema)
-    return marked.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in names else marked
+    marked = numbered.join(cuts, mark_key, "left").select(*names, mark_cuts).mapInArrow(blot, docs.schema)
+    return marked.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType))) if "n_chars" in docs.columns else marked

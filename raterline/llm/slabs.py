@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +27,8 @@ ASKED = schema(bucket="int", slab="int", body="binary")
 ANSWERED = schema(slab="int", bucket="int", body="binary")
 #: Bytes of text in a slab, about.
 SLAB = 3 << 19
+#: Bytes of text in a partition, at most about.
+PARTITION = 64 << 20
 
 
 @dataclass
@@ -44,8 +47,9 @@ def deal(docs: DataFrame, *, asked_share: float, bucket_bytes: int = 8 << 20) ->
     asked_share: bytes asked for each byte of text, to size the buckets.
     """
     spark = docs.sparkSession
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     total = docs.agg(F.sum(F.octet_length("text"))).head()[0] or 0
+    # As many partitions as the session sets, and more where texts would not fit them.
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PARTITION))
     slabs = max(partitions, -(-total // SLAB))
     buckets = max(partitions, -(-int(total * asked_share) // bucket_bytes))
     filled = docs.select(F.pmod("key", F.lit(slabs)).cast("int").alias("slab"), "key", "doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -78,10 +82,19 @@ def column(table: pa.Table, name: str) -> pa.Array:
 
 def ordered(table: pa.Table) -> pa.Table:
     """A slab's rows in an order that does not depend on how they arrived; repeated rows once, with their number."""
-    table = table.combine_chunks().sort_by("key")
-    key = table.column("key").to_numpy()
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-    return table.take(pa.array(first)).append_column("copies", pa.array(np.diff(np.append(first, len(key)))))
+    table = table.combine_chunks().sort_by([("key", "ascending"), ("doc_id", "ascending"), ("text", "ascending")])
+    n = table.num_rows
+    if not n:
+        return table.append_column("copies", pa.array([], pa.int64()))
+    # Rows are the same if both doc_id and text are; keys alone could agree by accident.
+    same = np.ones(n - 1, bool)
+    for name in ("key", "doc_id", "text"):
+        c = column(table, name)
+        a, b = c.slice(0, n - 1), c.slice(1)
+        equal = pc.or_kleene(pc.equal(a, b), pc.and_(pc.is_null(a), pc.is_null(b)))
+        same &= np.asarray(pc.fill_null(equal, False).to_numpy(zero_copy_only=False), bool)
+    first = np.flatnonzero(np.append(True, ~same))
+    return table.take(pa.array(first)).append_column("copies", pa.array(np.diff(np.append(first, n))))
 
 
 def repeated(table: pa.Table, copies: pa.ChunkedArray) -> pa.Table:

@@ -19,7 +19,8 @@ their strings instead, which spread over all buckets, whatever the number of tex
 
 Defined cases: null and empty texts lose nothing; matches never cross documents; rows that
 repeat both doc_id and text each start every one of their strings elsewhere too, so they lose
-all that is long enough; an empty table gives an empty result; further columns are ignored.
+all that is long enough; an empty table gives an empty result; further columns are ignored.  A
+text of any length is worked on whole by one task, at about 60 bytes of memory for each of its own.
 """
 
 from __future__ import annotations
@@ -42,7 +43,8 @@ BLOCK = 1 << 20
 FINER = 8
 #: Parts the segments of a bucket's text; never part of UTF-8.
 SEPARATOR = 0xFF
-_LOW = np.uint64((1 << 28) - 1)
+#: The low bits hold a place in a slab: texts of up to 64 GB; the rest of a hash settles which is least.
+_LOW = np.uint64((1 << 36) - 1)
 
 OUT = schema(doc_id="long", n_bytes="long", n_removed="long", n_spans="long", kept_sha256="string")
 

@@ -8,16 +8,22 @@ flexible classifier from driving the estimate below zero.
 Texts are sets of hashed words.  A linear classifier on the words that the positives
 clearly favour (at least `least_z` standard deviations more often than unlabelled texts) is
 fitted by gradient steps with soft thresholding, so that all but a few words have weight zero
-and a long clean text gathers no score from its length.  The bias is then moved so that a score
-of 0.5 stands where the same corrected estimate, with right or wrong in place of the logistic
-loss, is least; a missed toxic text counts `miss_cost` times a clean one that is taken.
+and a long clean text gathers no score from its length.
 
-The fit uses bounded samples (`positives`, `unlabelled` rows); every text is scored whole,
-in one pass without a shuffle.
+Two things are read off texts left out of a fit: groups of near copies are dealt into folds,
+and every text is scored by a fit on the other folds.  The prior is the least ratio of
+unlabelled to positive texts above any score that enough positives reach, so confirmed clean
+texts are not needed; and the bias is moved so that 0.5 stands where the corrected estimate,
+with right or wrong in place of the logistic loss, is least; a missed toxic text counts
+`miss_cost` times a clean one that is taken.
+
+The fit uses bounded samples (`positives` confirmed and `unlabelled` other rows); every text is
+scored whole, in one pass without a shuffle.
 
 Defined cases: null and empty texts get the score of a text without words; rows without
 doc_id are not learned from; without a confirmed positive every score is the prior's floor, 0;
-repeated rows get equal scores; an empty table gives an empty result.
+repeated rows get equal scores; an empty table gives an empty result; columns named score or
+predicted give way to the new ones in score(), all others stay; without() keeps all columns.
 """
 
 from __future__ import annotations
@@ -30,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from raterline.llm.common import schema
+from raterline.llm.common import schema, scored, unused
 from raterline.llm.sampling import by_class, hashed_share
 from raterline.llm.textvec import byte_values, mix, prefix_hash, range_hash, slab, slices, words
 
@@ -89,28 +95,29 @@ def _sets(df: DataFrame) -> tuple[list[np.ndarray], np.ndarray]:
     return [np.frombuffer(w, "<u4").astype(np.int64) for _, w in rows], np.array([y for y, _ in rows], int)
 
 
-def fit(docs: DataFrame, positive: DataFrame, prior: float, *, exclude: Column | None = None, positives: int = 3000, unlabelled: int = 9000, words_kept: int = 1024) -> WordModel | None:
+def fit(docs: DataFrame, positive: DataFrame, prior: float | None = None, *, exclude: Column | None = None, positives: int = 3000, unlabelled: int = 9000) -> WordModel | None:
     """Fit on confirmed positives (a DataFrame of doc_id) and unlabelled texts.
 
-    exclude: a condition on docs for rows never to learn from, labelled or not.  At most about
-    `positives` and `unlabelled` rows are used, drawn by a hash of doc_id.
+    prior: the share of toxic texts; estimated if not given.  exclude: a condition on docs for
+    rows never to learn from, labelled or not.  At most about `positives` and `unlabelled` rows
+    are used, drawn by a hash of doc_id.
     """
     pool = docs.where(F.col("doc_id").isNotNull()) if exclude is None else docs.where(F.col("doc_id").isNotNull() & ~exclude)
-    chosen = by_class(positive.select("doc_id", F.lit(1).alias("label")), "label", positives, "toxic")
+    pool = pool.select("doc_id", F.col("text").cast("string").alias("text"))
+    known = by_class(pool.join(positive.select("doc_id").distinct(), "doc_id", "left_semi").withColumn("label", F.lit(1)), "label", positives, "toxic", most_bytes=1 << 26)
     n = pool.count()
-    known = pool.select("doc_id", "text").join(F.broadcast(chosen.distinct()), "doc_id").select("label", "text")
     other = pool.where(hashed_share("unlabelled") < min(1.0, unlabelled / max(n, 1))).select(F.lit(0).alias("label"), "text")
-    sets, y = _sets(known.unionByName(other).withColumn("text", F.col("text").cast("string")))
+    sets, y = _sets(known.select("label", "text").unionByName(other))
     if not (y == 1).any() or not (y == 0).any():
         return None
-    return fit_sets(sets, y, prior, words_kept=words_kept)
+    return fit_sets(sets, y, prior)
 
 
-def copy_weights(sets: list[np.ndarray], bands: int = 30, rows: int = 8) -> np.ndarray:
-    """1 / (number of near copies of each set): minhash bands find the copies, groups close under them."""
+def copy_groups(sets: list[np.ndarray], bands: int = 30, rows: int = 8) -> np.ndarray:
+    """A number for each set, the same for near copies: minhash bands find them, groups close under them."""
     n = len(sets)
     if not n:
-        return np.zeros(0)
+        return np.zeros(0, np.int64)
     size = np.array([len(s) for s in sets])
     flat = np.concatenate([*sets, np.zeros(0, np.int64)]).astype(np.uint64)
     begin = np.cumsum(size) - size
@@ -126,8 +133,24 @@ def copy_weights(sets: list[np.ndarray], bands: int = 30, rows: int = 8) -> np.n
             np.minimum.at(least, same, group[filled])
             group[filled] = np.minimum(group[filled], least[same])
             group = group[group]
-    _, same, count = np.unique(group, return_inverse=True, return_counts=True)
-    return 1 / count[same]
+    return group
+
+
+def copy_weights(sets: list[np.ndarray]) -> np.ndarray:
+    """1 / (number of near copies of each set)."""
+    _, same, count = np.unique(copy_groups(sets), return_inverse=True, return_counts=True)
+    return 1 / count[same] if len(sets) else np.zeros(0)
+
+
+def least_ratio(z: np.ndarray, y: np.ndarray, each: np.ndarray, reached: float = 0.5) -> float:
+    """The prior by which positives explain all unlabelled texts above some score: the least U(z >= c) / P(z >= c).
+
+    Only scores count that a share `reached` of the positives attain; it lies within 0.001 and 0.5.
+    """
+    level = np.unique(z)
+    above = [each[y == s].sum() and np.array([np.cumsum(np.bincount(np.searchsorted(level, z[y == s]), each[y == s], minlength=len(level))[::-1])[::-1] / each[y == s].sum()])[0] for s in (0, 1)]
+    fine = above[1] >= reached
+    return float(np.clip((above[0][fine] / above[1][fine]).min(), 0.001, 0.5)) if fine.any() else 0.1
 
 
 def least_risk_cut(z: np.ndarray, y: np.ndarray, each: np.ndarray, prior: float, miss_cost: float = 3.0) -> float:
@@ -145,14 +168,33 @@ def least_risk_cut(z: np.ndarray, y: np.ndarray, each: np.ndarray, prior: float,
     return float(level[least] + level[least + 1]) / 2
 
 
-def fit_sets(sets: list[np.ndarray], y: np.ndarray, prior: float, *, words_kept: int = 1024, rounds: int = 400, rate: float = 0.05, shrink: float = 5e-4, least_z: float = 5.0) -> WordModel:
+def fit_sets(sets: list[np.ndarray], y: np.ndarray, prior: float | None = None, *, folds: int = 3, miss_cost: float = 3.0) -> WordModel:
     """The same from word sets in memory: y is 1 for a positive, 0 for an unlabelled set."""
+    group = copy_groups(sets)
+    # A text copied many times speaks once: else its rare words would look like signs of its label.
+    _, same, count = np.unique(group * 2 + y, return_inverse=True, return_counts=True)
+    each = 1 / count[same]
+    fold = (mix(group.astype(np.uint64) + np.uint64(1)) % np.uint64(folds)).astype(int)
+
+    def left_out(pi: float) -> np.ndarray:
+        z = np.zeros(len(y))
+        for k in range(folds):
+            rest = fold != k
+            if (y[rest] == 1).any() and (y[rest] == 0).any():
+                w, b = linear([s for s, r in zip(sets, rest) if r], y[rest], each[rest], pi)
+                z[~rest] = [w[s].sum() + b for s, r in zip(sets, rest) if not r]
+        return z
+
+    if prior is None:
+        prior = least_ratio(left_out(0.1), y, each)
+    w, b = linear(sets, y, each, prior)
+    return WordModel(w, b - least_risk_cut(left_out(prior), y, each, prior, miss_cost))
+
+
+def linear(sets: list[np.ndarray], y: np.ndarray, each: np.ndarray, prior: float, *, rounds: int = 400, rate: float = 0.05, shrink: float = 5e-4, least_z: float = 5.0) -> tuple[np.ndarray, float]:
+    """(weights of all hashed words, bias) of least non-negative risk; each: the sets' weights."""
     size = np.array([len(s) for s in sets])
     flat, of = np.concatenate([*sets, np.zeros(0, np.int64)]), np.repeat(np.arange(len(sets)), size)
-    # A text copied many times speaks once: else its rare words would look like signs of its label.
-    each = np.ones(len(sets))
-    for side in (0, 1):
-        each[y == side] = copy_weights([s for s, k in zip(sets, y) if k == side])
     p, u = float(each[y == 1].sum()), float(each[y == 0].sum())
     in_p = np.bincount(flat, np.where(y[of] == 1, each[of], 0), minlength=1 << BITS)
     in_u = np.bincount(flat, np.where(y[of] == 0, each[of], 0), minlength=1 << BITS)
@@ -161,7 +203,6 @@ def fit_sets(sets: list[np.ndarray], y: np.ndarray, prior: float, *, words_kept:
     expected = p * (in_u + 0.5) / (u + 1)
     clear = (in_p >= 3) & (lift >= np.log(2)) & ((in_p - expected) / np.sqrt(expected) >= least_z)
     kept = np.flatnonzero(clear)
-    kept = kept[np.argsort(-lift[kept] * np.sqrt(share[kept]), kind="stable")[:words_kept]]
     column = np.full(1 << BITS, -1)
     column[kept] = np.arange(len(kept))
     has = column[flat] >= 0
@@ -185,23 +226,32 @@ def fit_sets(sets: list[np.ndarray], y: np.ndarray, prior: float, *, words_kept:
         move = rate * (moment / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
         w, b = w - move[:-1], b - move[-1]
         w = np.sign(w) * np.maximum(np.abs(w) - rate * shrink, 0)
-    b -= least_risk_cut(x @ w.astype(np.float32) + b, y, each, prior)
     weights = np.zeros(1 << BITS, np.float32)
     weights[kept] = w
-    return WordModel(weights, b)
+    return weights, b
 
 
 def score(docs: DataFrame, model: WordModel | None, *, threshold: float = 0.5) -> DataFrame:
     """score and predicted for every row, beside the row's own columns."""
-    made = schema(score="double", predicted="int")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    def each(texts: pa.Array) -> list[pa.Array]:
+        s = np.zeros(len(texts)) if shared.value is None else shared.value.score(texts)
+        return [pa.array(s), pa.array((s >= threshold).astype(np.int32))]
+
+    return scored(docs, schema(score="double", predicted="int"), 1 << 19, each, keep_text=True)
+
+
+def without(docs: DataFrame, model: WordModel | None, *, threshold: float = 0.5) -> DataFrame:
+    """The documents, with all their columns as they are, that score under the threshold."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    names = docs.columns
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in (p for b in batches for p in slices(b, "_text")):
-            s = np.zeros(part.num_rows) if shared.value is None else shared.value.score(part.column(part.num_columns - 1))
-            keep = [part.column(i) for i in range(part.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*part.schema.names[:-1], *made.names])
-
-    kept = [n for n in docs.columns if n not in made.names]
-    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema)
-    return docs.select(*kept, F.col("text").cast("string").alias("_text")).mapInArrow(run, f"{out}, {made}" if kept else made)
+        for batch in batches:
+            named = pa.RecordBatch.from_arrays(batch.columns, names=[f"{i}" for i in range(batch.num_columns)])
+            for part in slices(named, f"{batch.num_columns - 1}"):
+                s = np.zeros(part.num_rows) if shared.value is None else shared.value.score(part.column(part.num_columns - 1))
+                yield pa.RecordBatch.from_arrays(part.columns[:-1], names=names).filter(pa.array(s < threshold))
+
+    return docs.select(*(F.col(f"`{n}`") for n in names), F.col("text").cast("string").alias(unused(docs, "_"))).mapInArrow(run, docs.schema)

@@ -18,6 +18,20 @@ def test_stages(spark, sf_dir):
     assert {r.doc_id for r in packed} == before
 
 
+def test_stages_keep_clashing_columns(spark, sf_dir):
+    """Columns named as anything that a stage makes itself come through, on odd rows and on none."""
+    names = ("score", "predicted", "_text", "_key", "_cuts", "_kept", "_again", "key", "row_key", "row_cuts", "class_id", "hits", "found", "row", "_")
+    rows = [(1, "plain words of a text " * 9, "en", "a", 5), (1, "plain words of a text " * 9, "en", "a", 5), (2, None, None, None, None), (None, "", "", "", 0), (3, "password = abcdefghijkl99x", "en", "b", 1)]
+    d = spark.createDataFrame([(*r, *names) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names))
+    for docs in (d, d.limit(0)):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            docs = spark.createDataFrame(stage(spark, docs, sf_dir).collect(), d.schema)
+            assert docs.columns == d.columns and all(r[n] == n for r in docs.collect() for n in names), name
+        left = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir)
+        assert {r.doc_id for r in left.collect()} == {r.doc_id for r in docs.collect()}
+    assert sorted(r.doc_id or 0 for r in corpus_pipeline.redact_secrets(spark, d, sf_dir).collect()) == [0, 1, 1, 2, 3]
+
+
 def test_registered(spark):
     import __spark_entry__
 

@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from raterline.llm import substring_dedup, suffix_dedup
@@ -67,6 +68,26 @@ def test_repeated_rows(twice):
     assert got(substring_dedup.remove_repeats(twice)) == sorted([r for r in once for _ in range(2 if r[0] in (1, 3) else 1)], key=key)
 
 
+def test_rows_are_told_apart_beyond_their_keys():
+    """Two documents whose keys agree by accident stay two."""
+    from raterline.llm import slabs
+
+    t = pa.table({"key": [5, 5, 5, 5], "doc_id": pa.array([1, 2, 1, None], pa.int64()), "text": ["a", "b", "a", "c"]})
+    assert slabs.ordered(t).select(["doc_id", "copies"]).to_pylist() == [{"doc_id": 1, "copies": 2}, {"doc_id": 2, "copies": 1}, {"doc_id": None, "copies": 1}]
+
+
+def test_a_long_text(spark):
+    """One text of some megabytes among short ones, a part of it copied."""
+    rng = np.random.default_rng(6)
+    words = [f"w{k}" for k in rng.integers(0, 10**7, 400_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[200_000:200_090])), (3, "short")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(substring_dedup.remove_repeats(d)) == sorted(brute_words(rows), key=key)
+    mine = {r.doc_id: r for r in suffix_dedup.remove_recurring(d).collect()}
+    size = len(rows[1][1])
+    assert (mine[2].n_removed, mine[2].n_spans) == (size, 1) and size <= mine[1].n_removed <= size + 4 and mine[1].n_spans == 1 and mine[3].n_removed == 0
+
+
 def test_empty(empty):
     assert got(suffix_dedup.remove_recurring(empty)) == [] and got(substring_dedup.remove_repeats(empty)) == []
 

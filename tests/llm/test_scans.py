@@ -104,6 +104,14 @@ def test_secrets(spark):
     assert secret_scan.scan_secrets(d.limit(0)).count() == 0
 
 
+def test_repositories_count(spark):
+    """Two owners make an example in ten repositories, not in nine; one owner never does."""
+    rows = [(k, f"password: {v}", f"{o}") for v, n, owners in (("abcdefgh12345678a", 10, 2), ("bbcdefgh12345678b", 9, 2), ("cbcdefgh12345678c", 12, 1)) for k in range(n) for o in [f"o{k % owners}"]]
+    d = spark.createDataFrame([(i, t, o) for i, (_, t, o) in enumerate(rows)], "doc_id long, text string, source string")
+    got = {(r.doc_id, r.n_live, r.n_example, r.most_repositories) for r in secret_scan.scan_secrets(d, repository=d["doc_id"]).collect()}
+    assert {g[1:] for g in got if g[0] < 10} == {(0, 1, 10)} and {g[1:] for g in got if 10 <= g[0] < 19} == {(0, 0, 9)} and {g[1:] for g in got if g[0] >= 19} == {(1, 0, 12)}
+
+
 def test_fingerprints(docs, texts):
     got = {r.doc_id: r for r in fingerprints.fingerprint_neighbours(docs).collect()}
     rows = sorted(texts, key=lambda r: (r[0] is not None, r[0] or 0))
