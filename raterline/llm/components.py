@@ -28,8 +28,8 @@ def components(edges: DataFrame) -> DataFrame:
     """edges: a, b (long, not null).  Returns node, component: the least node it is linked to.
 
     Every round is two joins of the edges with a minimum for each node, which is combined before
-    it is shuffled.  Nodes with over an eighth of a partition's edges, of which there are at
-    most sixteen a partition, are joined by broadcast, so the label of a large class gathers
+    it is shuffled.  Nodes with over an eighth of a partition's edges or somewhat more, of which there are at
+    most eight a partition, are joined by broadcast, so the label of a large class gathers
     nowhere.  Rounds are written to the shared folder.
 
     Defined cases: a pair a = a keeps a node without other edges; repeated pairs count once; an
@@ -38,8 +38,9 @@ def components(edges: DataFrame) -> DataFrame:
     parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     now = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     mark = _mark(now)
+    # A power of two, so that rounds share their generated code.
+    most = 1 << max(4, (2 * mark[0] // (8 * parts)).bit_length())
     while True:
-        most = max(16, 2 * mark[0] // (8 * parts))
         # Large star: every greater neighbour of a node goes to the node's least neighbour.
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))

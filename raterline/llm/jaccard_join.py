@@ -425,27 +425,32 @@ def verified(
     """Exact links within candidate components.
 
     members: component, key, set_a, copies, n_grams; candidates: the links (a, b) that made the
-    components; texts: key, text.  Returns (key, links), complete only if `count`, and edges
-    (a, b) that connect the final classes.  What fits one block of `block_bytes` of grams and
+    components; texts: key, text.  Returns (key, links), complete only if `count`, and the final
+    classes (key, class), named by their least key.  What fits one block of `block_bytes` of grams and
     `block_sets` sets is compared at once.
     """
     sized = members.groupBy("component").agg(blocks_of(F.sum(F.col("n_grams").cast("long")) * 8, F.count("*"), block_bytes, block_sets).alias("blocks"))
     placed = written(members.join(sized, "component"), "members")
     few, many = placed.where("blocks = 1"), placed.where("blocks > 1")
     found = written(_compared(set_rows(few, texts, n).select(F.col("component").alias("task"), "key", "copies", F.lit(0).alias("side"), "grams"), partitions, threshold), "links")
-    degree, edges = found.select("key", "links"), found.where("key != label").select(F.col("key").alias("a"), F.col("label").alias("b"))
+    degree, classes = found.select("key", "links"), found.select("key", F.col("label").alias("class"))
     if not many.head(1):
-        return degree, edges
+        return degree, classes
     sets = written(set_rows(many, texts, n).select("component", "key", "copies", "n_grams", "grams"), "sets")
     plain = sets.select("component", "key", "copies", "n_grams")
     own = candidates.join(plain.select(F.col("key").alias("a")), "a", "left_semi")
-    near = written(true_links(own, sets, partitions, threshold), "near")
-    itself = plain.select(F.col("key").alias("a"), F.col("key").alias("b"))
-    classed = lambda links: plain.join(components(links.unionByName(itself)).select(F.col("node").alias("key"), F.col("component").alias("class")), "key")
-    near = written(near.unionByName(stragglers_met(classed(near), sets, partitions, threshold, block_bytes, block_sets)), "near")
+    near = true_links(own, sets, partitions, threshold).unionByName(plain.select(F.col("key").alias("a"), F.col("key").alias("b")))
+    classed = written(plain.join(components(near).select(F.col("node").alias("key"), F.col("component").alias("class")), "key"), "classed")
+    met = written(stragglers_met(classed, sets, partitions, threshold, block_bytes, block_sets), "met")
+    if met.head(1):
+        # Classes that turn out to be linked are joined as wholes.
+        side = lambda c: classed.select(F.col("key").alias(c), F.col("class").alias(f"class_{c}"))
+        joined = components(met.join(side("a"), "a").join(side("b"), "b").select(F.col("class_a").alias("a"), F.col("class_b").alias("b"))).select(F.col("node").alias("class"), "component")
+        renamed = classed.withColumnRenamed("component", "candidates").join(joined, "class", "left").withColumn("class", F.coalesce("component", "class"))
+        classed = written(renamed.drop("component").withColumnRenamed("candidates", "component"), "classed")
     if count:
-        degree = degree.unionByName(links_within(classed(near), sets, partitions, threshold, block_bytes, block_sets))
-    return degree, edges.unionByName(near)
+        degree = degree.unionByName(links_within(classed, sets, partitions, threshold, block_bytes, block_sets))
+    return degree, classes.unionByName(classed.select("key", "class"))
 
 
 def near_duplicates(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, recall: float = 0.9999, split: float = 0.7, count: bool = True) -> DataFrame:
@@ -467,11 +472,10 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, reca
     sketch_of_sets = sketched.select("key", "sketch").join(sets.select("key"), "key", "left_semi").dropDuplicates(["key"])
     links = written(candidate_links(sketch_of_sets, partitions, runs_=times, depth=depth, split=split), "candidates")
     members = components(links).withColumnRenamed("node", "key").join(sets, "key").select("component", "key", "set_a", "copies", "n_grams")
-    degree, edges = verified(members, links, own.select("key", "text"), n=n, threshold=threshold, partitions=partitions, count=count)
-    classes = components(edges).withColumnRenamed("node", "key")
-    known = sets.join(classes, "key", "left").join(degree, "key", "left").withColumn("component", F.coalesce("component", "key"))
-    named = known.groupBy("component").agg(F.min("least_id").alias("class_id"))
-    answered = known.join(named, "component").select(*identity, "class_id", F.col("component").alias("class_key"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    degree, classes = verified(members, links, own.select("key", "text"), n=n, threshold=threshold, partitions=partitions, count=count)
+    known = sets.join(classes, "key", "left").join(degree, "key", "left").withColumn("class", F.coalesce("class", "key"))
+    named = known.groupBy("class").agg(F.min("least_id").alias("class_id"))
+    answered = known.join(named, "class").select(*identity, "class_id", F.col("class").alias("class_key"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     return sketched.drop("sketch").join(answered, identity, "left").select(
         "doc_id", "key", F.when(F.col("n_grams") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.coalesce("class_key", "key").alias("class_key"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_grams"
     )
