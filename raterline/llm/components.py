@@ -12,12 +12,18 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).head())
 
 
-def _with_least(rows: DataFrame, least: DataFrame, most: int) -> DataFrame:
-    """rows (a, b) with m of `least` (a, m, n).
+#: Up to so many edges, the minimum of every node is small enough to broadcast (16 bytes each, two nodes an edge).
+BROADCAST_EDGES = 1 << 17
 
-    A node with more than `most` rows is looked up in a broadcast table, so that its rows stay
+
+def _with_least(rows: DataFrame, least: DataFrame, most: int, few: bool) -> DataFrame:
+    """rows (a, b) with m of `least` (a, m, n), which is broadcast if there are few edges.
+
+    Else a node with more than `most` rows is looked up in a broadcast table, so that its rows stay
     where they are.  Such nodes are few: `most` is a part of a fair partition's rows.
     """
+    if few:
+        return rows.join(F.broadcast(least.select("a", "m")), "a")
     hot = F.broadcast(least.where(F.col("n") > most).select(F.col("a").alias("hot"), F.col("m").alias("hot_m")))
     split = rows.join(hot, rows["a"] == hot["hot"], "left")
     cold = split.where("hot is null").select("a", "b").join(least.select("a", "m"), "a")
@@ -28,7 +34,7 @@ def components(edges: DataFrame) -> DataFrame:
     """edges: a, b (long, not null).  Returns node, component: the least node it is linked to.
 
     Every round is two joins of the edges with a minimum for each node, which is combined before
-    it is shuffled.  Nodes with over an eighth of a partition's edges or somewhat more, of which there are at
+    it is shuffled.  Beyond BROADCAST_EDGES edges, nodes with over an eighth of a partition's edges or somewhat more, of which there are at
     most eight a partition, are joined by broadcast, so the label of a large class gathers
     nowhere.  Rounds are written to the shared folder.
 
@@ -40,14 +46,15 @@ def components(edges: DataFrame) -> DataFrame:
     mark = _mark(now)
     # A power of two, so that rounds share their generated code.
     most = 1 << max(4, (2 * mark[0] // (8 * parts)).bit_length())
+    few = mark[0] <= BROADCAST_EDGES
     while True:
         # Large star: every greater neighbour of a node goes to the node's least neighbour.
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
-        large = _with_least(both, least, most).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(now.where("a = b")).distinct()
+        large = _with_least(both, least, most, few).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(now.where("a = b")).distinct()
         # Small star: a node and its lesser neighbours go to the least of them.
         least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-        joined = _with_least(large, least, most)
+        joined = _with_least(large, least, most, few)
         small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).distinct()
         now = written(small, "edges")
         before, mark = mark, _mark(now)

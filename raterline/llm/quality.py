@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from raterline.llm.common import schema, scored
-from raterline.llm.sampling import by_class
+from raterline.llm.common import schema, scored, written
+from raterline.llm.sampling import by_class, sizes
 
 WIDTH, BLOCK, PER_CHUNK, STRIDE = 6, 128, 4, 3
 PAD = 0
@@ -169,14 +169,16 @@ def chunk_starts(size: int) -> range | list[int]:
     return [k * BLOCK for k in range(0, blocks, STRIDE) if k == 0 or k + 1 < blocks]
 
 
-def fit(rows: DataFrame, *, sample: int = 1200, sample_bytes: int = 4 << 20) -> Network | float:
+def fit(docs: DataFrame, labelled: DataFrame, *, sample: int = 1200, sample_bytes: int = 4 << 20) -> Network | float:
     """Fit on about `sample` rows and `sample_bytes` of text, at most, of either label.
 
-    rows: doc_id, text and label (0 or 1).  Chunks are cut where the texts lie; those of the
-    sample, whole texts, reach the driver.
+    docs: doc_id and text; labelled: doc_id and label (0 or 1), each doc_id once.  Chunks are cut
+    where the texts lie; those of the sample, whole texts, reach the driver.
     """
     length = BLOCK * PER_CHUNK
-    chosen = by_class(rows, "label", sample, "quality", most_bytes=sample_bytes)
+    # Bounded by `sample`, so broadcast: no text is shuffled.
+    chosen = written(by_class(sizes(docs).join(labelled, "doc_id"), "label", sample, "quality", most_bytes=sample_bytes).select("doc_id", "label").distinct(), "chosen")
+    chosen = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

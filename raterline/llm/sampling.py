@@ -14,7 +14,10 @@ def hashed_share(seed: str) -> F.Column:
 
 
 def by_class(rows: DataFrame, label: str, most: int, seed: str, *, most_bytes: int = 4 << 20, most_rows: int = 20_000) -> DataFrame:
-    """About `most` whole rows of every class of labelled rows (doc_id, text and the label).
+    """About `most` whole rows of every class of labelled rows: doc_id, the label, and either text or its bytes as `size`.
+
+    With `size` in place of the text, rows can be labelled by a join that moves no text; the
+    sample is then small enough to broadcast.
 
     The sample is bounded by three parameters, each in expectation: `most` rows and `most_bytes`
     of text a class, and `most_rows` in all, which many classes share evenly; texts of over an
@@ -22,9 +25,15 @@ def by_class(rows: DataFrame, label: str, most: int, seed: str, *, most_bytes: i
     whose hash falls under its share; shares are a small table that is joined, so no class is
     gathered anywhere and none is left out.  Rows without doc_id or label are not drawn.
     """
-    size = F.coalesce(F.octet_length("text"), F.lit(0))
-    rows = rows.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (size <= most_bytes // 8)).select("doc_id", "text", label)
+    body = "size" if "text" not in rows.columns else "text"
+    size = F.coalesce(F.col("size") if body == "size" else F.octet_length("text"), F.lit(0))
+    rows = rows.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (size <= most_bytes // 8)).select("doc_id", body, label)
     counts = written(rows.groupBy(label).agg(F.count("*").alias("_n"), F.sum(size).alias("_bytes")), "classes")
     each = min(most, max(1, most_rows // max(counts.count(), 1)))
     share = counts.select(label, F.least(each / F.col("_n"), most_bytes / F.greatest(F.col("_bytes"), F.lit(1))).alias("_share"))
-    return rows.join(share, label).where(hashed_share(seed) < F.col("_share")).select("doc_id", "text", label)
+    return rows.join(share, label).where(hashed_share(seed) < F.col("_share")).select("doc_id", body, label)
+
+
+def sizes(docs: DataFrame) -> DataFrame:
+    """doc_id and size of every row."""
+    return docs.select("doc_id", F.octet_length(F.col("text").cast("string")).alias("size"))

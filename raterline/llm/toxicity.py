@@ -36,8 +36,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from raterline.llm.common import schema, scored, unused
-from raterline.llm.sampling import by_class, hashed_share
+from raterline.llm.common import schema, scored, unused, written
+from raterline.llm.sampling import by_class, hashed_share, sizes
 from raterline.llm.textvec import byte_values, mix, prefix_hash, range_hash, slab, slices, words
 
 BITS = 20
@@ -104,7 +104,10 @@ def fit(docs: DataFrame, positive: DataFrame, prior: float | None = None, *, exc
     """
     pool = docs.where(F.col("doc_id").isNotNull()) if exclude is None else docs.where(F.col("doc_id").isNotNull() & ~exclude)
     pool = pool.select("doc_id", F.col("text").cast("string").alias("text"))
-    known = by_class(pool.join(positive.select("doc_id").distinct(), "doc_id", "left_semi").withColumn("label", F.lit(1)), "label", positives, "toxic", most_bytes=1 << 26)
+    labelled = sizes(pool).join(positive.select("doc_id").distinct(), "doc_id", "left_semi").withColumn("label", F.lit(1))
+    # Bounded by `positives`, so broadcast: no text is shuffled.
+    chosen = written(by_class(labelled, "label", positives, "toxic", most_bytes=1 << 26).select("doc_id", "label").distinct(), "chosen")
+    known = pool.join(F.broadcast(chosen), "doc_id")
     n = pool.count()
     other = pool.where(hashed_share("unlabelled") < min(1.0, unlabelled / max(n, 1))).select(F.lit(0).alias("label"), "text")
     sets, y = _sets(known.select("label", "text").unionByName(other))
