@@ -55,12 +55,26 @@ def best_drift(obs: DataFrame, drifts: list[float], noise: float) -> tuple[float
     return max(tried, key=lambda t: t[1])[0], tried
 
 
-def spline_basis(t: np.ndarray, knots: np.ndarray) -> np.ndarray:
-    """Natural cubic spline: 1, t and one column for each inner knot, linear beyond the outer ones."""
-    last, before = knots[-1], knots[-2]
-    cube = lambda k: np.maximum(t - k, 0.0) ** 3
-    d = lambda k: (cube(k) - cube(last)) / max(last - k, 1e-9)
-    return np.column_stack([np.ones_like(t), t, *(d(k) - d(before) for k in knots[:-2])])
+def spline_basis(t: np.ndarray, knots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(basis, roughness) of natural cubic splines by their values at the knots; t lies within the knots.
+
+    basis @ v is the spline through the values v at the places t; v @ roughness @ v is the
+    integral of its squared second derivative.
+    """
+    h, m = np.diff(knots), len(knots)
+    inner = np.arange(m - 2)
+    bend = np.zeros((m - 2, m))
+    bend[inner, inner], bend[inner, inner + 2] = 1 / h[:-1], 1 / h[1:]
+    bend[inner, inner + 1] = -1 / h[:-1] - 1 / h[1:]
+    band = np.diag((h[:-1] + h[1:]) / 3) + np.diag(h[1:-1] / 6, 1) + np.diag(h[1:-1] / 6, -1)
+    # Second derivatives at the knots, zero at both ends, as a linear map of the values.
+    second = np.zeros((m, m))
+    second[1:-1] = np.linalg.solve(band, bend)
+    k = np.clip(np.searchsorted(knots, t, side="right") - 1, 0, m - 2)
+    right = (t - knots[k]) / h[k]
+    left, values = 1 - right, np.eye(m)
+    cubic = (left**3 - left)[:, None] * second[k] + (right**3 - right)[:, None] * second[k + 1]
+    return left[:, None] * values[k] + right[:, None] * values[k + 1] + cubic * (h[k] ** 2 / 6)[:, None], bend.T @ second[1:-1]
 
 
 def spline(obs: DataFrame, *, knots: int = 4, ridges: tuple[float, ...] = (0.01, 0.1, 1.0, 10.0), held: int = 5) -> DataFrame:
@@ -76,10 +90,9 @@ def spline(obs: DataFrame, *, knots: int = 4, ridges: tuple[float, ...] = (0.01,
         if n < 3 * held:
             return pa.table({"rater": rows.column("rater").slice(0, 0), "ridge": pa.array([], pa.float64()), "held_rmse": pa.array([], pa.float64()), "last_intercept": pa.array([], pa.float64()), "last_slope": pa.array([], pa.float64())})
         t = np.linspace(0, 1, n)
-        b = spline_basis(t, np.linspace(0, 1, knots))
+        b, rough = spline_basis(t, np.linspace(0, 1, knots))
         z = np.hstack([b, b * x[:, None]])
-        penalty = np.eye(z.shape[1])
-        penalty[[0, b.shape[1]], [0, b.shape[1]]] = 0.0
+        penalty = np.kron(np.eye(2), rough)
         train = slice(0, n - held)
         solve = lambda r, s: np.linalg.solve(z[s].T @ z[s] + r * penalty + 1e-9 * np.eye(z.shape[1]), z[s].T @ y[s])
         errors = [(float(np.sqrt(np.mean((y[n - held :] - z[n - held :] @ solve(r, train)) ** 2))), r) for r in ridges]

@@ -147,13 +147,16 @@ def named_value(names: str, values: str, wanted: str):
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    A cluster names it in spark.checkpoint.dir.  Only where that is unset (tests on one
-    machine) a temporary folder is made.
+    A cluster names it in spark.checkpoint.dir.  Only where that is unset and the master is
+    local (tests on one machine) a temporary folder is made; elsewhere that is an error, since
+    every executor would write to a disk of its own.
     """
     context = spark.sparkContext
     at = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not at:
         at = context.getCheckpointDir()
+    if not at and not (context.master == "local" or context.master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not at:
         context.setCheckpointDir(tempfile.mkdtemp(prefix="raterline-"))
         at = context.getCheckpointDir()
@@ -173,16 +176,29 @@ def write_table(df: DataFrame, path: str, kind: str = "parquet") -> None:
     (df.write.parquet(path) if kind == "parquet" else df.write.csv(path, header=True))
 
 
+def _report_rows(df: DataFrame, most: int) -> list:
+    """All rows of a small result; more than `most` are an error, never a shorter report."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a report of more than {most} rows: write it as a table")
+    return rows
+
+
+def json_report(df: DataFrame, most: int = 1000) -> str:
+    """A small result as a JSON list of records."""
+    return json.dumps([r.asDict(recursive=True) for r in _report_rows(df, most)], default=str)
+
+
 def markdown(df: DataFrame, most: int = 1000) -> str:
     """A small result as a Markdown table."""
-    rows = df.limit(most).collect()
+    rows = _report_rows(df, most)
     line = lambda cells: "| " + " | ".join("" if c is None else f"{c:.6g}" if isinstance(c, float) else str(c) for c in cells) + " |"
     return "\n".join([line(df.columns), line(["---"] * len(df.columns)), *map(line, rows)])
 
 
 def latex(df: DataFrame, most: int = 1000) -> str:
     """A small result as a LaTeX tabular."""
-    rows = df.limit(most).collect()
+    rows = _report_rows(df, most)
     text = lambda c: "" if c is None else f"{c:.6g}" if isinstance(c, float) else str(c).replace("_", r"\_").replace("%", r"\%").replace("&", r"\&")
     body = "\n".join(" & ".join(map(text, r)) + r" \\" for r in [df.columns, *rows])
     return f"\\begin{{tabular}}{{{'l' * len(df.columns)}}}\n{body}\n\\end{{tabular}}"

@@ -247,3 +247,22 @@ def test_projection_is_that_of_the_covariance(spark):
     assert [got[i] for i in range(60, 64)] == [None] * 4
     empty = projected(spark.createDataFrame([], "i int, e array<double>"), "e", 2)
     assert empty.count() == 0 and empty.columns == ["i", "e", "components"]
+
+
+def test_spline_basis_interpolates_and_bends():
+    """Straight lines are not rough, values at the knots come back, and the roughness is the integral of the squared bend."""
+    knots = np.array([0.0, 0.2, 0.5, 0.7, 1.0])
+    b, rough = sequential.spline_basis(knots, knots)
+    assert np.allclose(b, np.eye(5)) and np.allclose(rough @ (2 + 3 * knots), 0, atol=1e-9)
+    v, t = np.array([1.0, -1.0, 2.0, 0.5, 0.0]), np.linspace(0, 1, 20001)
+    f = sequential.spline_basis(t, knots)[0] @ v
+    bend = np.diff(f, 2) / (t[1] - t[0]) ** 2
+    assert (bend**2).mean() == pytest.approx(v @ rough @ v, rel=1e-2) and abs(bend[0]) < 1 and abs(bend[-1]) < 1
+
+
+def test_reports_are_never_cut(spark):
+    d = spark.range(5)
+    assert files.json_report(d, 5).count("id") == 5
+    for report in (files.json_report, files.markdown, files.latex):
+        with pytest.raises(ValueError):
+            report(d, 4)
