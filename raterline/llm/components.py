@@ -36,16 +36,18 @@ def _with_least(rows: DataFrame, least: DataFrame, most: int, few: bool) -> Data
 def components(edges: DataFrame) -> DataFrame:
     """edges: a, b (long, not null).  Returns node, component: the least node it is linked to.
 
-    Every round is two joins of the edges with a minimum for each node, which is combined before
-    it is shuffled.  Beyond BROADCAST_EDGES edges, nodes with over an eighth of a partition's edges or somewhat more, of which there are at
-    most eight a partition, are joined by broadcast, so the label of a large class gathers
-    nowhere.  Rounds are written to the shared folder.
+    edges is read several times, so it should be a stored table.  Every round is two joins of the
+    edges with a minimum for each node, which is combined before it is shuffled; repeated edges,
+    which change no minimum, go once a round, when it is written.  Beyond BROADCAST_EDGES edges, nodes
+    with over an eighth of a partition's edges or somewhat more, of which there are at most eight a
+    partition, are joined by broadcast, so the label of a large class gathers nowhere.  Rounds are
+    written to the shared folder.
 
     Defined cases: a pair a = a keeps a node without other edges; repeated pairs count once; an
     empty table gives an empty result; further columns are ignored.
     """
     parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    now = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    now = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     n = now.count()
     # A power of two, so that rounds share their generated code.
     most = 1 << max(4, (2 * n // (8 * parts)).bit_length())
@@ -54,12 +56,11 @@ def components(edges: DataFrame) -> DataFrame:
         # Large star: every greater neighbour of a node goes to the node's least neighbour.
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
-        large = _with_least(both, least, most, few).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(now.where("a = b")).distinct()
+        large = _with_least(both, least, most, few).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(now.where("a = b"))
         # Small star: a node and its lesser neighbours go to the least of them.
         least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-        joined = _with_least(large, least, most, few)
-        small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).distinct()
-        now = written(small, "edges")
+        ends = F.explode(F.array("a", "b")).alias("a")
+        now = written(_with_least(large, least, most, few).select(ends, F.col("m").alias("b")).distinct(), "edges")
         if _settled(now):
             break
     return now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))

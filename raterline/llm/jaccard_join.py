@@ -439,13 +439,14 @@ def verified(
     sets = written(set_rows(many, texts, n).select("component", "key", "copies", "n_grams", "grams"), "sets")
     plain = sets.select("component", "key", "copies", "n_grams")
     own = candidates.join(plain.select(F.col("key").alias("a")), "a", "left_semi")
-    near = true_links(own, sets, partitions, threshold).unionByName(plain.select(F.col("key").alias("a"), F.col("key").alias("b")))
+    near = written(true_links(own, sets, partitions, threshold).unionByName(plain.select(F.col("key").alias("a"), F.col("key").alias("b"))), "near")
     classed = written(plain.join(components(near).select(F.col("node").alias("key"), F.col("component").alias("class")), "key"), "classed")
     met = written(stragglers_met(classed, sets, partitions, threshold, block_bytes, block_sets), "met")
     if met.head(1):
         # Classes that turn out to be linked are joined as wholes.
         side = lambda c: classed.select(F.col("key").alias(c), F.col("class").alias(f"class_{c}"))
-        joined = components(met.join(side("a"), "a").join(side("b"), "b").select(F.col("class_a").alias("a"), F.col("class_b").alias("b"))).select(F.col("node").alias("class"), "component")
+        between = met.join(side("a"), "a").join(side("b"), "b").select(F.col("class_a").alias("a"), F.col("class_b").alias("b")).distinct()
+        joined = components(written(between, "between")).select(F.col("node").alias("class"), "component")
         renamed = classed.withColumnRenamed("component", "candidates").join(joined, "class", "left").withColumn("class", F.coalesce("component", "class"))
         classed = written(renamed.drop("component").withColumnRenamed("candidates", "component"), "classed")
     if count:
@@ -469,7 +470,7 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, reca
     total = sets.count()
     depth = max(2, math.ceil(math.log(max(total, 2)) / math.log(split / 0.01)))
     times = max(1, math.ceil(math.log(1 - recall) / math.log(1 - survival(threshold, split, depth))))
-    sketch_of_sets = sketched.select("key", "sketch").join(sets.select("key"), "key", "left_semi").dropDuplicates(["key"])
+    sketch_of_sets = written(sketched.select("key", "sketch").join(sets.select("key"), "key", "left_semi").dropDuplicates(["key"]), "set-sketches")
     links = written(candidate_links(sketch_of_sets, partitions, runs_=times, depth=depth, split=split), "candidates")
     members = components(links).withColumnRenamed("node", "key").join(sets, "key").select("component", "key", "set_a", "copies", "n_grams")
     degree, classes = verified(members, links, own.select("key", "text"), n=n, threshold=threshold, partitions=partitions, count=count)
