@@ -438,7 +438,8 @@ def verified(
         return degree, classes
     sets = written(set_rows(many, texts, n).select("component", "key", "copies", "n_grams", "grams"), "sets")
     plain = sets.select("component", "key", "copies", "n_grams")
-    own = candidates.join(plain.select(F.col("key").alias("a")), "a", "left_semi")
+    # Both ends are in one component; a leads a leaf and may have many links, b has few.
+    own = candidates.join(plain.select(F.col("key").alias("b")), "b", "left_semi")
     near = written(true_links(own, sets, partitions, threshold).unionByName(plain.select(F.col("key").alias("a"), F.col("key").alias("b"))), "near")
     classed = written(plain.join(components(near).select(F.col("node").alias("key"), F.col("component").alias("class")), "key"), "classed")
     met = written(stragglers_met(classed, sets, partitions, threshold, block_bytes, block_sets), "met")
