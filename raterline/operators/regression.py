@@ -111,7 +111,7 @@ def population_line(obs: DataFrame) -> DataFrame:
 def quadratic(obs: DataFrame, *keys: str) -> DataFrame:
     """Y on 1, x, x**2 per group from power sums, about each group's own mean of x.
 
-    Returns a (constant), b, c and the variance of c; groups with under 4 rows or without
+    Returns a (constant), b, c, the variance of c and the sums of powers p2 to p4; groups with under 4 rows or without
     three different x have none.
     """
     w = Window.partitionBy(*keys)
@@ -130,4 +130,22 @@ def quadratic(obs: DataFrame, *keys: str) -> DataFrame:
     c = (-q0 * p2 * p2 - q1 * n * p3 + q2 * n * p2) / det
     fitted = powers.withColumns({"a": a, "b": b, "c": c})
     residual = F.greatest(F.col("yy") - F.col("a") * q0 - F.col("b") * q1 - F.col("c") * q2, F.lit(0.0))
-    return fitted.select(*keys, "n", "mean_x", "a", "b", "c", (residual / F.greatest(n - 3, F.lit(1.0)) * n * p2 / det).alias("v_c"))
+    return fitted.select(*keys, "n", "mean_x", "p2", "p3", "p4", "a", "b", "c", (residual / F.greatest(n - 3, F.lit(1.0)) * n * p2 / det).alias("v_c"))
+
+
+def robust_errors(obs: DataFrame, fitted: DataFrame, *keys: str) -> DataFrame:
+    """Standard errors of b and c of quadratic() that allow for unequal variances (HC1), and z = estimate / error.
+
+    A second pass over the rows: an error is the norm of the residuals weighted by their part in
+    the estimate, by degrees of freedom.  Groups with under 4 rows have no fit and are not there;
+    z is null where the fit is exact.
+    """
+    n, p2, p3, p4 = (F.col(c) for c in ("n", "p2", "p3", "p4"))
+    det = n * (p2 * p4 - p3 * p3) - p2 * p2 * p2
+    d = F.col("x") - F.col("mean_x")
+    e = F.col("y") - F.col("a") - F.col("b") * d - F.col("c") * d * d
+    part = {"b": (p2 * p3 + (n * p4 - p2 * p2) * d - n * p3 * d * d) / det, "c": (n * p2 * d * d - n * p3 * d - p2 * p2) / det}
+    rows = obs.select(*keys, "x", "y").join(fitted.where("n >= 4 and a is not null"), list(keys))
+    errors = rows.groupBy(*keys, "n", "b", "c").agg(*(F.sum(e * e * w * w).alias(f"v_{k}") for k, w in part.items()))
+    se = {k: F.sqrt(F.col(f"v_{k}") * F.col("n") / F.greatest(n - 3, F.lit(1.0))) for k in part}
+    return errors.select(*keys, *(se[k].alias(f"se_{k}") for k in part), *((F.col(k) / F.when(se[k] > 0, se[k])).alias(f"z_{k}") for k in part))

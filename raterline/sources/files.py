@@ -13,6 +13,7 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: What a message row holds.
 _FIELDS = {"message_id": "string", "parent_id": "string", "user_id": "string", "role": "string", "lang": "string", "created_date": "string", "review_count": "int", "rank": "int"}
@@ -37,6 +38,19 @@ def read_json_lines(spark: SparkSession, path: str, schema: str | None = None, *
     return df.repartition(partitions) if partitions else df
 
 
+def read_log(spark: SparkSession, path: str, fields: dict[str, tuple[str, str]]) -> DataFrame:
+    """Lines of a text log as `line` and typed fields, each name: (pattern with one group, type); null where a line lacks one."""
+    text = spark.read.text(path).withColumnRenamed("value", "line")
+    found = {name: F.when(F.col("line").rlike(pattern), F.regexp_extract("line", pattern, 1)).cast(kind).alias(name) for name, (pattern, kind) in fields.items()}
+    return text.select("line", *found.values())
+
+
+def sections(log: DataFrame, start: str, *keys: str, order: str) -> DataFrame:
+    """`section` counts the lines of a stream (keys) that match `start`, up to and with each line; 0 before the first."""
+    upto = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return log.withColumn("section", F.sum(F.col("line").rlike(start).cast("long")).over(upto))
+
+
 def read_summary(path: str) -> dict:
     """S3: a small JSON summary, on the driver."""
     return json.loads(Path(path).read_text())
