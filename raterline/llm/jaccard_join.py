@@ -287,7 +287,10 @@ def blocks_of(bytes_: F.Column, sets: F.Column, block_bytes: int, block_sets: in
 
 
 def set_rows(members: DataFrame, texts: DataFrame, n: int) -> DataFrame:
-    """(key, set_a, grams) of the members; texts: key, text.  set_a tells texts apart that share a key by accident."""
+    """members with their grams, one row each; texts: key, text, in which rows may repeat.
+
+    set_a tells texts apart that share a key by accident.
+    """
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in (p for b in batches for p in slices(b)):
@@ -297,6 +300,8 @@ def set_rows(members: DataFrame, texts: DataFrame, n: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array([p.tobytes() for p in np.split(gram, cuts[:-1])], pa.binary())], names=["key", "set_a", "grams"])
 
     needed = texts.join(members.select("key"), "key", "left_semi").mapInArrow(grams, schema(key="long", set_a="long", grams="binary"))
+    # Documents that repeat both id and text share a key.  The join below deals rows out by the same columns.
+    needed = needed.dropDuplicates(["key", "set_a"])
     return members.join(needed, ["key", "set_a"])
 
 

@@ -95,6 +95,30 @@ def test_repeated_rows_and_empty(twice, empty):
     assert sorted(r.doc_id for r in jaccard_join.one_of_each(twice).collect()) == [1, 2, 3, 3]
 
 
+def test_rows_that_repeat_in_large_classes(spark):
+    """Near copies beyond one block, some rows standing twice or often, and two classes that only a straggler joins."""
+    rows = list(enumerate(near_copies(620)))
+    rows += rows[:9] + rows[:1] * 3
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = jaccard_join.near_duplicates(d).collect()
+    assert sorted(r.doc_id for r in got) == sorted(i for i, _ in rows)
+    assert found(jaccard_join.near_duplicates(d)) == brute(rows)
+    assert sorted(r.class_id for r in jaccard_join.near_duplicates(d, count=False).collect()) == [0] * len(rows)
+    assert jaccard_join.one_of_each(d).count() == 1
+
+
+def test_repeated_rows_in_classes_joined_late(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join.verified, "__kwdefaults__", {**jaccard_join.verified.__kwdefaults__, "block_bytes": 40_000, "block_sets": 16})
+    words = [f"t{i}" for i in range(300)]
+    change = lambda k, n: " ".join([*(f"x{k}_{i}" for i in range(n)), *words[n:]])
+    rows = list(enumerate([*(change(k, 20) for k in range(20)), *(" ".join([*words[:280], *(f"y{k}_{i}" for i in range(20))]) for k in range(20)), " ".join(words)]))
+    rows += [*rows[::3], rows[-1], rows[-1]]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows)
+    assert found(jaccard_join.near_duplicates(d)) == want
+    assert sorted(r.class_id for r in jaccard_join.near_duplicates(d, count=False).collect()) == sorted(r[2] for r in want)
+
+
 def test_one_of_each_keeps_columns(docs):
     kept = jaccard_join.one_of_each(docs)
     assert kept.columns == docs.columns
