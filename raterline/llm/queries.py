@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from raterline.llm import decontamination, fingerprints, jaccard_join, language_id, packing, quality, secret_scan, substring_dedup, suffix_dedup, toxicity
+from raterline.llm import decontamination, fingerprints, jaccard_join, language_id, packing, quality, secret_scan, substring_dedup, suffix_dedup, token_counts, toxicity
 from raterline.llm.common import fold_of, table
 
 ORACLE_SQL: dict[str, str] = {}
@@ -144,3 +144,8 @@ SELECT d.doc_id, c.class_id, CAST(coalesce(l.n, 0) AS BIGINT) AS n_links
 FROM d JOIN (SELECT x, min(y) AS class_id FROM reach GROUP BY x) c ON c.x = d.doc_id
 LEFT JOIN (SELECT x, count(*) AS n FROM links GROUP BY x) l ON l.x = d.doc_id
 """
+
+
+@query
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
