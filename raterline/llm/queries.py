@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from raterline.llm import decontamination, fingerprints, jaccard_join, language_id, packing, quality, secret_scan, substring_dedup, suffix_dedup, token_counts, toxicity
+from raterline.llm import conversation_trie, decontamination, fingerprints, jaccard_join, language_id, packing, quality, secret_scan, substring_dedup, suffix_dedup, token_counts, toxicity
 from raterline.llm.common import fold_of, table
 
 ORACLE_SQL: dict[str, str] = {}
@@ -149,3 +149,44 @@ LEFT JOIN (SELECT x, count(*) AS n FROM links GROUP BY x) l ON l.x = d.doc_id
 @query
 def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
+@query
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+ORACLE_SQL["op12_conversation_trie"] = """
+WITH RECURSIVE ids AS (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL),
+bits AS (
+  SELECT range AS byte, range AS crc, 0 AS n FROM range(0, 256)
+  UNION ALL SELECT byte, CASE WHEN crc % 2 = 1 THEN xor(crc // 2, 3988292384) ELSE crc // 2 END, n + 1 FROM bits WHERE n < 8
+),
+crc AS (
+  SELECT conv_id, CAST(conv_id AS VARCHAR) AS digits, CAST(4294967295 AS BIGINT) AS crc, 1 AS i FROM ids
+  UNION ALL SELECT c.conv_id, c.digits, xor(c.crc // 256, b.crc), i + 1
+  FROM crc c JOIN bits b ON b.n = 8 AND b.byte = xor(c.crc % 256, ascii(substr(c.digits, i, 1))) WHERE i <= length(c.digits)
+),
+heads AS (SELECT conv_id, xor(crc, 4294967295) % 9 AS h FROM crc WHERE i = length(digits) + 1),
+raw AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+hashed AS (SELECT conv_id, turn, md5(concat(octet_length(encode(role)), ':', role, text)) AS m, octet_length(encode(text)) AS b FROM raw),
+own AS (SELECT conv_id, list({'m': m, 'b': b} ORDER BY turn NULLS FIRST, m) AS t FROM hashed GROUP BY conv_id),
+rebuilt AS (
+  SELECT o.conv_id, list_concat(coalesce(s.t[1 : h], []), o.t[h + 1 :]) AS t
+  FROM own o JOIN heads USING (conv_id) LEFT JOIN own s ON s.conv_id = o.conv_id - o.conv_id % 5
+),
+prefixes AS (SELECT conv_id, len(t) AS n, d, t[1 : d] AS p, CASE WHEN d > 0 THEN t[d].b ELSE 0 END AS b FROM rebuilt, LATERAL (SELECT unnest(range(0, len(t) + 1)) AS d)),
+nodes AS (
+  SELECT p, d, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(b) AS b, coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (n = d), '') AS ends
+  FROM prefixes GROUP BY p, d
+),
+children AS (SELECT p[1 : d - 1] AS p, d - 1 AS d, count(*) AS n FROM nodes WHERE d > 0 GROUP BY ALL),
+sized AS (SELECT x.*, coalesce(c.n, 0) AS n_children FROM nodes x LEFT JOIN children c ON c.p = x.p AND c.d = x.d),
+below AS (
+  SELECT p[1 : a] AS p, a AS d, sum((n_convs - 1) * b) AS saved, count(*) FILTER (n_children = 0) AS leaves
+  FROM sized, LATERAL (SELECT unnest(range(0, d + 1)) AS a) GROUP BY ALL
+)
+SELECT x.conv_id, CAST(x.d AS BIGINT) AS depth, up.conv_id AS parent_conv_id, CAST(x.n_convs AS BIGINT) AS n_convs, CAST(x.n_children AS BIGINT) AS n_children,
+       CAST(w.leaves AS BIGINT) AS n_leaves, CAST(w.saved AS BIGINT) AS saved_tokens, sha256(x.ends) AS ends_sha256
+FROM sized x JOIN below w ON w.p = x.p AND w.d = x.d LEFT JOIN nodes up ON up.d = x.d - 1 AND up.p = x.p[1 : x.d - 1]
+"""
