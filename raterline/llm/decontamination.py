@@ -12,6 +12,9 @@ Only DataFrame functions run here.  The steps:
 4. The lists of the window's other words are met at the places where an alignment needs them,
    within the documents that have one.  A window whose words are all met is a phrase match.
 
+Windows, alignments and met words are rows throughout, so the work grows with the words of an
+item, not with their square.
+
 `proximity_matches` asks the same index for all words of a query within a span of words.
 
 Item words, being a test set, are small next to the corpus; they are broadcast while their
@@ -19,9 +22,9 @@ number is at most `BROADCAST_TERMS`, and joined by shuffle beyond it.  All corpu
 results are keyed by document and position, so that a passage shared by a third of all
 documents is spread over as many keys as there are documents.
 
-Defined cases: null texts have no words; items with null ids or without words are left out;
-rows of the benchmark that share an item_id are one item with the windows of both; repeated
-documents are each answered; empty tables give empty results or no hits; further columns are
+Defined cases: null texts have no words; items without words are left out; rows of the
+benchmark that share an item_id are one item with the windows of both, as are those without
+item_id, which count among the items and give no name; repeated documents are each answered; empty tables give empty results or no hits; further columns are
 ignored.
 """
 
@@ -51,8 +54,8 @@ def word_array(text: Column) -> Column:
 
 
 def item_windows(benchmark: DataFrame, window: int) -> DataFrame:
-    """item (a hash of id and text), item_id, words, and the length and starts of its windows."""
-    items = benchmark.where(F.col("item_id").isNotNull()).select(F.xxhash64("item_id", "text").alias("item"), F.col("item_id").cast("string").alias("item_id"), word_array(F.col("text").cast("string")).alias("words"))
+    """item (a hash of id and text), item_id, words, and the length of its windows."""
+    items = benchmark.select(F.xxhash64("item_id", "text").alias("item"), F.col("item_id").cast("string").alias("item_id"), word_array(F.col("text").cast("string")).alias("words"))
     return items.where(F.size("words") > 0).dropDuplicates(["item"]).withColumn("length", F.least(F.lit(window), F.size("words")))
 
 
@@ -68,7 +71,7 @@ def tokens(docs: DataFrame) -> DataFrame:
 
 @dataclass
 class Index:
-    """terms: term, t (its number); postings: t, key, pos; n_terms: rows of terms."""
+    """terms: term, t (its number); postings: t, key, pos; n_terms: rows of terms, or more where terms are long."""
 
     terms: DataFrame
     postings: DataFrame
@@ -78,44 +81,45 @@ class Index:
 def build_index(docs: DataFrame, texts: DataFrame) -> Index:
     """Store the postings of all words of `texts` (words: array) in docs, as keyed() gives them."""
     terms = written(texts.select(F.explode("words").alias("term")).distinct().withColumn("t", F.monotonically_increasing_id()), "terms")
-    n = terms.count()
+    # A term of over 64 bytes counts as several.
+    n = terms.agg(F.sum(F.ceil(F.octet_length("term") / 64))).head()[0] or 0
     return Index(terms, written(tokens(docs).join(small(terms, n), "term").select("t", "key", "pos"), "postings"), n)
 
 
-def rare_places(index: Index, items: DataFrame, places: DataFrame, n_places: int, lists: int = 2) -> tuple[DataFrame, DataFrame]:
+def rare_pairs(index: Index, items: DataFrame, places: DataFrame, n_places: int) -> tuple[DataFrame, DataFrame]:
     """Which places of each item to look up first.
 
-    places: item, place, t.  Returns (item, length, rare: array<struct<start, places>>), one
-    entry per window with the places of its `lists` rarest words, rarest first; and (item,
-    place, t) of all those places.  Windows with a word that no document has are left out.
+    places: item, place, t.  Returns (item, a, b, start), one row per window with the places of
+    its two rarest words, a < b (both the one, if it has one word); and (item, a, b, place, part,
+    t), the ends of each such pair: part is 1 for a, 2 for b and 3 for both.  Windows with a word
+    that no document has are left out.  Rows grow with the words of an item, whatever its length.
     """
     counted = written(index.postings.groupBy("t").agg(F.count("*").alias("n")), "term-counts")
-    known = places.join(small(counted, index.n_terms), "t", "left").join(items.select("item", "length", (F.size("words") - F.col("length")).alias("last")), "item")
+    spans = items.select("item", "length", (F.size("words") - F.col("length")).alias("last"))
+    known = places.join(small(counted, index.n_terms), "t").join(spans, "item")
     # A word at place p stands in the windows that start from p - length + 1 to p.
     starts = F.sequence(F.greatest(F.lit(0), F.col("place") - F.col("length") + 1), F.least("place", "last"))
-    per_window = (
-        known.select("item", "length", "place", "t", "n", F.explode(starts).alias("start"))
-        .groupBy("item", "length", "start").agg(F.sort_array(F.collect_list(F.struct("n", "place", "t"))).alias("words"))
-        .where(~F.exists("words", lambda w: w["n"].isNull()))
-        .select("item", "length", "start", F.slice("words", 1, lists).alias("rare"))
+    rare = (
+        known.select("item", "length", "place", "n", F.explode(starts).alias("start"))
+        .groupBy("item", "length", "start").agg(F.sort_array(F.collect_list(F.struct("n", "place"))).alias("words"))
+        .where(F.size("words") == F.col("length"))
     )
-    per_window = written(per_window, "rare-places")
-    chosen = per_window.select("item", F.explode("rare").alias("w")).select("item", "w.place", "w.t").distinct()
-    per_item = per_window.groupBy("item", "length").agg(F.collect_list(F.struct("start", F.transform("rare", lambda w: w["place"]).alias("places"))).alias("rare"))
-    return per_item, chosen
+    first, second = F.col("words")[0]["place"], F.coalesce(F.get("words", F.lit(1))["place"], F.col("words")[0]["place"])
+    windows = written(rare.select("item", F.least(first, second).alias("a"), F.greatest(first, second).alias("b"), "start"), "rare-pairs")
+    end = lambda place, part: F.struct(place.alias("place"), F.lit(part).alias("part"))
+    ends = F.when(F.col("a") == F.col("b"), F.array(end(F.col("a"), 3))).otherwise(F.array(end(F.col("a"), 1), end(F.col("b"), 2)))
+    return windows, windows.select("item", "a", "b").distinct().select("item", "a", "b", F.inline(ends)).join(places, ["item", "place"])
 
 
 def alignments(index: Index, items: DataFrame, places: DataFrame, n_places: int) -> DataFrame:
-    """(key, item, length, shift, starts): where shifted postings of a window's rarest words meet.
+    """(key, item, shift, start): windows whose rarest words meet where item and document line up.
 
     shift: the document position that the item's first word would have.
     """
-    rare, chosen = rare_places(index, items, places, n_places)
-    shifted = index.postings.join(small(chosen, n_places), "t").select("item", "key", (F.col("pos") - F.col("place")).alias("shift"), "place")
-    met = shifted.groupBy("item", "key", "shift").agg(F.collect_set("place").alias("met"))
-    whole = F.filter("rare", lambda w: F.size(F.array_except(w["places"], F.col("met"))) == 0)
-    starts = F.transform(whole, lambda w: w["start"])
-    return met.join(small(rare, n_places), "item").select("key", "item", "length", "shift", starts.alias("starts")).where(F.size("starts") > 0)
+    windows, ends = rare_pairs(index, items, places, n_places)
+    shifted = index.postings.join(small(ends, 2 * n_places), "t").select("key", "item", "a", "b", (F.col("pos") - F.col("place")).alias("shift"), "part")
+    met = shifted.groupBy("key", "item", "a", "b", "shift").agg(F.bit_or("part").alias("met")).where("met = 3")
+    return met.join(small(windows, n_places), ["item", "a", "b"]).select("key", "item", "shift", "start")
 
 
 def phrase_hits(docs: DataFrame, benchmark: DataFrame, *, window: int = 10) -> DataFrame:
@@ -124,16 +128,18 @@ def phrase_hits(docs: DataFrame, benchmark: DataFrame, *, window: int = 10) -> D
     index = build_index(docs, items)
     places = written(items.select("item", F.posexplode("words").alias("place", "term")).join(small(index.terms, index.n_terms), "term").select("item", "place", "t"), "item-places")
     n_places = places.count()
+    lengths = items.select("item", "length", "item_id")
     found = written(alignments(index, items, places, n_places), "alignments")
-    whole = lambda s: F.sequence(s, s + F.col("length") - 1)
-    needed = found.select("key", "item", "length", "shift", "starts", F.explode(F.array_distinct(F.flatten(F.transform("starts", whole)))).alias("place"))
-    cells = needed.join(small(places, n_places), ["item", "place"]).withColumn("pos", F.col("shift") + F.col("place"))
+    # Each word that a window needs is looked up once, however many windows need it.
+    wanted = found.join(small(lengths, n_places), "item").select("key", "item", "shift", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("length") - 1)).alias("place")).distinct()
+    cells = wanted.join(small(places, n_places), ["item", "place"]).withColumn("pos", F.col("shift") + F.col("place"))
     keys = found.select("key").distinct()
     lists = index.postings.join(small(keys, keys.count()), "key", "left_semi").distinct()
-    met = cells.join(lists, ["key", "pos", "t"]).groupBy("key", "item", "length", "shift", "starts").agg(F.collect_set("place").alias("met"))
-    full = F.filter("starts", lambda s: F.size(F.array_except(whole(s), F.col("met"))) == 0)
-    hits = met.select("key", "item", "length", "shift", F.explode(full).alias("start"))
-    return hits.join(small(items.select("item", "item_id"), n_places), "item").select("key", "item_id", (F.col("shift") + F.col("start")).alias("at"), "length")
+    met = cells.join(lists, ["key", "pos", "t"]).select("key", "item", "shift", "place").join(small(lengths, n_places), "item")
+    # A window stands there if all its places are met; each of them counts for the windows it is in.
+    starts = F.sequence(F.col("place") - F.col("length") + 1, F.col("place"))
+    full = met.select("key", "item", "item_id", "shift", "length", F.explode(starts).alias("start")).groupBy("key", "item", "item_id", "shift", "length", "start").agg(F.count("*").alias("n")).where("n = length")
+    return full.select("key", "item_id", (F.col("shift") + F.col("start")).alias("at"), "length")
 
 
 def phrase_matches(docs: DataFrame, benchmark: DataFrame, *, window: int = 10) -> DataFrame:
@@ -149,12 +155,15 @@ def phrase_matches(docs: DataFrame, benchmark: DataFrame, *, window: int = 10) -
 
 def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = 10) -> DataFrame:
     """Per document: words, hit words, items found, and whether it is contaminated."""
-    matched = phrase_matches(keyed(docs), benchmark, window=window)
-    covered = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["at"], h["at"] + h["length"] - 1))))
-    names = F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["item_id"])))
-    return matched.select("doc_id", F.col("n_words").cast("long").alias("n_words"), F.size(covered).cast("long").alias("n_hit"), names.alias("_names")).select(
-        "doc_id", "n_words", "n_hit", F.size("_names").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "_names"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated")
-    )
+    own = keyed(docs)
+    hits = written(phrase_hits(own, benchmark, window=window), "hits")
+    covered = hits.select("key", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("length") - 1)).alias("pos")).distinct().groupBy("key").agg(F.count("*").alias("n_hit"))
+    # Items without id are one, of which no name is listed.
+    named = hits.select("key", "item_id").distinct().groupBy("key").agg(F.count("*").alias("n_items"), F.array_sort(F.collect_list("item_id")).alias("names"))
+    counted = own.select("key", "doc_id", F.size(word_array(F.col("text"))).cast("long").alias("n_words")).join(covered.join(named, "key"), "key", "left")
+    n_hit = F.coalesce("n_hit", F.lit(0))
+    names = F.concat_ws(",", F.coalesce("names", F.array().cast("array<string>")))
+    return counted.select("doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).alias("n_items"), F.sha2(names, 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = 10) -> DataFrame:

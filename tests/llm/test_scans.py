@@ -24,12 +24,13 @@ def brute_hits(rows, items, window=10):
         for name, item in items:
             b = words(item)
             n = min(window, len(b))
-            for k in range(len(b) - n + 1) if n and name is not None else ():
+            for k in range(len(b) - n + 1) if n else ():
                 for p in range(len(w) - n + 1):
                     if w[p : p + n] == b[k : k + n]:
                         hit |= set(range(p, p + n))
-                        names.add(str(name))
-        out.append((i, len(w), len(hit), len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(), bool(hit)))
+                        names.add(name)
+        listed = ",".join(sorted(str(name) for name in names if name is not None))
+        out.append((i, len(w), len(hit), len(names), hashlib.sha256(listed.encode()).hexdigest(), bool(hit)))
     return out
 
 
@@ -61,6 +62,16 @@ def test_decontamination_repeated_rows_and_no_broadcast(spark, docs, texts, monk
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_long_items(spark):
+    """Items of thousands of words, of few different ones: as many alignments as there may be, and every word hit."""
+    rng = np.random.default_rng(4)
+    long = [f"w{k}" for k in rng.integers(0, 900, 6000)]
+    rows = [(1, " ".join(long)), (2, " ".join(["x", *long[3000:3500], "y"])), (3, " ".join(long[::-1])), (4, "z " * 3000)]
+    bench = spark.createDataFrame([(7, " ".join(long)), (None, "z " * 40)], "item_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.contaminated) for r in decontamination.contamination(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert got == {1: (6000, 6000, 1, True), 2: (502, 500, 1, True), 3: (6000, 0, 0, False), 4: (3000, 3000, 1, True)}
+
+
 def test_proximity(spark):
     rows = [(1, "alpha x beta y gamma"), (2, "alpha " + "x " * 30 + "beta gamma"), (3, None), (4, "gamma beta alpha"), (5, "Beta alpha alpha, alpha; x x gamma beta"), (6, "alpha beta")]
     d = spark.createDataFrame(rows, "doc_id long, text string")
