@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from raterline.llm.common import schema, scored, unused, written
-from raterline.llm.sampling import by_class, hashed_share, sizes
+from raterline.llm.sampling import by_class, sizes
 from raterline.llm.textvec import byte_values, mix, prefix_hash, range_hash, slab, slices, words
 
 BITS = 20
@@ -95,22 +95,22 @@ def _sets(df: DataFrame) -> tuple[list[np.ndarray], np.ndarray]:
     return [np.frombuffer(w, "<u4").astype(np.int64) for _, w in rows], np.array([y for y, _ in rows], int)
 
 
-def fit(docs: DataFrame, positive: DataFrame, prior: float | None = None, *, exclude: Column | None = None, positives: int = 3000, unlabelled: int = 9000) -> WordModel | None:
+def fit(docs: DataFrame, positive: DataFrame, prior: float | None = None, *, exclude: Column | None = None, positives: int = 3000, unlabelled: int = 9000, most_bytes: int = 1 << 26) -> WordModel | None:
     """Fit on confirmed positives (a DataFrame of doc_id) and unlabelled texts.
 
     prior: the share of toxic texts; estimated if not given.  exclude: a condition on docs for
     rows never to learn from, labelled or not.  At most about `positives` and `unlabelled` rows
-    are used, drawn by a hash of doc_id.
+    are used, drawn by a hash of doc_id, and about `most_bytes` of the texts of either; long texts
+    are drawn at a lower share, as sampling.by_class has it.
     """
     pool = docs.where(F.col("doc_id").isNotNull()) if exclude is None else docs.where(F.col("doc_id").isNotNull() & ~exclude)
     pool = pool.select("doc_id", F.col("text").cast("string").alias("text"))
-    labelled = sizes(pool).join(positive.select("doc_id").distinct(), "doc_id", "left_semi").withColumn("label", F.lit(1))
-    # Bounded by `positives`, so broadcast: no text is shuffled.
-    chosen = written(by_class(labelled, "label", positives, "toxic", most_bytes=1 << 26).select("doc_id", "label").distinct(), "chosen")
-    known = pool.join(F.broadcast(chosen), "doc_id")
-    n = pool.count()
-    other = pool.where(hashed_share("unlabelled") < min(1.0, unlabelled / max(n, 1))).select(F.lit(0).alias("label"), "text")
-    sets, y = _sets(known.select("label", "text").unionByName(other))
+    sized = sizes(pool)
+    labelled = sized.join(positive.select("doc_id").distinct(), "doc_id", "left_semi").withColumn("label", F.lit(1))
+    draw = lambda rows, most, seed: by_class(rows, "label", most, seed, most_bytes=most_bytes).select("doc_id", "label").distinct()
+    # Bounded by `positives` and `unlabelled`, so broadcast: no text is shuffled.
+    chosen = written(draw(labelled, positives, "toxic").unionByName(draw(sized.withColumn("label", F.lit(0)), unlabelled, "unlabelled")), "chosen")
+    sets, y = _sets(pool.join(F.broadcast(chosen), "doc_id").select("label", "text"))
     if not (y == 1).any() or not (y == 0).any():
         return None
     return fit_sets(sets, y, prior)

@@ -67,6 +67,29 @@ def test_every_class_is_learned(spark):
     assert all(60 < r["count"] < 150 for r in few)
 
 
+def test_no_class_is_lost_by_size(spark):
+    """Languages and labels that only long texts bear are learned; long texts are drawn at a lower share; one row a class at least."""
+    english, french = "the dog and the cat run to the house ", "le chien et le chat vont dans la maison "
+    rows = [(k, english * 3, "en") for k in range(60)] + [(100 + k, french * 16_000, "fr") for k in range(4)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(d)
+    assert model.languages == ["en", "fr"]
+    odd = spark.createDataFrame([(1, "le chien et le chat"), (2, "the dog and the cat")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.lang_pred) for r in language_id.predict(odd, model).collect()) == [(1, "fr"), (2, "en")]
+    labels = d.selectExpr("doc_id", "cast(lang = 'fr' as int) as label")
+    net = quality.fit(d.select("doc_id", "text"), labels)
+    assert isinstance(net, quality.Network)
+    scores = {r.doc_id: r.score for r in quality.score(odd, net).collect()}
+    assert scores[1] > scores[2]
+    sized = spark.createDataFrame([(k, 3_000_000 if k < 40 else 100, 1) for k in range(400)] + [(1000, 0, 2), (1001, 50_000_000, 2), (1002, 40_000_000, 2), (1003, 0, 3)], "doc_id long, size long, y int")
+    drawn = by_class(sized, "y", 300, "s", most_bytes=1 << 20).collect()
+    assert 0 < sum(r.size for r in drawn if r.y == 1) < 8 << 20
+    assert any(r.size == 100 for r in drawn) and {r.y for r in drawn} == {1, 2, 3}
+    assert min(r.size for r in drawn if r.y == 2 and r.size) == 40_000_000
+    many = spark.range(30_000).selectExpr("id as doc_id", "10 as size", "id div 2 as y")
+    assert by_class(many, "y", 5, "s").select("y").distinct().count() == 15_000
+
+
 def test_training_chunks_are_those_of_scoring():
     import pyarrow as pa
 
