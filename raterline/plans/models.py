@@ -22,18 +22,35 @@ def rater_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def r4_mixed_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conditional lines, with the model that could be fitted (see mixed.shapes) and whether it converged."""
     c = regression.centred(complete(events(spark, sf_dir)))
     s = written(mixed.power_sums(c, "rater"), "power-sums")
-    return rounded(mixed.effects(s, mixed.fit(s)))
+    m = mixed.fit(s)
+    return rounded(mixed.effects(s, m)).withColumns({"structure": F.lit(m.structure), "converged": F.lit(m.converged)})
 
 
 @query()
 def r4b_quadratic_mixed_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """About the grand means and in units of ten x, so that the powers stay of one size.  converged: did EM reach its tolerance?"""
-    c = regression.centred(complete(events(spark, sf_dir))).withColumn("cx", F.col("cx") / 10)
+    """About the grand means."""
+    c = regression.centred(complete(events(spark, sf_dir)))
     s = written(mixed.power_sums(c, "rater", degree=2), "power-sums")
     m = mixed.fit(s, degree=2)
-    return rounded(mixed.effects(s, m)).withColumn("converged", F.lit(m.converged))
+    return rounded(mixed.effects(s, m)).withColumns({"structure": F.lit(m.structure), "converged": F.lit(m.converged)})
+
+
+@query()
+def r4_variance_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Population coefficients with errors, covariances and noise of both mixed models."""
+    c = regression.centred(complete(events(spark, sf_dir)))
+    s = written(mixed.power_sums(c, "rater", degree=2), "power-sums")
+    rows = []
+    for degree in (1, 2):
+        m = mixed.fit(s, degree=degree)
+        at = {"model": ("linear", "quadratic")[degree - 1], "structure": m.structure, "converged": m.converged}
+        rows += [(*at.values(), f"beta_{k}", float(m.beta[k]), float(m.beta_covariance[k, k] ** 0.5)) for k in range(degree + 1)]
+        rows += [(*at.values(), f"covariance_{i}{j}", float(m.covariance[i, j]), None) for i in range(degree + 1) for j in range(i + 1)]
+        rows += [(*at.values(), "noise", m.noise, None), (*at.values(), "log_likelihood", m.log_likelihood, None)]
+    return spark.createDataFrame(rows, "model string, structure string, converged boolean, name string, value double, error double")
 
 
 @query()

@@ -121,28 +121,109 @@ def test_mixed_model_recovers_and_shrinks(spark):
     assert mixed.effects(sums, m).count() == 300
 
 
-def test_mixed_model_reaches_the_restricted_likelihood(spark):
-    """The likelihood of the fit, computed densely, is no lower than at points around it."""
-    p = regression.centred(simulated(spark, 25, 6)).select("rater", "cx", "cy").toPandas()
-    m = mixed.fit(mixed.power_sums(regression.centred(simulated(spark, 25, 6)), "rater"), iterations=60, tolerance=1e-7)
-
-    def reml(d, noise):
-        left, right, total = np.zeros((2, 2)), np.zeros(2), 0.0
-        parts = []
-        for _, g in p.groupby("rater"):
-            x, y = np.column_stack([np.ones(len(g)), g.cx]), g.cy.to_numpy()
-            v = x @ d @ x.T + noise * np.eye(len(g))
-            inv = np.linalg.inv(v)
-            left += x.T @ inv @ x
-            right += x.T @ inv @ y
-            total -= 0.5 * np.linalg.slogdet(v)[1]
-            parts.append((x, y, inv))
-        beta = np.linalg.solve(left, right)
-        return total - 0.5 * np.linalg.slogdet(left)[1] - 0.5 * sum((y - x @ beta) @ inv @ (y - x @ beta) for x, y, inv in parts)
-
-    best = reml(m.covariance, m.noise)
-    for scale in (0.8, 1.25):
-        assert best >= reml(m.covariance * scale, m.noise) - 1e-2 and best >= reml(m.covariance, m.noise * scale) - 1e-2
+def dense_reml(groups, power, x_power, d, noise):
+    """Restricted log-likelihood from whole covariance matrices; random effects of powers up to `power`."""
+    left, right, total, n = np.zeros((x_power + 1, x_power + 1)), np.zeros(x_power + 1), 0.0, 0
+    parts = []
+    for cx, y in groups:
+        x = np.stack([cx**k for k in range(x_power + 1)], axis=1)
+        z = x[:, : power + 1]
+        v = z @ d @ z.T + noise * np.eye(len(y))
+        inv = np.linalg.inv(v)
+        left += x.T @ inv @ x
+        right += x.T @ inv @ y
+        total -= 0.5 * np.linalg.slogdet(v)[1]
+        n += len(y)
+        parts.append((x, y, inv))
+    beta = np.linalg.solve(left, right)
+    value = total - 0.5 * (n - x_power - 1) * np.log(2 * np.pi) - 0.5 * np.linalg.slogdet(left)[1] - 0.5 * sum((y - x @ beta) @ inv @ (y - x @ beta) for x, y, inv in parts)
+    return value, beta
+
+
+def climbed(f, at, steps=200):
+    """Maximise f by Newton steps with numerical derivatives, which knows nothing of mixed models."""
+    value, k, h = f(at), len(at), 1e-4
+    for _ in range(steps):
+        e = h * np.eye(k)
+        g = np.array([(f(at + e[i]) - f(at - e[i])) / (2 * h) for i in range(k)])
+        m = np.array([[(f(at + e[i] + e[j]) - f(at + e[i] - e[j]) - f(at - e[i] + e[j]) + f(at - e[i] - e[j])) / (4 * h * h) for j in range(k)] for i in range(k)])
+        w, v = np.linalg.eigh(m)
+        step = v @ ((v.T @ g) / np.maximum(np.abs(w), 1e-6))
+        step = step / max(1.0, np.abs(step).max())
+        while f(at + step) < value and np.abs(step).max() > 1e-12:
+            step = step / 2
+        if f(at + step) - value < 1e-10:
+            break
+        at, value = at + step, f(at + step)
+    return at, value
+
+
+def rater_groups(spark, raters, size, degree, seed, effects):
+    rng = np.random.default_rng(seed)
+    rows, groups = [], []
+    for r in range(raters):
+        n = size + r % 3
+        x = rng.normal(size=n)
+        b = rng.normal(size=degree + 1) * effects
+        y = sum((1.0 + b[k]) * x**k for k in range(degree + 1)) + rng.normal(size=n) * 0.7
+        rows += [(r, float(a), float(c)) for a, c in zip(x, y)]
+        groups.append((x, y))
+    return spark.createDataFrame(rows, "rater int, cx double, cy double"), groups
+
+
+@pytest.mark.parametrize("degree,effects", [(1, [1.0, 0.5]), (2, [1.0, 0.5, 0.4]), (1, [1.0, 0.0]), (2, [0.8, 0.0, 0.3])])
+def test_mixed_model_equals_a_plain_optimiser(spark, degree, effects):
+    """Inner maxima and such with a variance of zero."""
+    d, groups = rater_groups(spark, 30, 5, degree, 4, np.array(effects))
+    m = mixed.fit(mixed.power_sums(d, "rater", degree=degree), degree=degree, structures=mixed.shapes(degree + 1)[:1], tolerance=1e-9, passes=60)
+    p = degree + 1
+    cells = [(i, j) for i in range(p) for j in range(i + 1)]
+
+    def f(phi):
+        low = np.zeros((p, p))
+        for (i, j), v in zip(cells, phi):
+            low[i, j] = v
+        return dense_reml(groups, degree, degree, low @ low.T, np.exp(phi[-1]))[0]
+
+    start = np.array([*(0.5 if i == j else 0.0 for i, j in cells), 0.0])
+    at, best = climbed(f, start)
+    assert m.converged and m.structure == "full" and m.passes < 40
+    assert m.log_likelihood == pytest.approx(best, abs=1e-4)
+    assert m.log_likelihood == pytest.approx(dense_reml(groups, degree, degree, m.covariance, m.noise)[0], abs=1e-6)
+    low = np.zeros((p, p))
+    for (i, j), v in zip(cells, at):
+        low[i, j] = v
+    assert np.allclose(m.covariance, low @ low.T, atol=2e-3) and m.noise == pytest.approx(np.exp(at[-1]), rel=1e-3)
+    assert np.allclose(m.beta, dense_reml(groups, degree, degree, low @ low.T, np.exp(at[-1]))[1], atol=1e-3)
+
+
+def test_mixed_model_effects_are_the_best_linear_prediction(spark):
+    d, groups = rater_groups(spark, 12, 6, 2, 9, np.array([1.0, 0.5, 0.3]))
+    sums = mixed.power_sums(d, "rater", degree=2)
+    m = mixed.fit(sums, degree=2)
+    got = {r.rater: (r.intercept, r.slope, r.quadratic) for r in mixed.effects(sums, m).collect()}
+    for r, (x, y) in enumerate(groups):
+        z = np.stack([x**k for k in range(3)], axis=1)
+        want = m.beta + m.covariance @ z.T @ np.linalg.solve(z @ m.covariance @ z.T + m.noise * np.eye(len(y)), y - z @ m.beta)
+        assert np.allclose(got[r], want, atol=1e-8)
+
+
+def test_mixed_model_falls_back(spark):
+    """Two values of x tell two variances apart but no covariance; one row a rater tells none from the noise."""
+    rng = np.random.default_rng(8)
+    rows = [(r, float(r % 2), float(rng.normal() * (1 + 2 * (r % 2)) + e)) for r in range(200) for e in rng.normal(size=3)]
+    rows = [(r, x, y) for (r, x, y), e in zip(rows, np.repeat(rng.normal(size=200), 3)) for y in [float(y + e)]]
+    d = spark.createDataFrame(rows, "rater int, cx double, cy double")
+    m = mixed.fit(mixed.power_sums(d, "rater"))
+    assert m.converged and m.structure == "diagonal" and m.covariance[0, 1] == 0 and m.covariance[0, 0] > 0
+    quadratic = mixed.fit(mixed.power_sums(spark.createDataFrame([(r, float(r % 3), y) for r, _, y in rows], "rater int, cx double, cy double"), "rater", degree=2), degree=2)
+    assert quadratic.converged and quadratic.structure != "full"
+    one = mixed.fit(mixed.power_sums(d.dropDuplicates(["rater"]), "rater"))
+    assert not one.converged and one.structure == "intercept"
+    with pytest.raises(ValueError):
+        mixed.fit(mixed.power_sums(d.withColumn("cx", F.lit(1.0)), "rater"))
+    with pytest.raises(ValueError):
+        mixed.fit(mixed.power_sums(d.limit(0), "rater"))
 
 
 def test_kalman_without_drift_is_recursive_least_squares():
