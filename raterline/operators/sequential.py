@@ -1,7 +1,6 @@
-"""Models of ratings that drift, one rater at a time.
+"""Lines whose coefficients follow a spline in time (T1, state-space models, is in state_space).
 
-The recursions need a rater's rows in order, so each rater is one group of applyInArrow; a
-rater's rows are bounded by what one person rates.
+A rater's rows are one group of applyInArrow; they are bounded by what one person rates.
 """
 
 from __future__ import annotations
@@ -9,50 +8,6 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-
-def kalman_steps(x: np.ndarray, y: np.ndarray, *, drift: float, noise: float, rho: float = 1.0, prior: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, float]:
-    """(one-step forecasts, final state, log likelihood) of a line whose coefficients walk (rho 1) or revert (rho < 1).
-
-    Joseph-form updates keep the covariance positive.
-    """
-    mean = np.zeros(2) if prior is None else prior.astype(float)
-    centre, p = mean.copy(), np.eye(2) * 10.0
-    out, total = np.empty(len(x)), 0.0
-    for t in range(len(x)):
-        if t:
-            mean = centre + rho * (mean - centre)
-            p = rho * rho * p + drift * np.eye(2)
-        h = np.array([1.0, x[t]])
-        s = h @ p @ h + noise
-        out[t] = h @ mean
-        e = y[t] - out[t]
-        total -= 0.5 * (np.log(2 * np.pi * s) + e * e / s)
-        gain = p @ h / s
-        keep = np.eye(2) - np.outer(gain, h)
-        mean = mean + gain * e
-        p = keep @ p @ keep.T + noise * np.outer(gain, gain)
-    return out, mean, float(total)
-
-
-def kalman(obs: DataFrame, *, drift: float, noise: float, rho: float = 1.0) -> DataFrame:
-    """Per rater: final intercept and slope, one-step RMSE and log likelihood; rows by ts, obs_id."""
-
-    def run(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([("ts", "ascending"), ("obs_id", "ascending")])
-        x, y = rows.column("x").to_numpy(), rows.column("y").to_numpy()
-        forecast, state, likelihood = kalman_steps(x, y, drift=drift, noise=noise, rho=rho)
-        return pa.table({"rater": rows.column("rater").slice(0, 1), "n": [len(x)], "intercept": [state[0]], "slope": [state[1]], "rmse": [float(np.sqrt(np.mean((y - forecast) ** 2)))], "log_likelihood": [likelihood]})
-
-    kind = obs.schema["rater"].dataType.simpleString()
-    return obs.select("rater", "ts", "obs_id", "x", "y").groupBy("rater").applyInArrow(run, f"rater {kind}, n long, intercept double, slope double, rmse double, log_likelihood double")
-
-
-def best_drift(obs: DataFrame, drifts: list[float], noise: float) -> tuple[float, list[tuple[float, float]]]:
-    """The drift with the highest pooled likelihood, and all of them; one aggregate each."""
-    tried = [(q, float(kalman(obs, drift=q, noise=noise).agg(F.sum("log_likelihood")).head()[0] or -np.inf)) for q in drifts]
-    return max(tried, key=lambda t: t[1])[0], tried
 
 
 def spline_basis(t: np.ndarray, knots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from raterline.operators import inference, mixed, multivariate, preference, regression, sequential, shrinkage
+from raterline.operators import inference, mixed, multivariate, preference, regression, sequential, shrinkage, splits, state_space
 from raterline.plans.calibration import drawn_from, pairs, rounded
 from raterline.plans.registry import query
 from raterline.sources.files import walk, written
@@ -55,7 +55,26 @@ def r4_variance_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def t1_kalman_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(sequential.kalman(regression_scaled(spark, sf_dir), drift=0.01, noise=1.0))
+    """Filtered lines under the random walk of highest likelihood over all raters."""
+    z = regression_scaled(spark, sf_dir)
+    runs = state_space.drift_runs(z, state_space.priors(z))
+    return rounded(state_space.kalman(runs, state_space.fit_drift(runs, state_space.starting_drift(z))))
+
+
+@query()
+def t1_drift_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Step variances, persistence and noise of the random walk and of AR(1), with their likelihood."""
+    z = regression_scaled(spark, sf_dir)
+    runs = state_space.drift_runs(z, state_space.priors(z))
+    start = state_space.starting_drift(z)
+    rows = [(name, *d.rho, *d.q, d.noise, d.log_likelihood, d.evaluations, d.converged) for name, d in (("walk", state_space.fit_drift(runs, start)), ("reverting", state_space.fit_drift(runs, start, reverting=True)))]
+    return spark.createDataFrame(rows, "model string, rho_intercept double, rho_slope double, q_intercept double, q_slope double, noise double, log_likelihood double, evaluations int, converged boolean")
+
+
+@query()
+def t1_time_varying_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last fifth of each rater's rows, forecast by fixed and by drifting lines."""
+    return rounded(state_space.time_varying_arms(splits.temporal(regression_scaled(spark, sf_dir))))
 
 
 def regression_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:

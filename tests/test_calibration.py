@@ -226,16 +226,6 @@ def test_mixed_model_falls_back(spark):
         mixed.fit(mixed.power_sums(d.limit(0), "rater"))
 
 
-def test_kalman_without_drift_is_recursive_least_squares():
-    rng = np.random.default_rng(0)
-    x = rng.normal(size=60)
-    y = 1 + 2 * x + rng.normal(0, 0.1, 60)
-    _, state, _ = sequential.kalman_steps(x, y, drift=0.0, noise=0.01)
-    z = np.column_stack([np.ones(60), x])
-    ridge = np.linalg.solve(z.T @ z / 0.01 + np.eye(2) / 10, z.T @ y / 0.01)
-    assert state == pytest.approx(ridge, rel=1e-6)
-
-
 def test_bootstrap_is_the_same_each_time(spark, obs):
     rows = inference.numbered(obs.groupBy("rater").agg(F.avg("y").alias("m_y")))
     assert sorted(r.idx for r in rows.collect()) == list(range(40)) and {r.m for r in rows.collect()} == {40}
