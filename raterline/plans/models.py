@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from raterline.operators import inference, mixed, multivariate, preference, regression, sequential, shrinkage, splits, state_space
-from raterline.plans.calibration import drawn_from, pairs, rounded
+from raterline.plans.calibration import drawn_from, rounded
 from raterline.plans.registry import query
 from raterline.sources.files import walk, written
 from raterline.sources.observations import complete, events, orders, table
@@ -113,29 +113,53 @@ def b2_bca_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(round(t["gain"], 6), round(low, 6), round(high, 6))], "gain double, low double, high double")
 
 
-def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chosen and rejected signals, standardised."""
-    p = pairs(spark, sf_dir)
-    x = regression_scaled(spark, sf_dir).select("obs_id", "x")
-    return p.join(x.select(F.col("obs_id").alias("c"), F.col("x").alias("chosen_x")), "c").join(x.select(F.col("obs_id").alias("r"), F.col("x").alias("rejected_x")), "r").select("rater", "chosen_x", "rejected_x")
+#: Folds of conversations.
+FOLDS = 5
+
+
+def _conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Standardised observations with their conversation (a rater's day) and its fold."""
+    z = regression_scaled(spark, sf_dir).withColumn("conversation", F.to_date("ts"))
+    return z.withColumn("fold", preference.conversation_fold(F.struct("rater", "conversation"), FOLDS))
+
+
+def _pair_runs(spark: SparkSession, sf_dir: str) -> preference.PairRuns:
+    """Chosen and rejected signals of one conversation, standardised."""
+    z = _conversations(spark, sf_dir)
+    side = lambda kind, name: z.where(F.col("grp") == kind).select("rater", "conversation", "fold", F.col("x").alias(name))
+    return preference.pair_runs(side("purchase", "chosen_x").join(side("view", "rejected_x"), ["rater", "conversation", "fold"]), folds=FOLDS)
 
 
 @query()
 def k7_polynomial_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(preference.pair_weights(_pairs(spark, sf_dir)).drop("weights"), 4)
+    """Held-out pairs and ratings per rater: log loss, accuracy, and the error of recalibrated scores."""
+    p = _pair_runs(spark, sf_dir)
+    weights = preference.fold_weights(p)
+    rows = preference.recalibrated(weights, preference.fold_sums(_conversations(spark, sf_dir), FOLDS))
+    each = rows.groupBy("rater").agg(F.sqrt(F.sum("sse") / F.sum("n")).alias("rmse"), F.avg(F.col("steady").cast("double")).alias("steady"))
+    return rounded(preference.held_out_pairs(p, weights).join(each, "rater"))
 
 
 @query()
 def k8_shared_basis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, each = preference.shared_basis(_pairs(spark, sf_dir))
-    return each.select("rater", "n", F.round("loss", 4).alias("loss"), F.round(F.col("weights")[0], 4).alias("first_weight"))
+    """Held-out log loss and accuracy per rater, with a basis shared by all raters for each fold left out."""
+    p = _pair_runs(spark, sf_dir)
+    _, weights = preference.shared_basis(p)
+    return rounded(preference.held_out_pairs(p, weights))
 
 
 @query()
 def k9_head_mixtures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    z = regression_scaled(spark, sf_dir)
-    out = preference.head_mixtures(z, preference.polynomial_heads(z))
-    return out.select("rater", F.round("rmse", 6).alias("rmse"), F.round(F.col("weights")[0], 4).alias("first_weight"))
+    """Held-out error per rater of its own mixture of shared heads, and the first weight's mean over folds."""
+    z = _conversations(spark, sf_dir)
+    heads, _ = preference.polynomial_heads(z)
+    out = preference.head_mixtures(preference.fold_sums(z, FOLDS), heads)
+    return rounded(out.groupBy("rater").agg(F.sqrt(F.sum("sse") / F.sum("n")).alias("rmse"), F.avg(F.col("weights")[0]).alias("first_weight")))
+
+
+@query()
+def k9_composed_with_shrinkage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(preference.composed_arms(regression_scaled(spark, sf_dir)))
 
 
 @query()

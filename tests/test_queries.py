@@ -17,16 +17,11 @@ def test_runs(spark, sf_dir, name):
 
 
 def test_models_are_registered_in_full(spark, sf_dir):
-    """Five orders, 2,000 draws, the rounds of the operator, and a word on convergence."""
-    from raterline.operators import preference
-    from raterline.plans import models
-
+    """Five orders, 2,000 draws, and models that have converged."""
     assert [r.k for r in QUERIES["m3_mixture_orders"](spark, sf_dir).orderBy("k").collect()] == [1, 2, 3, 4, 5]
     assert QUERIES["b3_other_resampling"](spark, sf_dir).head().valid == 2000
-    assert {r.converged for r in QUERIES["r4b_quadratic_mixed_model"](spark, sf_dir).select("converged").collect()} <= {True, False}
-    _, each = preference.shared_basis(models._pairs(spark, sf_dir))
-    want = {r.rater: r.loss for r in each.collect()}
-    assert all(abs(r.loss - want[r.rater]) < 1e-3 for r in QUERIES["k8_shared_basis"](spark, sf_dir).collect())
+    assert {r.converged for r in QUERIES["r4b_quadratic_mixed_model"](spark, sf_dir).select("converged").collect()} == {True}
+    assert {r.converged for r in QUERIES["t1_drift_parameters"](spark, sf_dir).collect()} == {True}
 
 
 def test_entry_points(spark):
