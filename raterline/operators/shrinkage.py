@@ -51,8 +51,8 @@ def rater_lines(obs: DataFrame, guard: str = "a") -> DataFrame:
     return line(sums(obs, "rater"), guard)
 
 
-def held_out_errors(folds: DataFrame, *, guard: str = "a", floor: float = 1e-6, nested: bool = False, **options) -> DataFrame:
-    """Per (rater, fold), n and the sum of squared errors of every arm on the held-out rows.
+def held_out_lines(folds: DataFrame, *, guard: str = "a", floor: float = 1e-6, nested: bool = False, **options) -> DataFrame:
+    """Per (rater, fold): the held-out rows' sums, and the lines of the other rows: own, population's and shrunken.
 
     folds: observations with `fold`.  nested (V9): population and variances from the other
     folds of all raters only, in place of all rows.
@@ -70,7 +70,12 @@ def held_out_errors(folds: DataFrame, *, guard: str = "a", floor: float = 1e-6,
     else:
         population = line(added(parts)).select(F.col("intercept").alias("pop_intercept"), F.col("slope").alias("pop_slope"))
         fitted = fitted.crossJoin(F.broadcast(population)).crossJoin(F.broadcast(between_variance(line(added(parts, "rater"), guard), floor=floor)))
-    e = shrunk(fitted, **options)
+    return shrunk(fitted, **options)
+
+
+def held_out_errors(folds: DataFrame, **options) -> DataFrame:
+    """Per (rater, fold), n and the sum of squared errors of every arm on the held-out rows; as held_out_lines() takes it."""
+    e = held_out_lines(folds, **options)
     zero = F.lit(0.0)
     arms = {
         "mean": (F.coalesce(F.col("my") + F.col("t_sy") / F.when(F.col("t_n") > 0, F.col("t_n")), zero), zero),
@@ -83,6 +88,13 @@ def held_out_errors(folds: DataFrame, *, guard: str = "a", floor: float = 1e-6,
     return e.select("rater", "fold", "n", *(squared_error(a, b).alias(f"sse_{k}") for k, (a, b) in arms.items()), "w_intercept", "w_slope")
 
 
+def row_errors(folds: DataFrame, **options) -> DataFrame:
+    """rater, obs_id and the squared errors of the population's, the rater's own and the shrunken line on each held-out row."""
+    lines = held_out_lines(folds, **options).select("rater", "fold", "pop_intercept", "pop_slope", "intercept", "slope", "eb_intercept", "eb_slope")
+    off = lambda k: F.pow(F.col("y") - F.col(f"{k}intercept") - F.col(f"{k}slope") * F.col("x"), 2)
+    return folds.join(lines, ["rater", "fold"]).select("rater", "obs_id", off("pop_").alias("population"), off("").alias("own"), off("eb_").alias("shrunk"))
+
+
 def rater_rmse(errors: DataFrame) -> DataFrame:
     """A4: per rater, rows and the root mean squared error of every arm over all folds."""
     arms = [c for c in errors.columns if c.startswith("sse_")]

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from raterline.operators import inference, mixed, multivariate, preference, regression, sequential, shrinkage, splits, state_space
-from raterline.plans.calibration import drawn_from, rounded
+from raterline.operators import inference, mixed, multivariate, preference, regression, resampling, sequential, shrinkage, splits, state_space
+from raterline.plans.calibration import drawn_from, event_folds, pairs, rounded
 from raterline.plans.registry import query
 from raterline.sources.files import walk, written
-from raterline.sources.observations import complete, events, orders, table
+from raterline.sources.observations import EVENTS_SQL, complete, events, orders, table
 
 #: Draws of a bootstrap, as in the reference scripts.
 REPLICATES = 2000
@@ -90,12 +91,52 @@ def t2_spline_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(sequential.spline(regression_scaled(spark, sf_dir)))
 
 
+def _gain(means: np.ndarray) -> np.ndarray:
+    """What the own line's RMSE saves of the population line's; means: squared errors of both."""
+    base = np.sqrt(np.maximum(means[..., 0], 0))
+    return np.where(base > 1e-9, 1 - np.sqrt(np.maximum(means[..., 1], 0)) / np.maximum(base, 1e-9), 0.0)
+
+
 @query()
 def b3_other_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Resampling of groups in place of raters: the interval of the mean rating."""
-    g = events(spark, sf_dir).groupBy(F.concat_ws(":", F.col("rater").cast("string"), "grp").alias("rater")).agg(F.sum("y").alias("s"), F.count("y").alias("n"))
-    draws = inference.bootstrap(inference.numbered(g), REPLICATES, 11, (F.sum("s") / F.sum("n")).alias("mean_y"))
-    return rounded(inference.percentile_interval(draws, "mean_y"))
+    """Intervals of the gain of raters' own lines with raters, rows within raters and all rows resampled, and of the accuracy on easy less hard pairs."""
+    rows = written(shrinkage.row_errors(event_folds(spark, sf_dir)), "row-errors")
+    raters = rows.groupBy("rater").agg(F.avg("population").alias("a"), F.avg("own").alias("b"))
+    raters = raters.select("rater", F.when(F.col("a") > 1e-18, 1 - F.sqrt(F.col("b") / F.col("a"))).otherwise(0.0).alias("gain"))
+    estimate = raters.agg(F.avg("gain")).head()[0]
+    pooled = rows.agg(F.avg("population"), F.avg("own")).head()
+    by_rater = resampling.resampled_sums(raters, ["gain"], REPLICATES, 11, id_columns=["rater"])
+    inside, _ = resampling.within(rows, ["population", "own"], REPLICATES, 13, _gain)
+    by_row = resampling.resampled_sums(rows, ["population", "own"], REPLICATES, 17, id_columns=["obs_id"])
+    p = pairs(spark, sf_dir).groupBy((F.col("gap") < 10).alias("hard")).agg(F.avg((F.col("margin") > 0).cast("double")).alias("share"), F.count("*").alias("n")).collect()
+    hard, easy = ({r["hard"]: (float(r["share"]), r["n"]) for r in p}.get(k, (0.0, 0)) for k in (True, False))
+    out = [
+        ("raters", float(estimate), *resampling.interval(by_rater[:, 0] / by_rater[:, 1])), ("within_raters", float(estimate), *resampling.interval(inside)),
+        ("rows", float(_gain(np.array(pooled, float))), *resampling.interval(_gain(by_row[:, :2] / by_row[:, 2:]))),
+        ("pairs", easy[0] - hard[0], *resampling.interval(resampling.binomial_difference(*hard, *easy, REPLICATES, 19))),
+    ]
+    return rounded(spark.createDataFrame(out, "kind string, estimate double, low double, high double, valid int"))
+
+
+@query(f"WITH e AS ({EVENTS_SQL}), c AS (SELECT * FROM e WHERE rater IS NOT NULL AND x IS NOT NULL AND y IS NOT NULL), s AS (SELECT 'raters' AS kind, count(DISTINCT rater) AS drawn FROM c UNION ALL SELECT 'rows', count(*) FROM c) SELECT kind, CAST(b AS INTEGER) AS b, CAST(drawn AS BIGINT) AS drawn FROM s, range(0, {REPLICATES}) AS t(b)")
+def b3_resampled_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many rows each replicate draws: as many as there are, whatever the buckets that share them."""
+    e = complete(events(spark, sf_dir))
+    out = []
+    for kind, rows, key in (("raters", e.select("rater").distinct(), "rater"), ("rows", e.select("obs_id"), "obs_id")):
+        sums = resampling.resampled_sums(rows.withColumn("one", F.lit(1.0)), ["one"], REPLICATES, 11, id_columns=[key])
+        # The draws of ones add up to what the tree dealt out.
+        out += [(kind, b, int(one) if one == n else -1) for b, (one, n) in enumerate(sums.tolist())]
+    return spark.createDataFrame(out, "kind string, b int, drawn long")
+
+
+@query()
+def b1_rater_bootstrap_by_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The interval of the gain of means over 2,000 replicates of all raters."""
+    r = drawn_from(spark, sf_dir)
+    sums = resampling.resampled_sums(r, ["rmse_rater", "rmse_population"], REPLICATES, 7, id_columns=["rater"])
+    low, high, valid = resampling.interval(1 - sums[:, 0] / sums[:, 1])
+    return rounded(spark.createDataFrame([(low, high, valid)], "low double, high double, valid int"))
 
 
 @query()
@@ -104,7 +145,8 @@ def b2_bca_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = drawn_from(spark, sf_dir)
     gain = (1 - F.avg("rmse_rater") / F.avg("rmse_population")).alias("gain")
     t = r.agg(gain, F.sum("rmse_rater").alias("s"), F.sum("rmse_population").alias("p")).head()
-    replicates = [x["gain"] for x in inference.bootstrap(r, REPLICATES, 7, gain).collect()]
+    sums = resampling.resampled_sums(r, ["rmse_rater", "rmse_population"], REPLICATES, 7, id_columns=["rater"])
+    replicates = (1 - sums[:, 0] / sums[:, 1]).tolist()
     # Of the leave-one-out values only their moments matter: sums of squares and cubes, not the values.
     one = r.select((1 - (t["s"] - F.col("rmse_rater")) / (t["p"] - F.col("rmse_population"))).alias("g"))
     m = one.agg(F.avg("g").alias("m"), F.count("*").alias("n"), F.skewness("g").alias("skew"), F.stddev_pop("g").alias("sd")).head()
