@@ -176,6 +176,31 @@ def paired_t(differences: list[float]) -> tuple[float, int]:
     return (mean / (sd / math.sqrt(n)) if sd and sd > 0 else math.nan), n - 1
 
 
+def student_tail(t: float, df: int) -> float:
+    """Two-sided p of Student's t with a whole number of degrees of freedom, by its finite series in the angle atan(t / sqrt(df))."""
+    angle = math.atan(abs(t) / math.sqrt(df))
+    sine, cosine = math.sin(angle), math.cos(angle)
+    term, total = (cosine, 0.0) if df % 2 else (1.0, 0.0)
+    for k in range(df % 2, df - 1, 2):
+        total += term
+        term *= cosine * cosine * (k + 1) / (k + 2)
+    return max(0.0, 1 - (2 / math.pi * (angle + sine * total) if df % 2 else sine * total))
+
+
+def t_interval(values: list[float], level: float = 0.95) -> tuple[float, float, float]:
+    """Mean and t interval over a handful of runs or seeds; no interval (NaN) from one."""
+    n = len(values)
+    mean = sum(values) / n if n else math.nan
+    if n < 2:
+        return mean, math.nan, math.nan
+    low, high = 0.0, 1e7
+    for _ in range(200):
+        middle = (low + high) / 2
+        low, high = (middle, high) if student_tail(middle, n - 1) > 1 - level else (low, middle)
+    reach = low * math.sqrt(sum((v - mean) ** 2 for v in values) / (n - 1) / n)
+    return mean, mean - reach, mean + reach
+
+
 def sign_test(wins: int, n: int) -> float:
     """Two-sided exact binomial p against a half."""
     k = max(wins, n - wins)
