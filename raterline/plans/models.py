@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from raterline.operators import inference, mixed, multivariate, preference, regression, resampling, sequential, shrinkage, splits, state_space
+from raterline.operators import inference, mixed, multivariate, preference, regression, resampling, sequential, shrinkage, splits, state_space, text_components
 from raterline.plans.calibration import drawn_from, event_folds, pairs, rounded
 from raterline.plans.registry import query
 from raterline.sources.files import walk, written
@@ -243,6 +243,22 @@ def f6_text_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select("conv_id", "turn", F.round(F.aggregate(vector_to_array("tfidf"), F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
 
 
+@query()
+def f6_text_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five principal components of the turns' TF-IDF vectors."""
+    c, rows = text_components.fit_components(table(spark, sf_dir, "conversations", "conv_id", "turn", "text"), "text")
+    scored = text_components.scored(rows, c)
+    return scored.select("conv_id", "turn", F.transform("components", lambda v: F.round(v, 5)).alias("components"))
+
+
+@query()
+def f6_component_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Variance of each component, and the terms that weigh most in it."""
+    c, _ = text_components.fit_components(table(spark, sf_dir, "conversations", "conv_id", "turn", "text"), "text")
+    rows = [(k, float(v), [c.terms[i] for i in np.argsort(-np.abs(c.axes[:, k]), kind="stable")[:3]]) for k, v in enumerate(c.variances)]
+    return rounded(spark.createDataFrame(rows, "component int, variance double, terms array<string>"))
+
+
 @query("WITH RECURSIVE e AS (SELECT p_partkey AS node, CASE WHEN p_partkey % 50 = 0 THEN NULL ELSE p_partkey - 1 - (p_partkey % 50) % 2 * ((p_partkey % 50) // 2) END AS parent FROM part), t(node, root, depth) AS (SELECT node, node, 0 FROM e WHERE parent IS NULL UNION ALL SELECT e.node, t.root, t.depth + 1 FROM e JOIN t ON e.parent = t.node) SELECT node, root, depth FROM t")
 def s6_walk_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Depth and root of every node of an adjacency table: trees of fifty parts each."""
