@@ -49,11 +49,20 @@ def vocabulary(df: DataFrame, text: str, *, least: int, most: int) -> tuple[list
 
 def _sparse(df: DataFrame, text: str, keys: list[str], terms: list[str]) -> DataFrame:
     """keys and `at`: the numbers of a text's terms, as often as they stand there."""
-    spark = df.sparkSession
-    # One row with at most `most` terms.
-    numbers = spark.createDataFrame([(t, i) for i, t in enumerate(terms)], "term string, i int").agg(F.map_from_entries(F.collect_list(F.struct("term", "i"))).alias("numbers"))
-    found = F.filter(F.transform(term_array(F.col(text)), lambda t: F.col("numbers")[t]), lambda i: i.isNotNull())
-    return df.crossJoin(F.broadcast(numbers)).select(*keys, found.alias("at"))
+    known = pa.array(terms, pa.string())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(i, 4096) for b in batches for i in range(0, b.num_rows, 4096)):
+            own = batch.column(batch.num_columns - 1)
+            size = pc.list_value_length(own).to_numpy().astype(np.int64)
+            at = pc.index_in(own.flatten(), value_set=known)
+            here = np.asarray(at.is_valid().to_numpy(zero_copy_only=False), bool)
+            left = np.bincount(np.repeat(np.arange(len(size)), size)[here], minlength=len(size))
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(left)), pa.int32()), at.drop_null())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lists], names=[*keys, "at"])
+
+    kinds = ", ".join(f"`{n}` {df.schema[n].dataType.simpleString()}" for n in keys)
+    return df.select(*keys, term_array(F.col(text)).alias("_terms")).mapInArrow(run, f"{kinds}, at array<int>")
 
 
 def _weights(at: pa.ListArray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
