@@ -24,9 +24,12 @@ from raterline.sources.observations import md5_int
 
 
 def encoded(df: DataFrame, categories: list[str], numbers: list[str], out: str = "features") -> DataFrame:
-    """M2: indexed and one-hot categories (unseen ones keep a slot) beside numbers, in one vector."""
+    """M2: indexed and one-hot categories (unseen ones keep a slot) beside numbers, in one vector; a missing number is its mean (0 without any)."""
+    if numbers:
+        means = df.agg(*(F.avg(c).alias(c) for c in numbers)).head()
+        df = df.fillna({c: float(means[c]) if means[c] is not None else 0.0 for c in numbers})
     stages = [StringIndexer(inputCols=categories, outputCols=[f"{c}_i" for c in categories], handleInvalid="keep"), OneHotEncoder(inputCols=[f"{c}_i" for c in categories], outputCols=[f"{c}_v" for c in categories], handleInvalid="keep")] if categories else []
-    stages.append(VectorAssembler(inputCols=[f"{c}_v" for c in categories] + numbers, outputCol=out, handleInvalid="skip"))
+    stages.append(VectorAssembler(inputCols=[f"{c}_v" for c in categories] + numbers, outputCol=out))
     return Pipeline(stages=stages).fit(df).transform(df).drop(*(f"{c}_{k}" for c in categories for k in "iv"))
 
 

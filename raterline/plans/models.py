@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from raterline.operators import inference, mixed, multivariate, preference, regression, resampling, sequential, shrinkage, splits, state_space, text_components
+from raterline.operators import inference, mixed, multivariate, preference, prototypes, regression, resampling, sequential, shrinkage, splits, state_space, text_components
 from raterline.plans.calibration import drawn_from, event_folds, pairs, rounded
 from raterline.plans.registry import query
 from raterline.sources.files import walk, written
@@ -230,6 +230,15 @@ def m4_prototype_calibrators(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustered.groupBy("cluster").agg(F.count("*").alias("raters"), F.avg("mean_y").alias("mean_y"))
 
 
+@query()
+def m4_two_channel_calibrators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Held-out error of raters' own resampled lines, of their prototypes' lines, and of both; with the silhouette of the clusters."""
+    clustered, silhouette = multivariate.prototypes(rater_features(spark, sf_dir).na.fill(0.0), ["mean_x", "sd_y", "buys"], 4)
+    each = prototypes.two_channels(event_folds(spark, sf_dir), written(clustered.select("rater", "cluster"), "clusters"))
+    arms = ("population", "individual", "prototype", "mixed")
+    return rounded(each.agg(F.count("*").alias("raters"), *(F.avg(f"rmse_{a}").alias(f"rmse_{a}") for a in arms)).withColumn("silhouette", F.lit(float(silhouette))))
+
+
 @query()
 def m5_projected_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multivariate.projected(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), "embedding", 4).select("vec_id", "components")
