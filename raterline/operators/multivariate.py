@@ -18,6 +18,7 @@ from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.ml.stat import Correlation, Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from raterline.sources.files import written
 from raterline.sources.observations import md5_int
@@ -25,19 +26,35 @@ from raterline.sources.observations import md5_int
 
 def encoded(df: DataFrame, categories: list[str], numbers: list[str], out: str = "features") -> DataFrame:
     """M2: indexed and one-hot categories (unseen ones keep a slot) beside numbers, in one vector; a missing number is its mean (0 without any)."""
-    if numbers:
-        means = df.agg(*(F.avg(c).alias(c) for c in numbers)).head()
-        df = df.fillna({c: float(means[c]) if means[c] is not None else 0.0 for c in numbers})
+    df = _filled(df, numbers)
     stages = [StringIndexer(inputCols=categories, outputCols=[f"{c}_i" for c in categories], handleInvalid="keep"), OneHotEncoder(inputCols=[f"{c}_i" for c in categories], outputCols=[f"{c}_v" for c in categories], handleInvalid="keep")] if categories else []
     stages.append(VectorAssembler(inputCols=[f"{c}_v" for c in categories] + numbers, outputCol=out))
     return Pipeline(stages=stages).fit(df).transform(df).drop(*(f"{c}_{k}" for c in categories for k in "iv"))
 
 
-def cross_validated_r2(df: DataFrame, label: str, key: str, *, folds: int = 3, model: str = "forest", seed: int = 7) -> list[float]:
-    """Held-out R2 per fold, with folds of whole raters by hash."""
-    estimator = RandomForestRegressor(labelCol=label, numTrees=20, maxDepth=5, seed=seed) if model == "forest" else LinearRegression(labelCol=label, regParam=1.0, elasticNetParam=0.0)
+def _filled(df: DataFrame, numbers: list[str]) -> DataFrame:
+    """A missing number is its mean, 0 without any: no row is left out for it."""
+    if not numbers:
+        return df
+    means = df.agg(*(F.avg(c).alias(c) for c in numbers)).head()
+    return df.fillna({c: float(means[c]) if means[c] is not None else 0.0 for c in numbers})
+
+
+def cross_validated_r2(df: DataFrame, label: str, key: str, *, folds: int = 3, model: str = "forest", group: str = "kind", seed: int = 7) -> list[float]:
+    """Held-out R2 per fold, with folds of whole raters by hash.
+
+    model: forest, ridge, or group_mean, the mean label of the rater's `group` among the other folds.
+    """
     dealt = df.withColumn("_fold", md5_int(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))) % folds)
     r2 = RegressionEvaluator(labelCol=label, metricName="r2")
+    if model == "group_mean":
+        s = dealt.groupBy(group, "_fold").agg(F.sum(label).alias("_s"), F.count(label).alias("_n"))
+        others = lambda c, *by: (F.sum(c).over(Window.partitionBy(*by)) if by else F.sum(c).over(Window.partitionBy(F.lit(0)))) - F.sum(c).over(Window.partitionBy(*by, "_fold"))
+        # A group that no other fold has takes the mean of all other folds.
+        means = s.select(F.col(group).alias("_group"), F.col("_fold").alias("_left_out"), F.coalesce(others("_s", group) / F.nullif(others("_n", group), F.lit(0)), others("_s") / F.nullif(others("_n"), F.lit(0))).alias("prediction"))
+        judged = dealt.join(F.broadcast(means), F.col(group).eqNullSafe(F.col("_group")) & (F.col("_fold") == F.col("_left_out"))).select("_fold", label, "prediction")
+        return [r2.evaluate(judged.where(F.col("_fold") == f)) for f in range(folds)]
+    estimator = RandomForestRegressor(labelCol=label, numTrees=20, maxDepth=5, seed=seed) if model == "forest" else LinearRegression(labelCol=label, regParam=1.0, elasticNetParam=0.0)
     return [r2.evaluate(estimator.fit(dealt.where(F.col("_fold") != f)).transform(dealt.where(F.col("_fold") == f))) for f in range(folds)]
 
 
@@ -151,8 +168,9 @@ def density_grid(df: DataFrame, x: str, y: str, *, cells: int = 10) -> DataFrame
 
 
 def prototypes(df: DataFrame, columns: list[str], k: int, seed: int = 7) -> tuple[DataFrame, float]:
-    """M4: standardised features, k-means clusters (prediction) and their silhouette."""
-    stages = [VectorAssembler(inputCols=columns, outputCol="_raw", handleInvalid="skip"), StandardScaler(inputCol="_raw", outputCol="features", withMean=True), KMeans(k=k, seed=seed, predictionCol="cluster")]
+    """M4: standardised features, k-means clusters (prediction) and their silhouette; a missing feature is its mean."""
+    df = _filled(df, columns)
+    stages = [VectorAssembler(inputCols=columns, outputCol="_raw"), StandardScaler(inputCol="_raw", outputCol="features", withMean=True), KMeans(k=k, seed=seed, predictionCol="cluster")]
     out = Pipeline(stages=stages).fit(df).transform(df).drop("_raw")
     return out, ClusteringEvaluator(predictionCol="cluster").evaluate(out)
 

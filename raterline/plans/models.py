@@ -212,6 +212,15 @@ def m1_forest_and_ridge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "model string, fold int, r2 double")
 
 
+@query()
+def v13_folds_over_raters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five folds of whole raters: R2 of the forest, the ridge and the group's mean, with a t interval over folds."""
+    f = multivariate.encoded(rater_features(spark, sf_dir), ["kind"], ["mean_x", "sd_y", "buys"]).cache()  # released below, as above
+    rows = [(m, *map(float, inference.t_interval(multivariate.cross_validated_r2(f, "mean_y", "rater", folds=5, model=m)))) for m in ("forest", "ridge", "group_mean")]
+    f.unpersist()
+    return rounded(spark.createDataFrame(rows, "model string, r2 double, low double, high double"))
+
+
 @query()
 def m3_mixture_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = shrinkage.rater_lines(regression.centred(complete(events(spark, sf_dir))))

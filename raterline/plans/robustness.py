@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from raterline.operators import evaluation, regression
-from raterline.plans.calibration import _SUMS, EVENT_FOLDS, K_FOLD, SEED, K, _normal_sql, centred_sql, errors_sql, event_folds, folds_sql, line_sql, normal, rounded, sse_sql
+from raterline.operators import evaluation, inference, regression, shrinkage, splits
+from raterline.plans.calibration import _SUMS, EVENT_FOLDS, K_FOLD, SEED, K, _normal_sql, centred_sql, errors_sql, evaluation_sql, event_folds, folds_sql, line_sql, normal, rounded, sse_sql
 from raterline.plans.registry import query
 from raterline.plans.relational import EVENTS
 from raterline.sources import files
@@ -162,3 +162,33 @@ def s10_log_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = files.read_log(spark, path, {"place": (r"^\[(\d+)\]", "long"), "user_id": (r" user=(\d+)", "long"), "value": (r" value=([-+.0-9eE]+)", "double")})
     s = files.sections(log, " event=purchase( |$)", "user_id", order="place")
     return s.groupBy("user_id", "section").agg(F.count("*").alias("lines"), F.round(F.avg("value"), 6).alias("mean_v"))
+
+
+@query("WITH o AS (SELECT count(*) AS n, count(DISTINCT o_custkey) AS c, min(o_orderkey) AS low, max(o_orderkey) AS high FROM orders) SELECT unnest(['rows', 'customers', 'keys.0', 'keys.1', 'about.table', 'about.note']) AS name, unnest([CAST(n AS VARCHAR), CAST(c AS VARCHAR), CAST(low AS VARCHAR), CAST(high AS VARCHAR), 'orders', NULL]) AS value FROM o")
+def s3_json_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A nested summary written as JSON, read back as names and values."""
+    path = _path(spark, "summary")
+    o = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey").agg(F.count("*").alias("rows"), F.count_distinct("o_custkey").alias("customers"), F.array(F.min("o_orderkey"), F.max("o_orderkey")).alias("keys"))
+    about = F.struct(F.lit("orders").alias("table"), F.lit(None).cast("string").alias("note"))
+    o.select(F.to_json(F.struct("rows", "customers", "keys", about.alias("about")), {"ignoreNullFields": "false"}).alias("value")).coalesce(1).write.text(path)
+    return files.summary_rows(spark, path).select("name", "value")
+
+
+@query("WITH o AS (SELECT o_orderpriority AS p, count(*) AS n FROM orders GROUP BY 1), r AS (SELECT row_number() OVER (ORDER BY p) + 1 AS place, '| ' || p || ' | ' || n || ' |' AS line FROM o) SELECT CAST(place AS INTEGER) AS place, line FROM (SELECT 0 AS place, '| o_orderpriority | n |' AS line UNION ALL SELECT 1, '| --- | --- |' UNION ALL SELECT * FROM r)")
+def s9_report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A small result as a Markdown table, line by line."""
+    o = table(spark, sf_dir, "orders", "o_orderpriority").groupBy("o_orderpriority").agg(F.count("*").alias("n")).orderBy("o_orderpriority")
+    return spark.createDataFrame(list(enumerate(files.markdown(o).split("\n"))), "place int, line string")
+
+
+_PERMUTED = f"(SELECT a.rater, a.obs_id, a.grp, a.ts, b.x, a.y FROM (SELECT *, row_number() OVER (ORDER BY obs_id) AS place FROM {EVENTS} WHERE x IS NOT NULL AND y IS NOT NULL AND rater IS NOT NULL) a JOIN (SELECT x, row_number() OVER (ORDER BY CAST('0x' || substr(md5('permuted:' || obs_id), 1, 13) AS BIGINT)) AS place FROM {EVENTS} WHERE x IS NOT NULL AND y IS NOT NULL AND rater IS NOT NULL) b USING (place))"
+
+
+@query(evaluation_sql(folds_sql(_PERMUTED, K_FOLD, f"cnt >= {K}")))
+def z2_signal_permuted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The signals dealt anew over all rows; places come from ranges of ids and of hashes."""
+    e = complete(events(spark, sf_dir))
+    key = F.conv(F.substring(F.md5(F.concat(F.lit("permuted:"), F.col("obs_id").cast("string")).cast("binary")), 1, 13), 16, 10).cast("double")
+    own = inference.ordered(e, "obs_id").select("rater", "obs_id", "grp", "ts", "y", "idx")
+    other = inference.ordered(e.select("x", key.alias("key")), "key").select("x", "idx")
+    return rounded(shrinkage.evaluation(splits.k_folds(own.join(other, "idx").drop("idx"), K, SEED)))

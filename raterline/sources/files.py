@@ -62,31 +62,63 @@ def parsed(text: str):
         return json.loads(text)
     except RecursionError:
         pass
-    top: list = []
-    stack: list = [top]  # containers still open
-    scalar, i, key = json.JSONDecoder().raw_decode, 0, None
+    scalar, i, need, result = json.JSONDecoder().raw_decode, 0, "value", None
+    stack: list = []  # containers still open, and the key each object waits for a value of
+    keys: list = []
     while i < len(text):
-        c = text[i]
-        if c in " \t\n\r,:":
+        c, holder = text[i], stack[-1] if stack else None
+        end = "}" if isinstance(holder, dict) else "]"
+        if c in " \t\n\r":
             i += 1
-            continue
-        if c in "]}":
+        elif need == "after" and c == "," and stack:
+            need, i = "key" if end == "}" else "value", i + 1
+        elif need in ("after", "first") and stack and c == end:
             stack.pop()
-            i += 1
-            continue
-        holder = stack[-1]
-        value, i = ({} if c == "{" else [], i + 1) if c in "{[" else scalar(text, i)
-        if isinstance(holder, dict) and key is None:
-            key = (value,)
-            continue
-        if isinstance(holder, dict):
-            holder[key[0]] = value
-            key = None
+            keys.pop()
+            need, i = "after", i + 1
+        elif need == ":" and c == ":":
+            need, i = "value", i + 1
+        elif (need == "key" or need == "first" and end == "}") and c == '"':
+            keys[-1], i = scalar(text, i)
+            need = ":"
+        elif need == "value" or need == "first" and end == "]":
+            value, i = ({} if c == "{" else [], i + 1) if c in "{[" else scalar(text, i)
+            if not stack:
+                result = value
+            elif isinstance(holder, dict):
+                holder[keys[-1]] = value
+            else:
+                holder.append(value)
+            need = "first" if c in "{[" else "after"
+            if c in "{[":
+                stack.append(value)
+                keys.append(None)
         else:
-            holder.append(value)
-        if c in "{[":
-            stack.append(value)
-    return top[0]
+            raise json.JSONDecodeError("not JSON", text, i)
+    if stack or need != "after":
+        raise json.JSONDecodeError("ends early", text, i)
+    return result
+
+
+def summary_rows(spark: SparkSession, path: str) -> DataFrame:
+    """S3: JSON summaries as rows file, name, value: nested names are joined by dots, places in lists are numbers; null values stay null."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for file, text in zip(*(c.to_pylist() for c in batch.columns)):
+                stack = [("", parsed(text))]
+                while stack:
+                    name, v = stack.pop()
+                    inner = v.items() if isinstance(v, dict) else enumerate(v) if isinstance(v, list) else None
+                    if inner is None:
+                        out.append((file, name, _as_string(v)))
+                    else:
+                        stack.extend((f"{name}.{k}" if name else str(k), x) for k, x in inner)
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.string()) for i in range(3)], names=["file", "name", "value"])
+
+    text = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), "value")
+    return text.mapInArrow(rows, "file string, name string, value string")
 
 
 def _as_string(v):

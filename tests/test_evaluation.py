@@ -105,3 +105,36 @@ def test_log_sections(spark, tmp_path):
     got = {r.place: (r.section, r.loss) for r in files.sections(log.where("place is not null"), "== start", order="place").collect()}
     assert got == {1: (0, 3.0), 2: (1, None), 3: (1, 0.5), 4: (2, None), 5: (2, None)}
     assert log.where("place is null").count() == 1
+
+
+def test_the_parser_takes_what_the_standard_reader_takes():
+    import json
+
+    good = ['{"a": [1, {"b": null}], "c": "x,]}"}', "[]", "{}", " 12 ", '[[], {}, ""]', "[1,2]"]
+    bad = ["[1 2]", '{"a" "b"}', '{"a": 1,}', "[1,]", "[,1]", "{1: 2}", "[1", "", "1 2", '{"a"}', "]", '{"a": 1]', "{]"]
+    deep = "[" * 50_000 + "]" * 50_000
+    real = json.loads
+
+    def fails(text):
+        raise RecursionError
+
+    json.loads = fails
+    try:
+        assert [files.parsed(t) for t in good] == [real(t) for t in good]
+        for t in bad:
+            with pytest.raises(ValueError):
+                files.parsed(t)
+        v, depth = files.parsed(deep), 0
+        while v:
+            v, depth = v[0], depth + 1
+        assert depth == 49_999
+    finally:
+        json.loads = real
+
+
+def test_group_mean_arm(spark):
+    from raterline.operators import multivariate
+
+    rows = [(r, "a" if r % 2 else "b", float(r % 2 * 10 + r % 3)) for r in range(60)]
+    d = spark.createDataFrame(rows, "rater int, kind string, y double")
+    assert min(multivariate.cross_validated_r2(d, "y", "rater", model="group_mean")) > 0.9
