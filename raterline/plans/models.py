@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from raterline.operators import inference, mixed, multivariate, preference, prototypes, regression, resampling, sequential, shrinkage, splits, state_space, text_components
+from raterline.operators import inference, mixed, multivariate, preference, prototypes, regression, resampling, response, sequential, shrinkage, splits, state_space, text_components
 from raterline.plans.calibration import drawn_from, event_folds, pairs, rounded
 from raterline.plans.registry import query
 from raterline.sources.files import walk, written
@@ -248,6 +248,34 @@ def m4_two_channel_calibrators(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(each.agg(F.count("*").alias("raters"), *(F.avg(f"rmse_{a}").alias(f"rmse_{a}") for a in arms)).withColumn("silhouette", F.lit(float(silhouette))))
 
 
+def _signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with x standardised and y as it is."""
+    z = regression_scaled(spark, sf_dir).select("obs_id", "ts", F.col("x").alias("z"))
+    return complete(events(spark, sf_dir)).join(z.drop("ts"), "obs_id").select("rater", "obs_id", "ts", "grp", F.col("z").alias("x"), "y")
+
+
+@query()
+def m6_response_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means and variances over raters of log steepness and midpoint, the noise, and how the bound rose."""
+    m, _ = response.fit(_signals(spark, sf_dir))
+    rises = all(b >= a - 1e-6 * abs(a) for a, b in zip(m.bounds, m.bounds[1:]))
+    return rounded(spark.createDataFrame([(*map(float, m.mean), *map(float, m.spread), m.noise, m.bounds[-1], len(m.bounds), rises)], "mean_log_a double, mean_b double, var_log_a double, var_b double, noise double, bound double, rounds int, rises boolean"), 5)
+
+
+@query()
+def m6_response_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last fifth of each rater's rows, by the population line, shrunken lines and response curves fitted on the others."""
+    timed = splits.temporal(_signals(spark, sf_dir))
+    train = written(timed.where("not held_out"), "train")
+    m, curves = response.fit(train)
+    lines = state_space.priors(train, anchored=True).select("rater", F.col("m_intercept").alias("a"), F.col("m_slope").alias("s"))
+    pop = regression.population_line(regression.centred(train))
+    held = timed.where("held_out").join(lines, "rater").join(curves.select("rater", "log_a", "b"), "rater").crossJoin(F.broadcast(pop))
+    arms = {"population": F.col("pop_intercept") + F.col("pop_slope") * F.col("x"), "shrunk": F.col("a") + F.col("s") * F.col("x"), "response": response.predicted(F.col("x"), F.col("log_a"), F.col("b"), m.scale)}
+    each = held.groupBy("rater").agg(*(F.sqrt(F.avg(F.pow(F.col("y") - v, 2))).alias(k) for k, v in arms.items()))
+    return rounded(each.agg(F.count("*").alias("raters"), *(F.avg(k).alias(f"rmse_{k}") for k in arms)), 5)
+
+
 @query()
 def m5_projected_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multivariate.projected(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), "embedding", 4).select("vec_id", "components")
