@@ -404,13 +404,14 @@ def links_within(members: DataFrame, sets: DataFrame, partitions: int, threshold
             yield pa.RecordBatch.from_arrays([*(pa.array([r.column(c)[0].as_py()], k) for c, k in (("label", pa.int64()), ("block", pa.int32()), ("blocks", pa.int32()))), *(pa.array([x], pa.binary()) for x in made)], names=PACK.names)
 
     packed = rows.select("task", "label", "block", "blocks", "key", "copies", "grams").repartition(partitions, "task").sortWithinPartitions("task", "key").mapInArrow(pack, PACK)
-    met = packed.withColumn("pair", F.explode(_least_and_greatest(F.col("block"), F.col("blocks")))).select(F.xxhash64("label", "pair.i", "pair.j").alias("task"), *PACK.names)
+    met = packed.withColumn("pair", F.explode(_least_and_greatest(F.col("block"), F.col("blocks")))).select(F.xxhash64("label", "pair.i", "pair.j").alias("task"), (F.col("pair.i") == F.col("pair.j")).alias("within"), *PACK.names)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, r in runs(batches):
             key, copies, size, gram = (np.concatenate([np.frombuffer(x, k) for x in column(r, c).to_pylist()]) for c, k in (("keys", "<i8"), ("copies", "<i8"), ("sizes", "<i8"), ("grams", "<u8")))
             held = [len(x) // 8 for x in column(r, "keys").to_pylist()]
-            side = np.repeat(np.arange(len(held)) + 1, held) if len(held) > 1 else np.zeros(len(key), np.int64)
+            # Between two blocks, of which one may be empty, links within either do not count again.
+            side = np.zeros(len(key), np.int64) if column(r, "within")[0].as_py() else np.repeat(np.arange(len(held)) + 1, held)
             links = _alike(size, gram, side, threshold) @ copies.astype(np.float64)
             parts = np.split(links.astype("<i8"), np.cumsum(held)[:-1])
             yield pa.RecordBatch.from_arrays([column(r, "label"), column(r, "block"), column(r, "keys"), pa.array([p.tobytes() for p in parts], pa.binary())], names=COUNTED.names)

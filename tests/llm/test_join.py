@@ -119,6 +119,14 @@ def test_repeated_rows_in_classes_joined_late(spark, monkeypatch):
     assert sorted(r.class_id for r in jaccard_join.near_duplicates(d, count=False).collect()) == sorted(r[2] for r in want)
 
 
+def test_more_blocks_than_sets(spark, monkeypatch):
+    """Long texts make more blocks than there are sets: links within a block count once, whatever blocks stay empty."""
+    monkeypatch.setattr(jaccard_join.verified, "__kwdefaults__", {**jaccard_join.verified.__kwdefaults__, "block_bytes": 500})
+    rows = list(enumerate([*near_copies(3), *near_copies(4, 9), "short text"])) + [(2, near_copies(3)[2])]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert found(jaccard_join.near_duplicates(d)) == brute(rows)
+
+
 def test_one_of_each_keeps_columns(docs):
     kept = jaccard_join.one_of_each(docs)
     assert kept.columns == docs.columns
