@@ -61,11 +61,16 @@ def scored(docs: DataFrame, made: Fields, most: int, f, *, text: str = "text", k
     kept = [n for n in docs.columns if n not in made.names and (keep_text or n != text)]
     out = ", ".join([*(f"`{n}` {docs.schema[n].dataType.simpleString()}" for n in kept), made])
 
+    # A text that stays is sent once, as it is scored where it stands; else it comes last.
+    stays = text in kept and docs.schema[text].dataType.simpleString() == "string"
+    place, width = (kept.index(text) if stays else len(kept)), len(kept)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            # The text to score comes last and is told by its place.
+            # Columns are told by their places, as names may clash.
             named = pa.RecordBatch.from_arrays(batch.columns, names=[f"{i}" for i in range(batch.num_columns)])
-            for part in slices(named, f"{batch.num_columns - 1}", most=most):
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *f(part.column(part.num_columns - 1))], names=[*kept, *made.names])
+            for part in slices(named, f"{place}", most=most):
+                yield pa.RecordBatch.from_arrays([*part.columns[:width], *f(part.column(place))], names=[*kept, *made.names])
 
-    return docs.select(*(F.col(f"`{n}`") for n in kept), F.col(f"`{text}`").cast("string").alias(unused(docs, "_"))).mapInArrow(run, out)
+    more = [] if stays else [F.col(f"`{text}`").cast("string").alias(unused(docs, "_"))]
+    return docs.select(*(F.col(f"`{n}`") for n in kept), *more).mapInArrow(run, out)
