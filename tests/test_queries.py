@@ -39,6 +39,22 @@ def test_filters_and_columns_reach_the_scan(spark, sf_dir):
 
 
 def test_core_query_shuffles_observations_once(spark, sf_dir):
-    """Of the exchanges by rater only one carries observations; the rest reuse it or move sums."""
-    plan = QUERIES["core_shrinkage_summary"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("FileScan parquet") >= 1 and "CartesianProduct" not in plan and "Python" not in plan
+    """Observations are scanned once and cross one exchange; all later exchanges move sums, a row for a rater and fold at most."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    n, raters = e.count(), e.select("user_id").distinct().count()
+    gateway = spark.sparkContext._gateway
+
+    def stages():
+        s = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), None)
+        return [s.apply(i) for i in range(s.size())]
+
+    before = {s.stageId() for s in stages()}
+    df = QUERIES["core_shrinkage_summary"](spark, sf_dir)
+    assert df.count() == 1
+    new = [s for s in stages() if s.stageId() not in before and str(s.status()) == "COMPLETE"]
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "Python" not in plan
+    large = [s.shuffleWriteRecords() for s in new if s.shuffleWriteRecords() >= 0.5 * n]
+    assert len(large) == 1 and large[0] <= n
+    assert sum(s.inputRecords() >= 0.5 * n for s in new) == 1
+    assert all(s.shuffleWriteRecords() <= 4 * 5 * raters for s in new if s.shuffleWriteRecords() < 0.5 * n)
