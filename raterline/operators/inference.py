@@ -53,11 +53,13 @@ def bootstrap(rows: DataFrame, replicates: int, seed: int, *aggregates: Column)
     A slot's draw is a hash of (seed, replicate, slot), so replicates are the same on every
     run.  The grid has replicates x m rows; rows are one per rater, sums of whatever is needed,
     and best come from a stored table: Spark then knows their size and broadcasts them if they
-    are few, so that only partial aggregates are shuffled.
+    are few, so that only partial aggregates are shuffled.  Spark takes the grid to be as small
+    as its slots; every draw has its row, so a left join gives the same and never broadcasts it.
     """
-    slots = rows.select(F.col("idx").alias("slot"), "m").repartition("slot").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slots = rows.select(F.col("idx").alias("slot"), "m").repartition(partitions, "slot").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
     draw = md5_int(F.concat_ws(":", F.lit(str(seed)), F.col("b").cast("string"), F.col("slot").cast("string"))) % F.col("m")
-    return slots.select("b", draw.alias("idx")).join(rows, "idx").groupBy("b").agg(*aggregates)
+    return slots.select("b", draw.alias("idx")).join(rows, "idx", "left").groupBy("b").agg(*aggregates)
 
 
 def percentile_interval(replicates: DataFrame, value: str, level: float = 0.95) -> DataFrame:

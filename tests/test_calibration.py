@@ -337,3 +337,23 @@ def test_reports_are_never_cut(spark):
     for report in (files.json_report, files.markdown, files.latex):
         with pytest.raises(ValueError):
             report(d, 4)
+
+
+def under_broadcasts(df):
+    """Lines of the final plan that lie under an exchange to the driver."""
+    lines = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].splitlines()
+    depth = [len(v) - len(v.lstrip(" :+-*()0123456789")) for v in lines]
+    out = []
+    for i, v in enumerate(lines):
+        if "BroadcastExchange" in v:
+            end = next((j for j in range(i + 1, len(lines)) if depth[j] <= depth[i]), len(lines))
+            out += lines[i + 1 : end]
+    return out
+
+
+def test_bootstrap_never_broadcasts_its_grid(spark):
+    """Slots are narrower than rows of values, and the grid of all draws looks as small as they are."""
+    rows = files.written(spark.range(3000).select(F.col("id").alias("idx"), F.lit(3000).cast("long").alias("m"), *(F.rand(i).alias(f"v{i}") for i in range(8))), "rows")
+    df = inference.bootstrap(rows, 20, 5, *(F.sum(f"v{i}").alias(f"v{i}") for i in range(8)), F.count("v0").alias("n"))
+    assert {r.n for r in df.collect()} == {3000}
+    assert not [v for v in under_broadcasts(df) if "Generate" in v]
