@@ -7,7 +7,9 @@ gradient and curvature, which add up by rater.  A rater takes its new q if its b
 it, else tries a smaller step along the natural parameters; then means, spreads and noise take the
 values that are best for all raters' q, which are averages.  So the bound rises in every round.
 
-Raters' rows are packed in runs (see ordered): a rater of any size is spread over tasks.
+Raters' rows are packed in runs (see ordered): a rater of any size is spread over tasks.  A rater
+that is one run keeps its q beside its rows, so a round moves none of them; the runs of longer
+ones are asked by shuffled joins.  Nothing that grows with raters is broadcast or collected.
 Defined cases: a rater keeps the prior where its rows say nothing; without rows fit() raises
 ValueError.
 """
@@ -22,6 +24,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from raterline.operators.ordered import packed_runs
 from raterline.sources.files import written
@@ -102,9 +105,45 @@ def _candidate(state: np.ndarray, m: Response) -> np.ndarray:
 
 
 def response_runs(obs: DataFrame, *, size: int = 4096) -> tuple[DataFrame, DataFrame]:
-    """Stored runs of rows (rater, x, y), and which parts a rater is in."""
+    """Stored runs of rows (rater, x, y), and which parts a rater is in, with `alone`: is it one run?"""
     runs = written(packed_runs(obs.select("rater", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")), "rater", ["x", "y"], ["x", "y"], size=size), "response-runs")
-    return runs, written(runs.select("rater", "part").distinct(), "response-shares")
+    alone = (F.count("*").over(Window.partitionBy("rater")) == 1) & (F.col("runs") == 1)
+    return runs, written(runs.groupBy("rater", "part").agg(F.count("*").alias("runs")).select("rater", "part", alone.alias("alone")), "response-shares")
+
+
+def _sums_of(batch: pa.RecordBatch, q: np.ndarray, scale: float) -> np.ndarray:
+    """(runs, 7): the sums of runs, x and y being columns 1 and 2."""
+    size = pc.list_value_length(batch.column(1)).to_numpy().astype(np.int64)
+    v = run_sums(batch.column(1).flatten().to_numpy(), batch.column(2).flatten().to_numpy(), np.repeat(np.arange(len(size)), size), q, scale)
+    return np.add.reduceat(v, np.cumsum(size) - size, axis=0)
+
+
+def _first(v: np.ndarray, q: np.ndarray) -> np.ndarray:
+    return np.concatenate([q, v, np.ones((len(q), 1))], axis=1)
+
+
+def _taken(v: np.ndarray, q: np.ndarray, s: np.ndarray, m: Response) -> np.ndarray:
+    """The states that follow s where q was asked and gave v."""
+    new = np.concatenate([q, v, np.minimum(1.0, 2 * s[:, _STEP])[:, None]], axis=1)
+    better = np.isfinite(new).all(axis=1) & (_bound(new, m) >= _bound(s, m))
+    kept = s.copy()
+    kept[:, _STEP] /= 2
+    return np.where(better[:, None], new, kept)
+
+
+def _moved(own: DataFrame, start: np.ndarray, m: Response) -> DataFrame:
+    """Raters of one run (rater, x, y, state) after a round, or, where they have no state yet, at q = start."""
+    kind, known = own.schema["rater"].dataType.simpleString(), "state" in own.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(i, 1000) for b in batches for i in range(0, b.num_rows, 1000)):
+            s = batch.column(3).flatten().to_numpy().reshape(-1, _WIDTH) if known else None
+            q = _candidate(s, m) if known else np.tile(start, (batch.num_rows, 1))
+            v = _sums_of(batch, q, m.scale)
+            state = _taken(v, q, s, m) if known else _first(v, q)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(list(state), pa.list_(pa.float64()))], names=["rater", "x", "y", "state"])
+
+    return own.mapInArrow(run, f"rater {kind}, x array<double>, y array<double>, state array<double>")
 
 
 def _summed(runs: DataFrame, shares: DataFrame, asked: DataFrame, scale: float) -> DataFrame:
@@ -113,12 +152,10 @@ def _summed(runs: DataFrame, shares: DataFrame, asked: DataFrame, scale: float)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(i, 1000) for b in batches for i in range(0, b.num_rows, 1000)):
-            size = pc.list_value_length(batch.column(1)).to_numpy().astype(np.int64)
             q = batch.column(3).flatten().to_numpy().reshape(-1, 5)
-            v = run_sums(batch.column(1).flatten().to_numpy(), batch.column(2).flatten().to_numpy(), np.repeat(np.arange(len(size)), size), q, scale)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(np.add.reduceat(v, np.cumsum(size) - size, axis=0)), pa.list_(pa.float64()))], names=["rater", "v"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(_sums_of(batch, q, scale)), pa.list_(pa.float64()))], names=["rater", "v"])
 
-    rows = runs.join(shares.join(asked, "rater"), ["rater", "part"]).select("rater", "x", "y", "q")
+    rows = runs.join(shares.join(asked.hint("merge"), "rater").hint("merge"), ["rater", "part"]).select("rater", "x", "y", "q")
     return rows.mapInArrow(run, f"rater {kind}, v array<double>").groupBy("rater").agg(F.array(*(F.sum(F.col("v")[i]) for i in range(7))).alias("v"))
 
 
@@ -154,29 +191,27 @@ def fit(obs: DataFrame, *, scale: float = 100.0, rounds: int = 40, tolerance: fl
     middle = np.log(min(max(spread[2] / scale, 0.01), 0.99) / (1 - min(max(spread[2] / scale, 0.01), 0.99)))
     m = Response(np.array([0.0, -middle]), np.array([0.5, 0.5]), max(spread[1], LEAST), scale)
     start = np.array([*m.mean, 0.25, 0.0, 0.25])
-    raters = shares.select("rater").distinct()
-    first = raters.select("rater", F.array(*(F.lit(float(v)) for v in start)).alias("q"))
-    met = _summed(runs, shares, first, scale).join(first, "rater")
-    state = written(_mapped(met, lambda v, q: np.concatenate([q, v, np.ones((len(q), 1))], axis=1), ["v", "q"], "state"), "response-state")
+    part = lambda which: written(runs.join(shares.where(which).select("rater", "part").hint("merge"), ["rater", "part"]).select("rater", "part", "x", "y"), "response-runs")
+    own, long = part("alone").select("rater", "x", "y"), shares.where("not alone").select("rater", "part")
+    cut = part("not alone") if long.head(1) else None
+    own, state = written(_moved(own, start, m), "response-own"), None
+    if cut is not None:
+        first = long.select("rater").distinct().select("rater", F.array(*(F.lit(float(v)) for v in start)).alias("q"))
+        state = written(_mapped(_summed(cut, long, first, scale).join(first.hint("merge"), "rater"), _first, ["v", "q"], "state"), "response-state")
+    every = lambda: own.select("rater", "state") if state is None else own.select("rater", "state").unionByName(state)
     for _ in range(rounds):
-        m = _best_for_all(state, m)
-        bound = _mapped(state, lambda s, m=m: _bound(s, m)[:, None], ["state"], "v").agg(F.sum(F.col("v")[0])).head()[0]
+        m = _best_for_all(every(), m)
+        bound = _mapped(every(), lambda s, m=m: _bound(s, m)[:, None], ["state"], "v").agg(F.sum(F.col("v")[0])).head()[0]
         m.bounds.append(float(bound))
         if len(m.bounds) > 1 and abs(m.bounds[-1] - m.bounds[-2]) < tolerance * (1 + abs(bound)):
             break
-        asked = written(_mapped(state, lambda s, m=m: _candidate(s, m), ["state"], "q"), "response-asked")
-        met = _summed(runs, shares, asked, scale).join(asked, "rater").join(state, "rater")
-
-        def taken(v: np.ndarray, q: np.ndarray, s: np.ndarray, m: Response = m) -> np.ndarray:
-            new = np.concatenate([q, v, np.minimum(1.0, 2 * s[:, _STEP])[:, None]], axis=1)
-            better = np.isfinite(new).all(axis=1) & (_bound(new, m) >= _bound(s, m))
-            kept = s.copy()
-            kept[:, _STEP] /= 2
-            return np.where(better[:, None], new, kept)
-
-        state = written(_mapped(met, taken, ["v", "q", "state"], "state"), "response-state")
+        own = written(_moved(own, start, m), "response-own")
+        if state is not None:
+            asked = written(_mapped(state, lambda s, m=m: _candidate(s, m), ["state"], "q"), "response-asked")
+            met = _summed(cut, long, asked, scale).join(asked.hint("merge"), "rater").join(state.hint("merge"), "rater")
+            state = written(_mapped(met, lambda v, q, s, m=m: _taken(v, q, s, m), ["v", "q", "state"], "state"), "response-state")
     at = lambda i, name: F.col("state")[i].alias(name)
-    return m, state.select("rater", at(0, "log_a"), at(1, "b"), at(2, "v_log_a"), at(3, "covariance"), at(4, "v_b"), at(5, "n"))
+    return m, every().select("rater", at(0, "log_a"), at(1, "b"), at(2, "v_log_a"), at(3, "covariance"), at(4, "v_b"), at(5, "n"))
 
 
 def predicted(x, log_a, b, scale: float):

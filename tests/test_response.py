@@ -65,3 +65,14 @@ def test_defined_cases(spark):
         response.fit(spark.createDataFrame([], "rater int, x double, y double"))
     m, curves = response.fit(spark.createDataFrame([(1, 0.0, 50.0), (2, 0.0, 50.0)], "rater int, x double, y double"))
     assert curves.count() == 2 and np.isfinite(m.bounds).all()
+
+
+def test_rounds_broadcast_nothing(spark):
+    """With raters of one run and of several: no table of raters goes through the driver."""
+    d = spark.createDataFrame(simulated([12, 1, 25, 8] * 4 + [200]), "rater int, x double, y double")
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    response.fit(d, size=20, rounds=2)
+    plans = store.executionsList(int(before), 10_000)
+    plans = [plans.apply(i).physicalPlanDescription() for i in range(plans.size())]
+    assert len(plans) > 10 and not [p for p in plans if "BroadcastExchange" in p]
