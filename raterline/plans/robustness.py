@@ -187,8 +187,8 @@ _PERMUTED = f"(SELECT a.rater, a.obs_id, a.grp, a.ts, b.x, a.y FROM (SELECT *, r
 @query(evaluation_sql(folds_sql(_PERMUTED, K_FOLD, f"cnt >= {K}")))
 def z2_signal_permuted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The signals dealt anew over all rows; places come from ranges of ids and of hashes."""
-    e = complete(events(spark, sf_dir))
+    e = files.written(complete(events(spark, sf_dir)), "observations")
     key = F.conv(F.substring(F.md5(F.concat(F.lit("permuted:"), F.col("obs_id").cast("string")).cast("binary")), 1, 13), 16, 10).cast("double")
     own = inference.ordered(e, "obs_id").select("rater", "obs_id", "grp", "ts", "y", "idx")
-    other = inference.ordered(e.select("x", key.alias("key")), "key").select("x", "idx")
-    return rounded(shrinkage.evaluation(splits.k_folds(own.join(other, "idx").drop("idx"), K, SEED)))
+    other = inference.ordered(files.written(e.select("x", key.alias("key")), "keys"), "key").select("x", "idx")
+    return rounded(shrinkage.evaluation(splits.k_folds(files.written(own.join(other, "idx").drop("idx"), "permuted"), K, SEED)))

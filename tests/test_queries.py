@@ -58,3 +58,13 @@ def test_core_query_shuffles_observations_once(spark, sf_dir):
     assert len(large) == 1 and large[0] <= n
     assert sum(s.inputRecords() >= 0.5 * n for s in new) == 1
     assert all(s.shuffleWriteRecords() <= 4 * 5 * raters for s in new if s.shuffleWriteRecords() < 0.5 * n)
+
+
+def test_permuted_signals_read_the_events_once(spark, sf_dir):
+    """Places are taken over stored rows: no step parses the events' properties again."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    assert QUERIES["z2_signal_permuted"](spark, sf_dir).count() == 1
+    plans = store.executionsList(int(before), 10_000)
+    plans = [plans.apply(i).physicalPlanDescription() for i in range(plans.size())]
+    assert sum("events.parquet" in p for p in plans) == 1
