@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from raterline.sources.files import written
+from raterline.sources.files import shared_dir, written
 from raterline.sources.observations import md5_int
 
 
@@ -168,8 +168,13 @@ def density_grid(df: DataFrame, x: str, y: str, *, cells: int = 10) -> DataFrame
 
 
 def prototypes(df: DataFrame, columns: list[str], k: int, seed: int = 7) -> tuple[DataFrame, float]:
-    """M4: standardised features, k-means clusters (prediction) and their silhouette; a missing feature is its mean."""
-    df = _filled(df, columns)
+    """M4: standardised features, k-means clusters (prediction) and their silhouette; a missing feature is its mean.
+
+    Scaler, k-means and silhouette each read the rows, so these are kept in the shared folder: as a
+    checkpoint, since clusters depend on partitions and order, which a table would not keep.
+    """
+    shared_dir(df.sparkSession)  # names a folder for checkpoints where none is set
+    df = _filled(df.checkpoint(), columns)
     stages = [VectorAssembler(inputCols=columns, outputCol="_raw"), StandardScaler(inputCol="_raw", outputCol="features", withMean=True), KMeans(k=k, seed=seed, predictionCol="cluster")]
     out = Pipeline(stages=stages).fit(df).transform(df).drop("_raw")
     return out, ClusteringEvaluator(predictionCol="cluster").evaluate(out)

@@ -242,7 +242,8 @@ def m4_prototype_calibrators(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def m4_two_channel_calibrators(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Held-out error of raters' own resampled lines, of their prototypes' lines, and of both; with the silhouette of the clusters."""
-    clustered, silhouette = multivariate.prototypes(rater_features(spark, sf_dir).na.fill(0.0), ["mean_x", "sd_y", "buys"], 4)
+    features = ["mean_x", "sd_y", "buys"]
+    clustered, silhouette = multivariate.prototypes(rater_features(spark, sf_dir).select("rater", *features).na.fill(0.0), features, 4)
     each = prototypes.two_channels(event_folds(spark, sf_dir), written(clustered.select("rater", "cluster"), "clusters"))
     arms = ("population", "individual", "prototype", "mixed")
     return rounded(each.agg(F.count("*").alias("raters"), *(F.avg(f"rmse_{a}").alias(f"rmse_{a}") for a in arms)).withColumn("silhouette", F.lit(float(silhouette))))

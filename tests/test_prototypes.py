@@ -68,3 +68,17 @@ def test_query_and_missing_features(spark, sf_dir):
     d = spark.createDataFrame([(1, "a", 1.0), (2, "b", None), (3, "a", 3.0)], "rater int, kind string, v double")
     f = multivariate.encoded(d, ["kind"], ["v"])
     assert f.count() == 3 and {r.rater: r.v for r in f.select("rater", "v").collect()}[2] == 2.0
+
+
+def test_rows_are_made_once(spark):
+    """Folds and features are dear: lines, sums, scaler, k-means and silhouette share what was made of them."""
+    made = spark.sparkContext.accumulator(0)
+    counted = F.udf(lambda v: made.add(1) or v, "double")
+    d = spark.createDataFrame([(r, r * 9 + i, i % 3, float(i * r % 7), float(i + r)) for r in range(20) for i in range(9)], "rater int, obs_id int, fold int, x double, y double")
+    clusters = spark.createDataFrame([(r, r % 2) for r in range(20)], "rater int, cluster int")
+    assert prototypes.two_channels(d.withColumn("x", counted("x")), clusters, m=3).count() == 20
+    assert made.value == 180
+    made.value = 0
+    features = d.groupBy("rater").agg(F.avg("x").alias("a"), F.avg("y").alias("b"))
+    clustered, _ = multivariate.prototypes(features.withColumn("a", counted("a")), ["a", "b"], 2)
+    assert clustered.count() == 20 and made.value <= 40  # for its rows, and for a checkpoint of them
