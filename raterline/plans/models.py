@@ -79,9 +79,9 @@ def t1_time_varying_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def regression_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events with x and y standardised over all rows."""
-    e = complete(events(spark, sf_dir))
-    s = e.agg(F.avg("x").alias("ax"), F.stddev_samp("x").alias("dx"), F.avg("y").alias("ay"), F.stddev_samp("y").alias("dy"))
+    """Events with x and y standardised over all rows; rows and scales are stored, since what is fitted reads them many times."""
+    e = written(complete(events(spark, sf_dir)), "observations")
+    s = written(e.agg(F.avg("x").alias("ax"), F.stddev_samp("x").alias("dx"), F.avg("y").alias("ay"), F.stddev_samp("y").alias("dy")), "scales")
     z = lambda c: (F.col(c) - F.col(f"a{c}")) / F.when(F.col(f"d{c}") > 0, F.col(f"d{c}"))
     return e.crossJoin(F.broadcast(s)).select("rater", "obs_id", "ts", "grp", z("x").alias("x"), z("y").alias("y"))
 

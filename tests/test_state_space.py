@@ -138,3 +138,16 @@ def test_empty_and_string_keys(spark, data):
     named = frame(spark, {k: data[k] for k in (0, 1)}).withColumn("rater", F.concat(F.lit("r"), F.col("rater")))
     got = packed_runs(named, "rater", ["ts"], ["x"], size=3).collect()
     assert sorted((r.rater, len(r.x)) for r in got if r.rater == "r1") == [("r1", 1)] and sum(len(r.x) for r in got) == 8
+
+
+def test_observations_are_made_once(spark, sf_dir, monkeypatch):
+    """Priors, start and runs read stored rows: the source's text is parsed once however often they are read."""
+    from raterline.plans import QUERIES, models
+
+    made = spark.sparkContext.accumulator(0)
+    counted = F.udf(lambda v: made.add(1) or v, "double").asNondeterministic()
+    real = models.events
+    monkeypatch.setattr(models, "events", lambda *a: real(*a).withColumn("y", counted("y")))
+    monkeypatch.setattr(models.state_space, "fit_drift", lambda runs, start: start)
+    assert QUERIES["t1_kalman_filter"](spark, sf_dir).count() > 0
+    assert made.value == real(spark, sf_dir).count()
