@@ -44,12 +44,18 @@ def draws_of(leaf: int, before: np.ndarray, draws: np.ndarray, seed: int, *at: i
 def drawn_sums(values: np.ndarray, draws: np.ndarray, random: np.random.Generator) -> np.ndarray:
     """Sums (replicates, columns) of rows drawn with replacement, `draws` of them for each replicate."""
     out = np.zeros((len(draws), values.shape[1]))
-    for b in range(0, len(draws), 64):
-        n = draws[b : b + 64]
+    columns = np.ascontiguousarray(values.T)
+    # Replicates at a time: 64, or more of few draws each; the numbers drawn do not depend on it.
+    step = max(64, (1 << 15) // max(int(draws.max(initial=0)), 1))
+    for b in range(0, len(draws), step):
+        n = draws[b : b + step]
         at = random.integers(0, len(values), int(n.sum()))
         some = np.flatnonzero(n)
         if len(some):
-            out[b + some] = np.add.reduceat(values[at], (np.cumsum(n) - n)[some], axis=0)
+            first = (np.cumsum(n) - n)[some]
+            # Column by column: picking and adding rows of a few values costs several times as much.
+            for k, column in enumerate(columns):
+                out[b + some, k] = np.add.reduceat(column.take(at), first)
     return out
 
 

@@ -100,9 +100,10 @@ def _gain(means: np.ndarray) -> np.ndarray:
 @query()
 def b3_other_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Intervals of the gain of raters' own lines with raters, rows within raters and all rows resampled, and of the accuracy on easy less hard pairs."""
-    rows = written(shrinkage.row_errors(event_folds(spark, sf_dir)), "row-errors")
+    folds = written(event_folds(spark, sf_dir).select("rater", "obs_id", "fold", "x", "y"), "folds")
+    rows = written(shrinkage.row_errors(folds), "row-errors")
     raters = rows.groupBy("rater").agg(F.avg("population").alias("a"), F.avg("own").alias("b"))
-    raters = raters.select("rater", F.when(F.col("a") > 1e-18, 1 - F.sqrt(F.col("b") / F.col("a"))).otherwise(0.0).alias("gain"))
+    raters = written(raters.select("rater", F.when(F.col("a") > 1e-18, 1 - F.sqrt(F.col("b") / F.col("a"))).otherwise(0.0).alias("gain")), "rater-gains")
     estimate = raters.agg(F.avg("gain")).head()[0]
     pooled = rows.agg(F.avg("population"), F.avg("own")).head()
     by_rater = resampling.resampled_sums(raters, ["gain"], REPLICATES, 11, id_columns=["rater"])

@@ -72,3 +72,19 @@ def test_binomial_pairs_and_empty(spark):
     none = frame(spark).limit(0)
     assert (rs.resampled_sums(none, ["a"], 10, 1, id_columns=["id"]) == 0).all()
     assert rs.within(none, ["a", "b"], 10, 1, lambda m: m[..., 0])[1] == 0
+
+
+def test_folds_are_made_once(spark, sf_dir, monkeypatch):
+    """Lines and row errors read stored folds; and a replicate's sums are those of the rows it draws."""
+    from raterline.plans import QUERIES, models
+
+    made = spark.sparkContext.accumulator(0)
+    counted = F.udf(lambda v: made.add(1) or v, "double").asNondeterministic()
+    real = models.event_folds
+    monkeypatch.setattr(models, "event_folds", lambda *a: real(*a).withColumn("y", counted("y")))
+    monkeypatch.setattr(models, "REPLICATES", 20)
+    assert QUERIES["b3_other_resampling"](spark, sf_dir).count() == 4
+    assert made.value == real(spark, sf_dir).count()
+    x, draws = np.random.default_rng(1).gamma(2.0, size=(9, 2)), np.array([0, 3, 9, 0, 14] * 40)
+    at = np.split(rs._random(1, 2).integers(0, 9, draws.sum()), np.cumsum(draws)[:-1])
+    assert np.allclose(rs.drawn_sums(x, draws, rs._random(1, 2)), [x[i].sum(axis=0) for i in at])
